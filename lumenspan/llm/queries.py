@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import decontamination, language_id, mixing, ngram_join, token_ids
+from lumenspan.llm import ann, decontamination, language_id, license_scan, line_dedup, mixing, ngram_join, token_ids, toxicity, warc
 from lumenspan.llm.common import documents, fold_of, held_out, table
 
 
@@ -19,10 +19,22 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("row.doc_id", "source", "lang", "topic", "n_tokens", "weight", "prob", "keep")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicate(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    seen = docs.where(fold_of(F.col("doc_id")) != 2)
+    net = toxicity.train(toxicity.sample(seen, table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id")) != 2)))
+    return toxicity.score(docs, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "threshold", "flagged")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.train(language_id.sample_runs(docs.where(fold_of(F.col("doc_id")) != 2)))
@@ -30,6 +42,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.roundtrip(documents(spark, sf_dir))
 
@@ -39,6 +55,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "n_hit", "n_items", decontamination.items_digest(F.col("item_ids")).alias("items_sha256"), "contaminated")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"))
+
+
 OP3_SQL = r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
@@ -81,8 +105,8 @@ from d left join h using (doc_id) left join t using (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_ngram_join, op5_language_id, op7_token_ids, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op4_toxicity, op5_language_id, op6_nearest, op7_token_ids, op8_decontaminate, op9_license_scan, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.oracle_sql(), "op3_ngram_join": OP3_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op1_mix_sources": mixing.oracle_sql(), "op2_line_dedup": line_dedup.ORACLE_SQL, "op3_ngram_join": OP3_SQL, "op8_decontaminate": OP8_SQL}

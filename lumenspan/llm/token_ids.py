@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.llm.common import chunks, scratch_path
 
-END_ID, MAX_CACHE = 2, 300_000
+END_ID, MAX_CACHE = 2, 200_000
 #: White space that BPE's splitting rule may hold together with a space after it.
 _JOINED = re.compile(r" \s| [\x1c-\x1f\x85]|\s \Z")
 
