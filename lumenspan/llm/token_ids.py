@@ -9,9 +9,7 @@ takes the stripes in parallel.
 
 from __future__ import annotations
 
-import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import chunks, scratch_path
+from lumenspan.llm.common import chunks, materialize, scratch_path
 
-END_ID, MAX_CACHE = 2, 200_000
-#: White space that BPE's splitting rule may hold together with a space after it.
-_JOINED = re.compile(r" \s| [\x1c-\x1f\x85]|\s \Z")
+END_ID, MAX_CACHE = 2, 350_000
+#: How a byte-level vocabulary writes a space.
+SPACE = "\u0120"
+#: Stands for the ids of a part whose text must be encoded whole.
+ALONE = False
+#: Marks that the splitting rule parts from the letters before them.
+STOPS = ".,;:!?"
 
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
@@ -43,37 +45,83 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """The tokenizer with a memory of words: a byte-level BPE never joins what
-    stands before a space that leads a word with that word, so a text's ids are
-    those of its parts.  Texts where white space precedes white space in a way
-    that the rule may join are encoded whole."""
+    """The tokenizer with a memory of words.
+
+    A byte-level BPE never joins what stands before a space that leads a word
+    with that word, so a text's ids are those of its parts, each but the first
+    a space and what follows up to the next.  Unknown parts are encoded many
+    at a time; a token that begins with the space begins a part.  A text in
+    which white space follows a space, or which may hold a special token, is
+    encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.stops = dict(zip(STOPS, [x.tobytes() for x in self._encode(list(STOPS))], strict=True))
+        vocab = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocab.values()) + 1, bool)
+        self.leads[[i for token, i in vocab.items() if token.startswith(SPACE)]] = True
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """``fresh`` are parts without the space that leads them."""
+        known, older, new, ended = self.known, self.older, [], []
+        queued = set()
+        for p in fresh:
+            if p[-1:] in self.stops and p[:-1].isalpha():  # letters and a stop are parted
+                ended.append(p)
+                p = p[:-1]
+                if p in known or p in queued:
+                    continue
+            elif p in queued:
+                continue
+            if p in older:
+                known[p] = older[p]
+            elif not p or p[0].isspace() or "<|" in p:
+                known[p] = ALONE
+            else:
+                queued.add(p)
+                new.append(p)
+        for lo in range(0, len(new), 2000):
+            part = new[lo : lo + 2000]
+            ids = self._encode([" " + " ".join(part)])[0]
+            cuts = np.flatnonzero(self.leads[ids]) * 4
+            if len(cuts) != len(part):
+                known.update(zip(part, [x.tobytes() for x in self._encode([" " + x for x in part])], strict=True))
+                continue
+            flat, cuts = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
+            known.update(zip(part, [flat[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
+        for p in ended:
+            known[p] = known[p[:-1]] + self.stops[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        whole = [i for i, x in enumerate(texts) if "<|" in x or _JOINED.search(x)]
-        out = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True)) if whole else {}
-        parts = {i: _parts(x) for i, x in enumerate(texts) if i not in out}
         if len(self.known) > MAX_CACHE:
-            self.known = {}
-        known = self.known
-        fresh = list({p for p in chain.from_iterable(parts.values())} - known.keys())
-        for lo in range(0, len(fresh), 10_000):
-            known.update(zip(fresh[lo : lo + 10_000], self._encode(fresh[lo : lo + 10_000]), strict=True))
-        get = known.__getitem__
-        return [out[i] if i in out else b"".join(map(get, parts[i])) for i in range(len(texts))]
-
-
-def _parts(text: str) -> list[str]:
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+            self.older, self.known = self.known, {}
+        parts = [x.split(" ") for x in texts]
+        heads = [x.tobytes() for x in self._encode([p[0] for p in parts])]
+        flat = [x for p in parts for x in p[1:]]
+        ids = list(map(self.known.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            self._learn(list({flat[i] for i in missing}))
+            for i in missing:
+                ids[i] = self.known[flat[i]]
+        out, at = [], 0
+        for text, p, head in zip(texts, parts, heads, strict=True):
+            n = len(p) - 1
+            try:
+                if "<|" in p[0]:
+                    raise TypeError
+                out.append(head + b"".join(ids[at : at + n]))
+            except TypeError:  # a part that cannot stand alone
+                out.append(self._encode([text])[0].tobytes())
+            at += n
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -127,8 +175,9 @@ def index(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(view[4 * a : 4 * e]) for a, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "pos", "n_tokens", "ids_crc32"])
 
-    rows = read(spark, path).select("doc_id", "ids", "part", "pos").mapInArrow(digest, "doc_id bigint, part int, pos bigint, n_tokens bigint, ids_crc32 bigint")
-    lengths = read(spark, path).groupBy("part").agg(F.sum(F.size("ids")).alias("_n"))
+    rows = read(spark, path).mapInArrow(digest, "doc_id bigint, part int, pos bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = materialize(rows, "token-index")
+    lengths = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = lengths.select("part", (F.sum("_n").over(W.orderBy("part")) - F.col("_n")).alias("_before"))
     within = F.sum("n_tokens").over(W.partitionBy("part").orderBy("pos")) - F.col("n_tokens")
     return rows.withColumn("_in", within).join(F.broadcast(before), "part").select("doc_id", (F.col("_before") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")
