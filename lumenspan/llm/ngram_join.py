@@ -34,14 +34,14 @@ SHINGLE = 5
 #: Similarity as a fraction: NUM / DEN.
 NUM, DEN = 80, 100
 #: Shingles counted at once, and the count in such a batch that is noted.
-COUNT_BATCH, COUNT_LEAST = 4_000_000, 8
+COUNT_BATCH, COUNT_LEAST = 4_000_000, 3
 #: Frequent shingles that move to the end of the order (a broadcast of 1.6 MB at most).
-HOT_LEAST, HOT_MOST = 64, 100_000
+HOT_LEAST, HOT_MOST = 24, 100_000
 #: Members of a block; a larger one becomes blocks of pairs of its parts.
 BLOCK_MOST = 8192
 #: Rows of (set, pair) up to which the wanted texts' keys are broadcast.
 BROADCAST_ROWS = 1_000_000
-ALL_PAIRS, NEIGHBOURS = 48, 3
+ALL_PAIRS, ORDERS, NEIGHBOURS = 96, 4, 2
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -89,9 +89,9 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """One bit a shingle, in a power of two of at least 3 bits a shingle; half
+    """One bit a shingle, in a power of two of at least 8 bits a shingle; half
     as wide a bitmap is the OR of the halves."""
-    width = max(64, 1 << int(3 * len(s) - 1).bit_length())
+    width = max(64, 1 << int(8 * len(s) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -311,8 +311,7 @@ def block_pairs(n: np.ndarray, raw: list[bytes], label: np.ndarray, forest: bool
     for k, (at, bits) in bands.items():
         if forest and len(at) > ALL_PAIRS:
             leaf = Tree(bits, n[at], label[at]).levels[0]
-            i = np.concatenate([np.arange(len(at) - d) for d in range(1, NEIGHBOURS + 1)])
-            j = np.concatenate([np.arange(d, len(at)) for d in range(1, NEIGHBOURS + 1)])
+            i, j = _neighbours(bits)
             ok = _fits(leaf, leaf, i, j)
             yield at[i[ok]], at[j[ok]]
         else:
@@ -335,6 +334,18 @@ def block_pairs(n: np.ndarray, raw: list[bytes], label: np.ndarray, forest: bool
                     yield at[i], at2[j]
 
 
+def _neighbours(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that lie side by side in several orders: similar sets share most
+    words of their bitmaps, so an order by one word brings them together."""
+    i, j = [], []
+    for w in range(0, bits.shape[1], max(1, bits.shape[1] // ORDERS)):
+        order = np.argsort(bits[:, w], kind="stable")
+        for d in range(1, NEIGHBOURS + 1):
+            i.append(order[:-d])
+            j.append(order[d:])
+    return np.concatenate(i), np.concatenate(j)
+
+
 def _spanning(g: int, pairs) -> Iterator[tuple[int, int]]:
     parent = list(range(g))
     for i, j in pairs:
