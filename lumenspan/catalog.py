@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lumenspan.plans import windows  # noqa: F401
+from lumenspan.registry import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "agg05_image_score"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
