@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenspan.plans import windows  # noqa: F401
+from lumenspan.plans import aggregates, predicates, windows  # noqa: F401
 from lumenspan.registry import ORACLES, QUERIES
 
 FLAGSHIP = "agg05_image_score"
