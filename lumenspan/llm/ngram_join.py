@@ -89,9 +89,9 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """One bit a shingle, in a power of two of at least 8 bits a shingle; half
+    """One bit a shingle, in a power of two of at least 5 bits a shingle; half
     as wide a bitmap is the OR of the halves."""
-    width = max(64, 1 << int(8 * len(s) - 1).bit_length())
+    width = max(64, 1 << int(5 * len(s) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -133,13 +133,13 @@ def _profile(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, hot, seed: int) -> DataFrame:
-    """(token, sid) for the first shingles of each set in the common order."""
+    """(token, sid, n) for the first shingles of each set in the common order."""
 
     def run(batches):
         tokens, counts = hot.value
         seen: set[int] = set()
         for _, texts in chunks(batches):
-            out_t, out_s = [], []
+            out_t, out_s, out_n = [], [], []
             for s in shingle_sets(texts, seed):
                 n = len(s)
                 if n == 0 or (sid := digest(s)[0]) in seen:
@@ -153,12 +153,13 @@ def _prefixes(docs: DataFrame, hot, seed: int) -> DataFrame:
                         s = s[np.lexsort((s, often))]
                 out_t.append(s[:p])
                 out_s.append(np.full(p, sid, np.int64))
+                out_n.append(np.full(p, n, np.int32))
             if len(seen) > 500_000:
                 seen.clear()
             if out_t:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).astype(np.int64)), pa.array(np.concatenate(out_s))], names=["token", "sid"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).astype(np.int64)), pa.array(np.concatenate(out_s)), pa.array(np.concatenate(out_n))], names=["token", "sid", "n"])
 
-    return docs.mapInArrow(run, "token bigint, sid bigint")
+    return docs.mapInArrow(run, "token bigint, sid bigint, n int")
 
 
 def _runs(batches, columns: int) -> Iterator[list[np.ndarray]]:
@@ -179,16 +180,24 @@ def _runs(batches, columns: int) -> Iterator[list[np.ndarray]]:
 
 
 def _blocks(batches):
-    """Members of each block, (block, part, sid), from rows sorted by token
-    and sid.  Blocks of the same members are given once a task; a block larger
-    than BLOCK_MOST is dealt into parts, a block for each pair of parts."""
+    """Members of each block, (block, sid), from (token, sid, n) sorted by token
+    and sid.  Sets that no other of the block resembles in size are left out.
+    Blocks of the same members are given once a task; a block larger than
+    BLOCK_MOST is dealt into parts, a block for each pair of parts."""
     seen: set[int] = set()
-    for tok, sid in _runs(batches, 2):
+    for tok, sid, n in _runs(batches, 3):
         new = np.r_[True, (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])]
-        tok, sid = tok[new], sid[new]
+        tok, sid, n = tok[new], sid[new], n[new].astype(np.int64)
+        order = np.lexsort((n, tok))
+        near = (tok[order][1:] == tok[order][:-1]) & (DEN * n[order][:-1] >= NUM * n[order][1:])
+        keep = np.zeros(len(tok), bool)
+        keep[order] = np.r_[near, False] | np.r_[False, near]
+        tok, sid = tok[keep], sid[keep]
+        if not len(tok):
+            continue
         edge = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
         size = np.diff(np.r_[edge, len(tok)])
-        ids, parts, members = [], [], []
+        ids, members = [], []
         for a, g in zip(edge[size > 1].tolist(), size[size > 1].tolist(), strict=True):
             m = sid[a : a + g]
             key = int(_mix(_mix(m.view(np.uint64)).cumsum(dtype=np.uint64)[-1:] + np.uint64(g)).astype(np.int64)[0])
@@ -198,10 +207,9 @@ def _blocks(batches):
             cuts = [m[i : i + BLOCK_MOST // 2] for i in range(0, g, BLOCK_MOST // 2)] if g > BLOCK_MOST else [m]
             for i in range(len(cuts)):
                 for j in range(i + 1 if len(cuts) > 1 else i, len(cuts)):
-                    both = [(0, cuts[i])] if i == j else [(0, cuts[i]), (1, cuts[j])]
-                    ids.append(np.full(sum(len(c) for _, c in both), key + 1_000_003 * (i * len(cuts) + j) if len(cuts) > 1 else key, np.int64))
-                    parts += [np.full(len(c), k, np.int32) for k, c in both]
-                    members += [c for _, c in both]
+                    both = [cuts[i]] if i == j else [cuts[i], cuts[j]]
+                    ids.append(np.full(sum(map(len, both)), key + 1_000_003 * (i * len(cuts) + j) if len(cuts) > 1 else key, np.int64))
+                    members += both
         if len(seen) > 500_000:
             seen.clear()
         if ids:
@@ -361,29 +369,35 @@ def _spanning(g: int, pairs) -> Iterator[tuple[int, int]]:
 
 
 def _candidates(forest: bool):
-    """Batches of (block, sid, n, bits, label) sorted by block to (a, b)."""
+    """Batches of (block, sid, n, bits, label) sorted by block to (a, b), and
+    for ``forest`` to (NULL, NULL, block) of the blocks that are not finished:
+    those with large bands, or with pairs that the forest passed over."""
 
     def run(batches):
         for block, sid, n, bits, label in _runs(batches, 5):
             edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            out_a, out_b = [], []
+            out_a, out_b, again = [], [], []
             for a, e in zip(edge.tolist(), np.r_[edge[1:], len(block)].tolist(), strict=True):
                 own, k = sid[a:e], label[a:e]
                 if e - a < 2 or (k == k[0]).all():
                     continue
-                pairs = block_pairs(n[a:e].astype(np.int64), bits[a:e].tolist(), k, forest)
+                sizes = n[a:e].astype(np.int64)
+                pairs = list(block_pairs(sizes, bits[a:e].tolist(), k, forest))
                 if forest:
                     got = list(_spanning(e - a, pairs))
+                    if e - a > ALL_PAIRS or len(got) < sum(len(x) for x, _ in pairs):
+                        again.append(block[a])
                     i, j = np.array([x for x, _ in got], np.int64), np.array([x for _, x in got], np.int64)
                 else:
-                    got = list(pairs)
-                    i, j = (np.concatenate([x[c] for x in got]) if got else np.zeros(0, np.int64) for c in (0, 1))
+                    i, j = (np.concatenate([x[c] for x in pairs]) if pairs else np.zeros(0, np.int64) for c in (0, 1))
                 if len(i):
                     out_a.append(np.minimum(own[i], own[j]))
                     out_b.append(np.maximum(own[i], own[j]))
             if out_a:
                 ab = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ab[:, 0])), pa.array(np.ascontiguousarray(ab[:, 1]))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ab[:, 0])), pa.array(np.ascontiguousarray(ab[:, 1])), pa.nulls(len(ab), pa.int64())], names=["a", "b", "again"])
+            if again:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int64()), pa.array(again, pa.int64())], names=["a", "b", "again"])
 
     return run
 
@@ -454,13 +468,18 @@ def near_duplicates(docs: DataFrame, *, seed: int = 0) -> DataFrame:
     members = materialize(grouped.mapInArrow(_blocks, "block bigint, sid bigint").distinct(), "members")
     links, labels, tried = None, None, None
     for forest in (True, False):
-        full = members.join(sets.select("sid", "n", "bits"), "sid")
-        full = full.join(labels, full.sid == labels.node, "left").withColumn("label", F.coalesce("label", "sid")) if labels is not None else full.withColumn("label", F.col("sid"))
+        own = members if labels is None else members.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+        own = own.withColumn("label", F.coalesce("label", "sid") if labels is not None else F.col("sid"))
+        full = own.join(sets.select("sid", "n", "bits"), "sid")
         full = full.select("block", "sid", "n", "bits", "label").repartition(n, "block").sortWithinPartitions("block")
-        pairs = full.mapInArrow(_candidates(forest), "a bigint, b bigint").distinct()
+        found = full.mapInArrow(_candidates(forest), "a bigint, b bigint, again bigint").distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tried = pairs = materialize(pairs, "pairs")
+            found = found.join(tried, ["a", "b"], "left_anti")
+        found = materialize(found, "pairs")
+        tried = pairs = found.where("a is not null").select("a", "b")
+        if forest:
+            left = found.where("again is not null").select(F.col("again").alias("block"))
+            members = materialize(members.join(left, "block", "left_semi"), "unfinished")
         got = materialize(_checked(pairs, sets, src, seed), "checked")
         links = got if links is None else links.union(got)
         labels = materialize(components(links), "labels")
