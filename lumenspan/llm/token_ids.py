@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.llm.common import chunks, materialize, scratch_path
 
-END_ID, MAX_CACHE = 2, 350_000
+END_ID, MAX_CACHE = 2, 130_000
 #: How a byte-level vocabulary writes a space.
 SPACE = "\u0120"
 #: Stands for the ids of a part whose text must be encoded whole.
