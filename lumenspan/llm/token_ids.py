@@ -13,13 +13,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import chunks, materialize, scratch_path
+from lumenspan.llm.common import materialize, scratch_path
 
-END_ID, MAX_CACHE = 2, 130_000
+END_ID, MAX_CACHE, CHUNK = 2, 200_000, 6 << 20
 #: How a byte-level vocabulary writes a space.
 SPACE = "\u0120"
 #: Stands for the ids of a part whose text must be encoded whole.
@@ -58,7 +59,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.stops = dict(zip(STOPS, [x.tobytes() for x in self._encode(list(STOPS))], strict=True))
         vocab = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocab.values()) + 1, bool)
@@ -67,62 +68,91 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, fresh: list[str]) -> None:
-        """``fresh`` are parts without the space that leads them."""
-        known, older, new, ended = self.known, self.older, [], []
-        queued = set()
-        for p in fresh:
-            if p[-1:] in self.stops and p[:-1].isalpha():  # letters and a stop are parted
-                ended.append(p)
-                p = p[:-1]
-                if p in known or p in queued:
-                    continue
-            elif p in queued:
+    def _look_up(self, words: list[str]) -> list:
+        """Ids of distinct words that a space leads; ALONE where that cannot
+        be told without the text.  The memory holds the first words met."""
+        known, stops = self.known, self.stops
+        out = list(map(known.get, words))
+        new: dict[str, list[int]] = {}
+        ended: list[tuple[int, str, str]] = []
+        for i, x in enumerate(out):
+            if x is not None:
                 continue
-            if p in older:
-                known[p] = older[p]
-            elif not p or p[0].isspace() or "<|" in p:
-                known[p] = ALONE
+            p = words[i]
+            if not p or p[0].isspace() or "<|" in p:
+                out[i] = ALONE
+            elif p[-1] in stops and p[:-1].isalpha():  # letters and a stop are parted
+                ended.append((i, p[:-1], p[-1]))
+                if p[:-1] not in known:
+                    new.setdefault(p[:-1], [])
             else:
-                queued.add(p)
-                new.append(p)
-        for lo in range(0, len(new), 2000):
-            part = new[lo : lo + 2000]
+                new.setdefault(p, []).append(i)
+        fresh, got = list(new), {}
+        for lo in range(0, len(fresh), 2000):
+            part = fresh[lo : lo + 2000]
             ids = self._encode([" " + " ".join(part)])[0]
             cuts = np.flatnonzero(self.leads[ids]) * 4
-            if len(cuts) != len(part):
-                known.update(zip(part, [x.tobytes() for x in self._encode([" " + x for x in part])], strict=True))
-                continue
-            flat, cuts = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
-            known.update(zip(part, [flat[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
-        for p in ended:
-            known[p] = known[p[:-1]] + self.stops[p[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > MAX_CACHE:
-            self.older, self.known = self.known, {}
-        parts = [x.split(" ") for x in texts]
-        heads = [x.tobytes() for x in self._encode([p[0] for p in parts])]
-        flat = [x for p in parts for x in p[1:]]
-        ids = list(map(self.known.get, flat))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if missing:
-            self._learn(list({flat[i] for i in missing}))
-            for i in missing:
-                ids[i] = self.known[flat[i]]
-        out, at = [], 0
-        for text, p, head in zip(texts, parts, heads, strict=True):
-            n = len(p) - 1
-            try:
-                if "<|" in p[0]:
-                    raise TypeError
-                out.append(head + b"".join(ids[at : at + n]))
-            except TypeError:  # a part that cannot stand alone
-                out.append(self._encode([text])[0].tobytes())
-            at += n
+            if len(cuts) == len(part):
+                flat, cuts = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
+                got.update(zip(part, [flat[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
+            else:
+                got.update(zip(part, [x.tobytes() for x in self._encode([" " + x for x in part])], strict=True))
+        for p, at in new.items():
+            for i in at:
+                out[i] = got[p]
+        for i, p, stop in ended:
+            out[i] = (got[p] if p in got else known[p]) + stops[stop]
+        if len(known) < MAX_CACHE:
+            known.update(got)
         return out
 
+    def encode(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one text after another, each followed by
+        ``end`` if given; and how many are each text's.  Words are parted and
+        numbered by Arrow, and each distinct one is looked up once."""
+        parts = pc.split_pattern(texts, " ")
+        values, offsets = parts.flatten(), parts.offsets.to_numpy()
+        offsets = (offsets - offsets[0]).astype(np.int64)
+        numbered = values.dictionary_encode()
+        words = numbered.dictionary.to_pylist()
+        ids = self._look_up(words)
+        alone = np.array([x is ALONE for x in ids] + [False] * (len(texts) + 1))
+        first = values.take(pa.array(offsets[:-1])).to_pylist()
+        ids += [x.tobytes() for x in self._encode(first)]
+        ids.append(b"" if end is None else np.array([end], "<u4").tobytes())
+        table = np.frombuffer(b"".join([x or b"" for x in ids]), "<u4").astype(np.int32)
+        size = np.array([len(x or b"") // 4 for x in ids], np.int32)
+        begin = (np.cumsum(size) - size).astype(np.int32)
+        number = numbered.indices.to_numpy().astype(np.int32)
+        number[offsets[:-1]] = len(words) + np.arange(len(texts))  # no space leads a text's first word
+        number = np.insert(number, offsets[1:], len(ids) - 1)
+        offsets = offsets + np.arange(len(offsets))
+        each = size[number]
+        out = table[np.repeat(begin[number] - (np.cumsum(each) - each).astype(np.int32), each) + np.arange(each.sum(), dtype=np.int32)]
+        length = np.add.reduceat(each, offsets[:-1]).astype(np.int64)
+        owner = np.searchsorted(offsets, np.flatnonzero(alone[number]), "right") - 1
+        whole = sorted({*owner.tolist(), *[i for i, x in enumerate(first) if "<|" in x]})
+        if not whole:
+            return out, length
+        pieces = np.split(out, np.cumsum(length)[:-1])
+        for i in whole:  # texts with a part that cannot stand alone
+            got = self._encode([texts[i].as_py()])[0].astype(np.int32)
+            pieces[i] = got if end is None else np.append(got, np.int32(end))
+            length[i] = len(pieces[i])
+        return np.concatenate(pieces), length
+
+
+def slices(batches, column: str, limit: int = CHUNK):
+    """(batch slice, its texts) of about ``limit`` bytes of text each."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        at = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_numpy(zero_copy_only=False))
+        cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(at // limit)) + 1, len(at)])
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            part = batch.slice(lo, hi - lo)
+            yield part, part.column(part.schema.get_field_index(column))
+
 
 def encoder(path: str) -> Encoder:
     if path not in _workers:
@@ -141,14 +171,11 @@ def write(docs: DataFrame, out: str, *, tokenizer: str | None = None, end_id: in
 
     def run(batches):
         enc, pos = encoder(path), 0
-        for batch, texts in chunks(batches):
-            got = enc.encode([x.decode() for x in texts])
-            end = np.array([end_id], "<u4").tobytes()
-            flat = np.frombuffer(b"".join(x + end for x in got), "<u4").astype(np.int32)
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 + 1 for x in got])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, batch.column(2), pa.array(np.arange(pos, pos + len(got)))], names=["doc_id", "ids", "part", "pos"])
-            pos += len(got)
+        for batch, texts in slices(batches, "text"):
+            flat, length = enc.encode(texts, end_id)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, batch.column(2), pa.array(np.arange(pos, pos + len(length)))], names=["doc_id", "ids", "part", "pos"])
+            pos += len(length)
 
     ordered.mapInArrow(run, "doc_id bigint, ids array<int>, part int, pos bigint").write.options(**ORC_OPTIONS).orc(out)
 
