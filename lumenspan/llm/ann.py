@@ -124,7 +124,7 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
     total = forest.value.leaves * trees
     most = max(1, int(np.ceil(open_share * total)))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(total, max(n, -(-count * trees // BUCKET)))
+    buckets = min(total, max(2 * spark.sparkContext.defaultParallelism, -(-count * trees // BUCKET)))
     kept = rows.withColumn("_r", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("_r") <= k + 1).select("vec_id", "v")
 
     def file(batches):
