@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenspan.plans import aggregates, geometry, joins, predicates, strings, windows  # noqa: F401
+from lumenspan.plans import aggregates, geometry, joins, kernels, predicates, records, strings, windows  # noqa: F401
 from lumenspan.registry import ORACLES, QUERIES
 
 FLAGSHIP = "agg05_image_score"

@@ -209,12 +209,12 @@ def mth35(spark, sf):
     return load(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("kernel"))
 
 
-@query("mth37_gyro_low_pass", f"with recursive {FRAMES}, t(device, seq, r) as (select device, seq, 0.15 * depth from frames where seq = 1 union all select f.device, f.seq, t.r + 0.15 * (f.depth - t.r) from t join frames f on f.device = t.device and f.seq = t.seq + 1) select device, seq, round(r, 9) as rate from t")
+@query("mth37_gyro_low_pass", f"with recursive {FRAMES}, t(device, seq, r) as (select device, seq, 0.15 * depth / 7 from frames where seq = 1 union all select f.device, f.seq, t.r + 0.15 * (f.depth / 7 - t.r) from t join frames f on f.device = t.device and f.seq = t.seq + 1) select device, seq, round(r, 6) as rate from t")
 def mth37(spark, sf):
     """r += 0.15 (x - r) in order, as a fold over a bounded run of each device's
     samples: the weight of a sample 200 back is below 1e-14."""
     w = W.partitionBy("device").orderBy("seq").rowsBetween(-200, 0)
-    return frames(spark, sf).withColumn("x", F.collect_list("depth").over(w)).select("device", "seq", F.round(F.aggregate("x", F.lit(0.0), lambda r, x: r + 0.15 * (x - r)), 9).alias("rate"))
+    return frames(spark, sf).withColumn("x", F.collect_list("depth").over(w)).select("device", "seq", F.round(F.aggregate("x", F.lit(0.0), lambda r, x: r + 0.15 * (x / 7 - r)), 6).alias("rate"))
 
 
 @query("mth39_dead_reckoning", "select p_partkey, round(case when abs(p_size - 20) <= 25 * 0.2 then p_size else 20 + sign(p_size - 20) * 25 * 0.2 end, 6) as z from part")
