@@ -23,7 +23,12 @@ POSE_SCHEMA = "schema_version string, input_ply string, planes array<struct<plan
 def image_files(spark: SparkSession, root: str, suffixes=IMAGE_SUFFIXES) -> DataFrame:
     """(path, modificationTime, length, content) below root, by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes)).orderBy("path")
+    return with_suffix(files, suffixes).orderBy("path")
+
+
+def with_suffix(listing: DataFrame, suffixes) -> DataFrame:
+    """Files of a listing by the ending of their path, whatever its case."""
+    return listing.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes))
 
 
 def first_occurrences(paths: DataFrame, key: str, order: str) -> DataFrame:
