@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenspan.plans import aggregates, geometry, joins, kernels, listings, predicates, records, streams, strings, windows  # noqa: F401
+from lumenspan.plans import aggregates, frames, geometry, joins, kernels, listings, predicates, records, streams, strings, windows  # noqa: F401
 from lumenspan.registry import ORACLES, QUERIES
 
 FLAGSHIP = "agg05_image_score"
