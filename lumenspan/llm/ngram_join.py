@@ -41,7 +41,7 @@ HOT_LEAST, HOT_MOST = 24, 100_000
 BLOCK_MOST = 8192
 #: Rows of (set, pair) up to which the wanted texts' keys are broadcast.
 BROADCAST_ROWS = 1_000_000
-ALL_PAIRS, ORDERS, NEIGHBOURS = 96, 4, 2
+ALL_PAIRS, ORDERS, NEIGHBOURS = 96, 8, 2
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -354,8 +354,25 @@ def _neighbours(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(i), np.concatenate(j)
 
 
-def _spanning(g: int, pairs) -> Iterator[tuple[int, int]]:
+def _alike(raw: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How alike the members of each pair look: common bits over their sizes."""
+    out = np.empty(len(i))
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        x, y = np.frombuffer(raw[a], np.uint64), np.frombuffer(raw[b], np.uint64)
+        width = min(len(x), len(y))
+        out[k] = np.bitwise_count(_fold(x, width) & _fold(y, width)).sum() / (n[a] + n[b])
+    return out
+
+
+def _spanning(g: int, pairs, raw: list[bytes], n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs that prefers those that look most alike:
+    they are the likeliest to be links."""
     parent = list(range(g))
+    if not pairs:
+        return
+    i, j = np.concatenate([x for x, _ in pairs]), np.concatenate([x for _, x in pairs])
+    order = np.argsort(-_alike(raw, n, i, j), kind="stable") if len(i) > 1 else np.arange(len(i))
+    pairs = [(i[order], j[order])]
     for i, j in pairs:
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             x, y = a, b
@@ -382,9 +399,10 @@ def _candidates(forest: bool):
                 if e - a < 2 or (k == k[0]).all():
                     continue
                 sizes = n[a:e].astype(np.int64)
-                pairs = list(block_pairs(sizes, bits[a:e].tolist(), k, forest))
+                raw = bits[a:e].tolist()
+                pairs = list(block_pairs(sizes, raw, k, forest))
                 if forest:
-                    got = list(_spanning(e - a, pairs))
+                    got = list(_spanning(e - a, pairs, raw, sizes))
                     if e - a > ALL_PAIRS or len(got) < sum(len(x) for x, _ in pairs):
                         again.append(block[a])
                     i, j = np.array([x for x, _ in got], np.int64), np.array([x for _, x in got], np.int64)
