@@ -58,8 +58,8 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, iterations: int =
     return out
 
 
-def mix(docs: DataFrame, *, rate: float = RATE, powers: dict[str, float] = POWERS, iterations: int = ITERATIONS, seed: int = 17) -> DataFrame:
-    """Every row of docs as struct ``row`` with source, lang, topic, n_tokens,
+def mix(docs: DataFrame, *, keep: list[str] | None = None, rate: float = RATE, powers: dict[str, float] = POWERS, iterations: int = ITERATIONS, seed: int = 17) -> DataFrame:
+    """Every row of docs (its columns ``keep``, all if None) as struct ``row`` with source, lang, topic, n_tokens,
     weight (target share of its cell's tokens over their present share), prob
     (min(1, rate * weight)) and keep (a hash of doc_id and seed lies below
     prob; rows that repeat a doc_id share its fate).
@@ -70,12 +70,13 @@ def mix(docs: DataFrame, *, rate: float = RATE, powers: dict[str, float] = POWER
     """
     spark = docs.sparkSession
     rows = docs.select(
-        F.struct("*").alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"),
         F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"),
         topic_of(F.col("text").cast("string")).alias("topic"),
         token_count(F.col("text").cast("string")).alias("n_tokens"),
     )
+    rows = materialize(rows, "annotated")  # texts are searched once
     dims = list(powers)
     cells = materialize(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("n")).where("n > 0"), "cells")
     few = cells.count() <= ONE_TASK_CELLS

@@ -16,7 +16,7 @@ from lumenspan.llm.common import documents, fold_of, held_out, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("row.doc_id", "source", "lang", "topic", "n_tokens", "weight", "prob", "keep")
+    return mixing.mix(documents(spark, sf_dir), keep=["doc_id"]).select("row.doc_id", "source", "lang", "topic", "n_tokens", "weight", "prob", "keep")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
