@@ -16,6 +16,8 @@ from lumenspan.llm.common import materialize
 
 #: Rounds of raking; each round meets the three marginals in turn.
 ITERATIONS = 12
+#: Rounds between two cuts of the plan.
+CUT_ROUNDS = 4
 #: Expected share of the tokens that is kept.
 RATE = 0.5
 #: Target of a level: its own share to this power, over all levels.
@@ -42,9 +44,11 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def rake(cells: DataFrame, powers: dict[str, float] = POWERS, iterations: int = ITERATIONS) -> DataFrame:
+def rake(cells: DataFrame, powers: dict[str, float] = POWERS, iterations: int = ITERATIONS, one_task: bool = True) -> DataFrame:
     """``cells`` (one column a dimension, n) with share ``w``, whose marginals
-    follow the targets: level share to the dimension's power, normalised."""
+    follow the targets: level share to the dimension's power, normalised.  The
+    plan is cut every few rounds, so that it stays shallow."""
+    cells = cells.coalesce(1) if one_task else cells
     total = W.partitionBy(F.lit(1))
     part = {d: W.partitionBy(d) for d in powers}
     out = cells.withColumn("w", F.col("n") / F.sum("n").over(total))
@@ -52,7 +56,10 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, iterations: int =
         mass = F.pow(F.sum("w").over(part[d]), F.lit(float(p)))
         out = out.withColumn(f"t_{d}", mass).withColumn("_k", mass / F.count("*").over(part[d]))
         out = out.withColumn(f"t_{d}", F.col(f"t_{d}") / F.sum("_k").over(total)).drop("_k")
-    for _ in range(iterations):
+    for k in range(iterations):
+        if k and k % CUT_ROUNDS == 0:
+            out = materialize(out, "raked")
+            out = out.coalesce(1) if one_task else out
         for d in powers:
             out = out.withColumn("w", F.col("w") * F.col(f"t_{d}") / F.sum("w").over(part[d]))
     return out
@@ -80,7 +87,7 @@ def mix(docs: DataFrame, *, keep: list[str] | None = None, rate: float = RATE, p
     dims = list(powers)
     cells = materialize(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("n")).where("n > 0"), "cells")
     few = cells.count() <= ONE_TASK_CELLS
-    raked = rake(cells.coalesce(1) if few else cells, powers, iterations)
+    raked = rake(cells, powers, iterations, one_task=few)
     whole = W.partitionBy(F.lit(1))
     weights = materialize(raked.withColumn("weight", F.col("w") / (F.col("n") / F.sum("n").over(whole))).select(*dims, "weight"), "weights")
     weights = F.broadcast(weights) if few else weights

@@ -252,7 +252,7 @@ def test_orc_reader_skips_by_id(spark, docs):
 def test_raking_meets_the_marginals(spark):
     rng = random.Random(8)
     cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", rng.randrange(1, 1000)) for a in range(5) for b in range(3) for c in range(2)], "source string, lang string, topic string, n bigint")
-    got = mixing.rake(cells.coalesce(1), iterations=60).toPandas()
+    got = mixing.rake(cells, iterations=60).toPandas()
     assert abs(got["w"].sum() - 1) < 1e-9
     for d in mixing.POWERS:
         by = got.groupby(d).agg({"w": "sum", f"t_{d}": "first", "n": "sum"})
