@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.llm.common import materialize, scratch_path
 
-END_ID, MAX_CACHE, CHUNK = 2, 200_000, 6 << 20
+END_ID, MAX_CACHE, CHUNK = 2, 330_000, 10 << 20
 #: How a byte-level vocabulary writes a space.
 SPACE = "\u0120"
 #: Stands for the ids of a part whose text must be encoded whole.
@@ -34,7 +34,7 @@ ORC_OPTIONS = {
     "orc.create.index": "true",
     "orc.row.index.stride": "10000",
     "orc.stripe.size": str(32 << 20),
-    "compression": "zstd",
+    "compression": "lz4",
 }
 _workers: dict = {}
 
