@@ -66,11 +66,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
-s as (
-  select doc_id, list_distinct(case when len(ws) = 0 then []::varchar[] when len(ws) < 5 then [array_to_string(ws, ' ')]
-    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as sh from w),
-n as (select doc_id, len(sh)::bigint as n, sh from s),
-t as (select doc_id, n, unnest(sh) as g from n where n > 0),
+u as (select doc_id, unnest(ws) as x, generate_subscripts(ws, 1) as i from w),
+g5 as (select doc_id, hash(x || ' ' || lead(x, 1) over o || ' ' || lead(x, 2) over o || ' ' || lead(x, 3) over o || ' ' || lead(x, 4) over o) as g, lead(x, 4) over o is not null as full_ from u window o as (partition by doc_id order by i)),
+t0 as (select distinct doc_id, g from g5 where full_ union all select doc_id, hash(array_to_string(ws, ' ')) from w where len(ws) between 1 and 4),
+n as (select w.doc_id, coalesce(c, 0)::bigint as n from w left join (select doc_id, count(*) as c from t0 group by doc_id) using (doc_id)),
+t as (select doc_id, n, g from t0 join n using (doc_id)),
 f as (select g, count(*) as c from t group by g),
 r as (select t.doc_id, t.n, t.g, c, row_number() over (partition by t.doc_id order by c, t.g) as k from t join f using (g)),
 p as (select doc_id, n, g from r where c > 1 and k <= n - (80 * n + 99) // 100 + 1),
