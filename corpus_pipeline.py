@@ -29,6 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows that repeat its id and text stay with it."""
     found = ngram_join.near_duplicates(docs)
     gone = materialize(found.where("not (doc_id <=> component_id)").select("doc_id", "text_key").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= ngram_join.BROADCAST_ROWS else gone
     keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
     return keyed.join(gone, (keyed.doc_id.eqNullSafe(gone.doc_id)) & (F.col("_key") == F.col("text_key")), "left_anti").drop("_key")
 

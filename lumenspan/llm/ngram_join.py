@@ -27,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import chunks, materialize, space_words
+from lumenspan.llm.common import chunks, discard, materialize, space_words
 from lumenspan.llm.components import components
 
 SHINGLE = 5
 #: Similarity as a fraction: NUM / DEN.
 NUM, DEN = 80, 100
 #: Shingles counted at once, and the count in such a batch that is noted.
-COUNT_BATCH, COUNT_LEAST = 4_000_000, 3
-#: Frequent shingles that move to the end of the order (a broadcast of 1.6 MB at most).
-HOT_LEAST, HOT_MOST = 24, 100_000
+COUNT_BATCH, COUNT_LEAST = 4_000_000, 2
+#: Frequent shingles that move to the end of the order (a broadcast of 16 MB at most).
+HOT_LEAST, HOT_MOST = 8, 1_000_000
 #: Members of a block; a larger one becomes blocks of pairs of its parts.
 BLOCK_MOST = 8192
 #: Rows of (set, pair) up to which the wanted texts' keys are broadcast.
@@ -477,14 +477,14 @@ def near_duplicates(docs: DataFrame, *, seed: int = 0) -> DataFrame:
     sets = materialize(sets, "sets")
     if sets.where("lo <> hi").limit(1).count():  # two sets with one digest: hash anew
         return near_duplicates(docs, seed=seed + 1)
-    often = prof.where("n = -1").groupBy("sid").agg(F.sum("check").alias("c")).where(F.col("c") >= HOT_LEAST).orderBy(F.desc("c"), "sid").limit(HOT_MOST).collect()
-    tokens = np.array([r["sid"] for r in often], np.int64).astype(np.uint64)
-    counts = np.array([r["c"] for r in often], np.int64)
+    often = prof.where("n = -1").groupBy("sid").agg(F.sum("check").alias("c")).where(F.col("c") >= HOT_LEAST).orderBy(F.desc("c"), "sid").limit(HOT_MOST).toArrow()
+    tokens = often.column("sid").to_numpy().astype(np.int64).astype(np.uint64)
+    counts = often.column("c").to_numpy().astype(np.int64)
     order = np.argsort(tokens)
     hot = spark.sparkContext.broadcast((tokens[order], counts[order]))
     grouped = _prefixes(src, hot, seed).repartition(n, "token").sortWithinPartitions("token", "sid")
     members = materialize(grouped.mapInArrow(_blocks, "block bigint, sid bigint").distinct(), "members")
-    links, labels, tried = None, None, None
+    links, labels, tried, used = None, None, None, [sets, members]
     for forest in (True, False):
         own = members if labels is None else members.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
         own = own.withColumn("label", F.coalesce("label", "sid") if labels is not None else F.col("sid"))
@@ -498,10 +498,15 @@ def near_duplicates(docs: DataFrame, *, seed: int = 0) -> DataFrame:
         if forest:
             left = found.where("again is not null").select(F.col("again").alias("block"))
             members = materialize(members.join(left, "block", "left_semi"), "unfinished")
+            used.append(members)
         got = materialize(_checked(pairs, sets, src, seed), "checked")
+        used += [found, got]
         links = got if links is None else links.union(got)
         labels = materialize(components(links), "labels")
-    out = rows.select("doc_id", "n", "sid", "tkey").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    slim = materialize(rows.select("doc_id", "n", "sid", "tkey"), "documents")
+    for table in (prof, *used):  # nothing reads them any more
+        discard(table)
+    out = slim.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = out.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = out.join(least, "label", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.col("tkey").alias("text_key"))
