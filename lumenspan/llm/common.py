@@ -6,7 +6,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,15 +84,17 @@ def chunks(batches, column: str = "text", limit: int = CHUNK_BYTES):
     """(batch slice, texts) with about ``limit`` bytes of text each; a text
     longer than that makes a chunk of its own."""
     for batch in batches:
-        texts = texts_of(batch, column)
-        lo = size = 0
-        for i, x in enumerate(texts):
-            if size and size + len(x) > limit:
-                yield batch.slice(lo, i - lo), texts[lo:i]
-                lo, size = i, 0
-            size += len(x)
-        if lo < len(texts):
-            yield batch.slice(lo), texts[lo:]
+        if batch.num_rows == 0:
+            continue
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column)).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(size, dtype=np.int64)
+        lo = 0
+        while lo < len(total):
+            before = total[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(total, before + limit, "right")))
+            part = batch.slice(lo, hi - lo)
+            yield part, texts_of(part, column)
+            lo = hi
 
 
 #: Lower-cases A-Z, keeps 0-9, a-z and every byte of a non-ASCII character,

@@ -34,9 +34,9 @@ SHINGLE = 5
 #: Similarity as a fraction: NUM / DEN.
 NUM, DEN = 80, 100
 #: Shingles counted at once, and the count in such a batch that is noted.
-COUNT_BATCH, COUNT_LEAST = 4_000_000, 2
-#: Frequent shingles that move to the end of the order (a broadcast of 16 MB at most).
-HOT_LEAST, HOT_MOST = 8, 1_000_000
+COUNT_BATCH, COUNT_LEAST = 3_000_000, 2
+#: Frequent shingles that move to the end of the order (a broadcast of 6 MB at most).
+HOT_LEAST, HOT_MOST = 8, 400_000
 #: Members of a block; a larger one becomes blocks of pairs of its parts.
 BLOCK_MOST = 8192
 #: Rows of (set, pair) up to which the wanted texts' keys are broadcast.
