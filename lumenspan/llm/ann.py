@@ -23,7 +23,7 @@ from lumenspan.llm.common import materialize, unit_hash
 #: Vectors that the trees are fitted on; trees; leaves of each.
 SAMPLE, TREES, LEAVES = 20_000, 4, 128
 #: Share of all leaves that a query opens.
-OPEN = 0.62
+OPEN = 0.27
 #: Vectors of a bucket, about.
 BUCKET = 200_000
 
