@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one step of a Python worker holds at once.
 CHUNK_BYTES = 1 << 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumenspan/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Give Python workers Arrow batches of 8 MB instead of Spark's default of
+    64, which long texts fill; a session that names another size keeps it."""
+    if spark.conf.get(BATCH_KEY, "") == "67108864b":
+        spark.conf.set(BATCH_KEY, "8m")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage
     ends here, and a lost executor costs at most a re-read."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import alnum_words, chunks
+from lumenspan.llm.common import alnum_words, bound_batches, chunks
 
 SPAN, K = 13, 5
 #: Text of the benchmark in one broadcast block, and rows at most.
@@ -202,6 +202,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k:
     ``docs`` may bear any name.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     state = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("_text"), F.lit(None).cast("binary").alias("_hit"), F.lit(None).cast("array<bigint>").alias("_items"), F.lit(None).cast("bigint").alias("_words"), F.lit(None).cast("bigint").alias("_n"))
     scanned = False
     for block in blocks(benchmark, block_bytes):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import alnum_words, chunks, materialize
+from lumenspan.llm.common import alnum_words, bound_batches, chunks, materialize
 from lumenspan.llm.decontamination import gram_hashes, word_hashes
 
 K = 3
@@ -135,6 +135,7 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, phrase
     Rows that repeat id and text each get the same result; a NULL doc_id stays
     NULL; an empty table gives no row; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     src = _keyed(docs)
     known = template_words(templates)
     size = F.create_map(*[F.lit(x) for no, (_, words) in enumerate(known) for x in (no, max(1, len(words) - k + 1))])

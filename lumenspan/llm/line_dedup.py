@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import chunks, materialize
+from lumenspan.llm.common import bound_batches, chunks, materialize
 from lumenspan.llm.decontamination import gram_hashes, winnow
 
 RUN, LONG_WORDS = 2, 50
@@ -80,6 +80,7 @@ def _anchors(docs: DataFrame, run: int, long_words: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, *, run: int = RUN, long_words: int = LONG_WORDS) -> DataFrame:
     """(doc_id, dkey, start, size) of each window that stands earlier too."""
+    bound_batches(docs.sparkSession)
     anchors = materialize(_anchors(_keyed(docs), run, long_words), "anchors")
     common = anchors.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     places = anchors.join(common, "fp", "left_semi").select("key", "size", "doc_id", "dkey", "start")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import chunks, discard, materialize, space_words
+from lumenspan.llm.common import bound_batches, chunks, discard, materialize, space_words
 from lumenspan.llm.components import components
 
 SHINGLE = 5
@@ -469,6 +469,7 @@ def near_duplicates(docs: DataFrame, *, seed: int = 0) -> DataFrame:
     table gives no row.  Other columns are not read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tkey", F.md5("text"))
     prof = materialize(_profile(src, seed), "profile")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import materialize, scratch_path
+from lumenspan.llm.common import bound_batches, materialize, scratch_path
 
 END_ID, MAX_CACHE, CHUNK = 2, 330_000, 10 << 20
 #: How a byte-level vocabulary writes a space.
@@ -165,6 +165,7 @@ def write(docs: DataFrame, out: str, *, tokenizer: str | None = None, end_id: in
     pos, by which (part, pos) is the order of (doc_id, text), NULLs first."""
     path = tokenizer or vocabulary()
     spark = docs.sparkSession
+    bound_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = src.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
