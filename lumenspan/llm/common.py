@@ -38,7 +38,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def bound_batches(spark: SparkSession) -> None:
     """Give Python workers Arrow batches of 8 MB instead of Spark's default of
     64, which long texts fill; a session that names another size keeps it."""
-    if spark.conf.get(BATCH_KEY, "") == "67108864b":
+    if spark.conf.get(BATCH_KEY, "67108864b") == "67108864b":
         spark.conf.set(BATCH_KEY, "8m")
 
 
