@@ -28,25 +28,30 @@ def item(items: Column, key: str, last: bool = False) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1 if last else 1)["v"])
 
 
+def bound(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def parse_telemetry(line: Column) -> Column:
     """Strict: a struct, or NULL if the prefix, an item, a required key or a
     number is missing, or a key stands twice."""
-    items = telemetry_items(line)
-    keys = F.transform(items, lambda x: x["k"])
-    values = {k: item(items, k).try_cast("int") for k in INTS} | {k: item(items, k).try_cast("double") for k in FLOATS}
-    ok = F.trim(line).startswith("TLM:") & F.forall(items, lambda x: (x["k"] != "") & x["v"].isNotNull()) & (F.size(keys) == F.size(F.array_distinct(keys)))
-    ok = ok & (F.size(F.array_except(F.array(*map(F.lit, REQUIRED)), keys)) == 0)
-    for k in INTS:
-        ok = ok & (item(items, k).isNull() | values[k].isNotNull())
-    for k in FLOATS:
-        ok = ok & (item(items, k).isNull() | finite(values[k]))
-    return F.when(ok, F.struct(values["Z"].alias("z"), values["R"].alias("roll"), values["P"].alias("pitch"), (values["S"] == 1).alias("stable"), F.coalesce(values["H"] == 1, F.lit(False)).alias("homing"), values["VR"].alias("vr"), values["VP"].alias("vp")))
+
+    def parsed(items: Column) -> Column:
+        keys = F.transform(items, lambda x: x["k"])
+        values = {k: item(items, k).try_cast("int") for k in INTS} | {k: item(items, k).try_cast("double") for k in FLOATS}
+        ok = F.trim(line).startswith("TLM:") & F.forall(items, lambda x: (x["k"] != "") & x["v"].isNotNull()) & (F.size(keys) == F.size(F.array_distinct(keys)))
+        ok = ok & (F.size(F.array_except(F.array(*map(F.lit, REQUIRED)), keys)) == 0)
+        known = lambda names, good: F.forall(F.filter(items, lambda x: x["k"].isin(*names)), lambda x: good(x["v"]))
+        ok = ok & known(INTS, lambda v: v.try_cast("int").isNotNull()) & known(FLOATS, lambda v: finite(v.try_cast("double")))
+        return F.when(ok, F.struct(values["Z"].alias("z"), values["R"].alias("roll"), values["P"].alias("pitch"), (values["S"] == 1).alias("stable"), F.coalesce(values["H"] == 1, F.lit(False)).alias("homing"), values["VR"].alias("vr"), values["VP"].alias("vp")))
+
+    return bound(telemetry_items(line), parsed)
 
 
 def parse_lenient(line: Column) -> Column:
     """Items without '=' are skipped, the last of a key counts, missing is 0."""
-    items = telemetry_items(line)
-    return F.struct(*[F.coalesce(item(items, k, last=True).try_cast("double"), F.lit(0.0)).alias(k) for k in ("Z", "R", "P", "S")])
+    return bound(telemetry_items(line), lambda items: F.struct(*[F.coalesce(item(items, k, last=True).try_cast("double"), F.lit(0.0)).alias(k) for k in ("Z", "R", "P", "S")]))
 
 
 def pose_command(z: Column, roll: Column, pitch: Column) -> Column:
