@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.llm.common import bound_batches, materialize, scratch_path
 
-END_ID, MAX_CACHE, CHUNK = 2, 330_000, 10 << 20
+END_ID, MAX_CACHE, CHUNK = 2, 330_000, 4 << 20
 #: How a byte-level vocabulary writes a space.
 SPACE = "\u0120"
 #: Stands for the ids of a part whose text must be encoded whole.
@@ -196,6 +196,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def digest(batches):
+        _workers.clear()  # words remembered while writing are not needed here
         for b in batches:
             ids = b.column(1)
             flat, off = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False).astype("<u4")), ids.offsets.to_numpy()
