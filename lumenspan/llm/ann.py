@@ -2,7 +2,8 @@
 
 The trees are fitted on a bounded sample; every vector is then filed under one
 leaf of each tree.  A query opens leaves of all trees in the order of one
-shared priority queue, by how far it lies beyond the splits in the way.  Leaves
+shared priority queue, by how far it lies beyond the splits in the way; empty
+leaves do not count, and it goes on until enough candidates are met.  Leaves
 are dealt to buckets; a bucket's task holds its vectors, streams the queries
 that open its leaves, and reranks exactly.  Only the best of each query and
 bucket leave the task.
@@ -22,8 +23,9 @@ from lumenspan.llm.common import materialize, unit_hash
 
 #: Vectors that the trees are fitted on; trees; leaves of each.
 SAMPLE, TREES, LEAVES = 20_000, 4, 128
-#: Share of all leaves that a query opens.
-OPEN = 0.27
+#: Share of the leaves that hold vectors that a query opens; distinct
+#: candidates that it meets in any case, or all there are.
+OPEN, LEAST = 0.62, 2000
 #: Vectors of a bucket, about.
 BUCKET = 200_000
 
@@ -67,21 +69,27 @@ class Forest:
             out[:, t] = node - (self.leaves - 1) + t * self.leaves
         return out
 
-    def open(self, x: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves of the shared queue for one query."""
+    def open(self, x: np.ndarray, most: int, held: list[int], least: int) -> list[int]:
+        """The first ``most`` leaves of the shared queue that hold vectors,
+        and more until one tree alone has met ``least`` vectors; ``held`` is
+        the number of vectors in each leaf."""
         far = np.einsum("tkd,d->tk", self.normal, x) - self.offset
         cost, side = (far * far).tolist(), (far > 0).tolist()
         queue = [(0.0, t, 0) for t in range(len(self.normal))]
         out: list[int] = []
         inner = self.leaves - 1
-        while queue and len(out) < most:
+        met = [0] * len(self.normal)
+        while queue and (len(out) < most or max(met) < least):
             d, t, k = heapq.heappop(queue)
             c, s = cost[t], side[t]
             while k < inner:
                 near = 2 * k + 1 + s[k]
                 heapq.heappush(queue, (d + c[k], t, 4 * k + 3 - near))
                 k = near
-            out.append(k - inner + t * self.leaves)
+            leaf = k - inner + t * self.leaves
+            if held[leaf]:
+                out.append(leaf)
+                met[t] += held[leaf]
         return out
 
 
@@ -107,8 +115,9 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
     than most.  A row whose id is the query's is its own and no candidate; an
     id that repeats is listed once, with its best score.  Of equal vectors only
     the k + 1 smallest ids can be among anyone's first k, so the others need
-    no place in the index.  Fewer candidates than k give fewer rows; an empty
-    table gives none; other columns are not read.
+    no place in the index.  Only fewer candidates than k in the table give
+    fewer rows; up to ``LEAST`` distinct vectors all are compared.  An empty
+    table gives no row; other columns are not read.
     """
     spark = table.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -122,10 +131,26 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
     base = _as_matrix(picked.column(0).combine_chunks(), dim) if picked.num_rows else np.zeros((1, dim))
     forest = spark.sparkContext.broadcast(Forest(base, trees, leaves, seed))
     total = forest.value.leaves * trees
-    most = max(1, int(np.ceil(open_share * total)))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(total, max(2 * spark.sparkContext.defaultParallelism, -(-count * trees // BUCKET)))
     kept = rows.withColumn("_r", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("_r") <= k + 1).select("vec_id", "v")
+    kept = materialize(kept, "vectors")
+
+    def fill(batches):
+        f, n = forest.value, np.zeros(total, np.int64)
+        for b in batches:
+            if b.num_rows:
+                n += np.bincount(f.file(_as_matrix(b.column(1), dim)).ravel(), minlength=total)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["leaf", "n"])
+
+    held = [0] * total
+    for r in kept.mapInArrow(fill, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        held[r["leaf"]] = r["n"]
+    most = max(1, int(np.ceil(open_share * sum(x > 0 for x in held))))
+    # an id has at most so many vectors in a tree, so ``least`` of them hold enough distinct ids
+    often = kept.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    least = max(LEAST, 100 * k) * often
 
     def file(batches):
         f = forest.value
@@ -147,7 +172,7 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
             x = _as_matrix(b.column(1), dim)
             out_b, out_i, out_l = [], [], []
             for i in range(len(x)):
-                leaf = np.array(sorted(f.open(x[i], most)), np.int64)
+                leaf = np.array(sorted(f.open(x[i], most, held, least)), np.int64)
                 own = leaf % buckets
                 order = np.argsort(own, kind="stable")
                 names, first = np.unique(own[order], return_index=True)

@@ -379,6 +379,24 @@ def test_nearest_on_awkward_rows(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 15, 21, 40, 500])
+def test_nearest_is_whole_on_small_tables(spark, n):
+    v = np.random.default_rng(n).normal(size=(n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(n)], "vec_id bigint, embedding array<float>")
+    want = {(r.query_id, r.rank, r.vec_id) for r in ann.exact_nearest(df, every=5).collect()}
+    assert {(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, every=5).collect()} == want
+
+
+def test_forest_does_not_count_empty_leaves():
+    x = np.random.default_rng(2).normal(size=(300, 8))
+    f = ann.Forest(x[:40])
+    held = np.bincount(f.file(x[:40]).ravel(), minlength=f.leaves * 4).tolist()
+    got = f.open(x[0], 30, held, 0)
+    assert len(got) == 30 and all(held[i] for i in got)
+    assert max(sum(held[i] for i in f.open(x[0], 1, held, 25) if i // f.leaves == t) for t in range(4)) >= 25
+
+
 # ---- licenses ------------------------------------------------------------------------------------
 
 
