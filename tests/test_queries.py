@@ -44,6 +44,19 @@ def test_query(spark, duck, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+def test_frames_grow_in_number_and_stay_mixed(spark):
+    from pyspark.sql import functions as F
+
+    from lumenspan.plans import kernels
+
+    size = kernels.H * kernels.W_
+    for sf, frames in (("sf0.001", 2), ("sf0.01", 20), ("sf0.1", 196)):
+        got = kernels.rasters(spark, f"/root/testdata/{sf}").groupBy("frame").agg(F.count("*").alias("known"), F.count_if("set").alias("on")).toPandas()
+        assert len(got) == frames
+        whole = got[got["frame"] < frames - 2] if frames > 2 else got
+        assert whole["known"].between(0.6 * size, 0.9 * size).all() and whole["on"].between(0.4 * size, 0.75 * size).all()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
