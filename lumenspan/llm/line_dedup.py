@@ -11,6 +11,7 @@ that touch make runs, and their lines are deleted.
 
 Nothing is compared pair by pair: the first place of each window is a minimum,
 so a line that stands in a third of all documents costs one row for each.
+Lines are compared whole: a passage inside a longer line is not found.
 """
 
 from __future__ import annotations
