@@ -311,6 +311,22 @@ def test_language_of_code_switched_text():
     assert p[:40, 0].min() > 0.5 and p[40:, 1].min() > 0.5
 
 
+def test_language_of_text_without_spaces_is_read_whole():
+    assert language_id.letter_words("Ab 日本語の文章を読む, x".encode()) == ["ab".encode(), "日本語の文".encode(), "章を読む".encode(), b"x"]
+    rng = random.Random(12)
+    aa, bb = ["あいうえおかきくけこ", "一丁七万丈三上下不与"]
+    runs = [(lang, language_id.letter_words("".join(rng.choice(own) for _ in range(200)).encode())) for _ in range(40) for lang, own in (("aa", aa), ("bb", bb))]
+    tagger = language_id.Tagger(language_id.train(runs))
+    text = "".join(rng.choice(aa) for _ in range(5)) + "".join(rng.choice(bb) for _ in range(300))
+    assert tagger.documents([text.encode(), text[:5].encode()])[0][0] == "bb"
+    assert b"".join(language_id.letter_words(text.encode())) == text.encode()
+
+
+def test_every_language_is_sampled(spark):
+    docs = spark.createDataFrame([(i, f"wort{i} thing other", f"l{i % 230}") for i in range(690)], "doc_id bigint, text string, lang string")
+    assert len({x for x, _ in language_id.sample_runs(docs)}) == 230
+
+
 def test_language_query_on_awkward_rows(spark, docs, none):
     model = language_id.train(language_id.sample_runs(docs))
     got = language_id.identify(docs, model, keep=docs.columns)
