@@ -133,7 +133,7 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
     total = forest.value.leaves * trees
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(total, max(2 * spark.sparkContext.defaultParallelism, -(-count * trees // BUCKET)))
-    kept = rows.withColumn("_r", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("_r") <= k + 1).select("vec_id", "v")
+    kept = rows.withColumn("_r", F.dense_rank().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("_r") <= k + 1).select("vec_id", "v").distinct()
     kept = materialize(kept, "vectors")
 
     def fill(batches):
@@ -220,9 +220,13 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
                     cand = np.concatenate([np.arange(a, e) for a, e in spans])
                     s = all_v[cand] @ q
                     room = 2 * k * trees + 1
-                    if len(s) > room:
+                    while len(s) > room:  # repeated ids may fill the room
                         edge = np.partition(s, len(s) - room)[len(s) - room]
-                        cand = cand[s >= edge - 1e-9 * (1 + abs(edge))]
+                        some = cand[s >= edge - 1e-9 * (1 + abs(edge))]
+                        if len(np.unique(all_ids[some])) > k + 1:
+                            cand = some
+                            break
+                        room *= 2
                     who = all_ids[cand]
                     exact = (all_v[cand] * q).sum(1)
                     order = np.lexsort((who, -exact))

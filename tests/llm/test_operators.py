@@ -404,6 +404,22 @@ def test_nearest_is_whole_on_small_tables(spark, n):
     assert {(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, every=5).collect()} == want
 
 
+def test_nearest_with_ids_that_repeat(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 8))
+    near = v[0] + rng.normal(size=(400, 8)) * 1e-3
+    data = [(0, v[0])] + [(1, v[0])] * 60 + [(i, v[0]) for i in range(2, 15)] + [(7, 5 * x) for x in near] + [(i, v[i]) for i in range(15, 60)]
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in data], "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(df).collect()}
+    for q in (0, 20, 40):
+        best = {}
+        for i, x in data:
+            if i != q:
+                best[i] = max(best.get(i, -1e9), float(x @ (v[q] if q else v[0])))
+        want = sorted(best, key=lambda i: (-round(best[i], 9), i))[:20]
+        assert sorted(i for a, i in got if a == q) == sorted(want)
+
+
 def test_forest_does_not_count_empty_leaves():
     x = np.random.default_rng(2).normal(size=(300, 8))
     f = ann.Forest(x[:40])
