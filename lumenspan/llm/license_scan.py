@@ -4,7 +4,8 @@ All rolling word k-gram hashes of all documents are joined with the positions
 of the same k-grams in license templates.  Matches on one diagonal (document
 position minus template position) are counted; neighbouring diagonals, which
 small insertions and deletions part, are merged; a span with enough votes is
-verified on the words by its longest common subsequence with the template.
+verified on the words by its longest common subsequence with the template, in
+windows of twice the template's length all along the span.
 
 Beside that, fixed phrases are looked for, and give labels of their own.
 """
@@ -116,13 +117,23 @@ def votes(docs: DataFrame, templates: dict[str, list[str]], k: int = K) -> DataF
 
 def similarity(span: list[bytes], template: list[bytes]) -> float:
     """Longest common subsequence over the template's length."""
-    best = [0] * (len(span) + 1)
-    for t in template:
-        row, prev = [0], 0
-        for j, s in enumerate(span, 1):
-            row.append(best[j - 1] + 1 if s == t else max(best[j], row[j - 1]))
-        best = row
-    return best[-1] / max(1, len(template))
+    at: dict[bytes, int] = {}
+    for i, t in enumerate(template):
+        at[t] = at.get(t, 0) | 1 << i
+    full = (1 << len(template)) - 1
+    rest = full  # a zero for each step of the subsequence's length
+    for w in span:
+        if both := rest & at.get(w, 0):
+            rest = (rest + both | rest - both) & full
+    return (len(template) - rest.bit_count()) / max(1, len(template))
+
+
+def best_window(words: list[bytes], lo: int, hi: int, template: list[bytes]) -> float:
+    """Best similarity of a window inside a span; windows begin every ``NEAR``
+    words, so any place of up to twice the template's length lies in one."""
+    size, last = 2 * len(template) + 2 * NEAR, min(hi + NEAR, len(words))
+    starts = range(max(0, lo - NEAR), max(last - size, 0, lo - NEAR) + NEAR, NEAR)
+    return max(similarity(words[x : min(x + size, last)], template) for x in starts)
 
 
 def scan(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, k: int = K) -> DataFrame:
@@ -153,8 +164,7 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, phrase
                 words, got = alnum_words(text), {}
                 for s in spans:
                     label, body = known[s["template"]]
-                    lo, hi = max(0, s["lo"] - NEAR), min(s["hi"] + NEAR, s["lo"] + 2 * len(body) + NEAR)
-                    x = similarity(words[lo:hi], body)
+                    x = best_window(words, s["lo"], s["hi"], body)
                     if x >= LEAST_SIMILARITY:
                         got[label] = max(x, got.get(label, 0.0))
                 labels.append(sorted(got))

@@ -432,6 +432,27 @@ def test_forest_does_not_count_empty_leaves():
 # ---- licenses ------------------------------------------------------------------------------------
 
 
+def test_license_after_dense_partial_notices(spark):
+    rng = random.Random(13)
+    body = [f"lic{i}" for i in range(60)]
+    dense = [w for _ in range(60) for w in [*body[:5], rng.choice(NAMES), rng.choice(NAMES)]]
+    for tail in ([], NAMES[:300]):
+        text = " ".join([*dense, *body, *tail])
+        got = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), templates={"lic": [" ".join(body)]}, phrases={}).first()
+        assert (got.labels, got.score) == ("lic", 1.0)
+
+
+def test_similarity_equals_plain_subsequence():
+    rng = random.Random(14)
+    for _ in range(200):
+        a, b = ([rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randrange(30))] for _ in range(2))
+        best = [[0] * (len(a) + 1) for _ in range(len(b) + 1)]
+        for i, t in enumerate(b, 1):
+            for j, x in enumerate(a, 1):
+                best[i][j] = best[i - 1][j - 1] + 1 if x == t else max(best[i - 1][j], best[i][j - 1])
+        assert license_scan.similarity(a, b) == best[-1][-1] / max(1, len(b))
+
+
 def test_license_scan(spark, none):
     mit = license_scan.TEMPLATES["mit-text"][1]
     broken = mit.replace("without restriction", "with no limits at all").replace("free of charge", "free of any charge")
