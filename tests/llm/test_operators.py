@@ -272,6 +272,18 @@ def test_mixing_of_awkward_rows(docs, none, monkeypatch):
     assert plain(mixing.mix(docs).select("row.doc_id", "source", "lang", "topic", "weight", "keep")) == one
 
 
+def test_drawn_marginals_of_the_production_rate(spark):
+    """Cells over probability 1 are clipped; this bounds what the sample misses."""
+    got = mixing.mix(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), keep=["doc_id"]).select("source", "lang", "topic", "n_tokens", "prob", "keep").toPandas()
+    got["expected"], got["drawn"] = got["n_tokens"] * got["prob"], got["n_tokens"] * got["keep"]
+    for d, expected, drawn in (("source", 0.01, 0.14), ("lang", 0.04, 0.04), ("topic", 0.07, 0.12)):
+        by = got.groupby(d)[["n_tokens", "expected", "drawn"]].sum()
+        by = by / by.sum()
+        target = by["n_tokens"] ** mixing.POWERS[d]
+        target /= target.sum()
+        assert (by["expected"] / target - 1).abs().max() < expected and (by["drawn"] / target - 1).abs().max() < drawn
+
+
 # ---- language id and toxicity ------------------------------------------------------------------
 
 
