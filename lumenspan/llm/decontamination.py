@@ -10,8 +10,9 @@ An item of fewer than ``span`` words (but not none) is one window of its own
 length: such items join on the hash of the whole window instead.
 
 The benchmark is broadcast in blocks of bounded text (``block_bytes``); every
-block is joined with all documents in the pass that reads them, so documents
-are never shuffled, whatever passage they share.
+block is joined with all documents in a pass of its own, whose result is written
+before the next block, so a task holds one block's index; documents are never
+shuffled, whatever passage they share.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import alnum_words, bound_batches, chunks
+from lumenspan.llm.common import alnum_words, bound_batches, chunks, discard, materialize
 
 SPAN, K = 13, 5
 #: Text of the benchmark in one broadcast block, and rows at most.
@@ -204,10 +205,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k:
     spark = docs.sparkSession
     bound_batches(spark)
     state = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("_text"), F.lit(None).cast("binary").alias("_hit"), F.lit(None).cast("array<bigint>").alias("_items"), F.lit(None).cast("bigint").alias("_words"), F.lit(None).cast("bigint").alias("_n"))
-    scanned = False
+    index = written = None
     for block in blocks(benchmark, block_bytes):
-        state, scanned = _scan(state, spark.sparkContext.broadcast(Index(block, span, k))), True
-    if not scanned:
+        if index is not None:
+            state = materialize(state, "hits")
+            index.destroy()
+            if written is not None:
+                discard(written)
+            written = state
+        index = spark.sparkContext.broadcast(Index(block, span, k))
+        state = _scan(state, index)
+    if index is None:
         state = _scan(state, spark.sparkContext.broadcast(Index([], span, k)))
     return (
         state.select("row", F.col("_words").alias("n_words"), F.col("_n").alias("n_hit"), F.coalesce("_items", F.array().cast("array<bigint>")).alias("item_ids"))

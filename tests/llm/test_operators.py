@@ -249,6 +249,16 @@ def test_orc_reader_skips_by_id(spark, docs):
 # ---- mixing --------------------------------------------------------------------------------
 
 
+def test_a_pass_holds_one_block_of_the_benchmark(spark):
+    rng = random.Random(15)
+    items = [prose(rng, 20) for _ in range(5)]
+    docs = spark.createDataFrame([(i, f"{prose(rng, 30)} {x}") for i, x in enumerate(items)], "doc_id bigint, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = decontamination.contamination(docs, b, block_bytes=1)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow ") == 1
+    assert sorted((r.row.doc_id, r.n_hit, r.item_ids) for r in got.collect()) == [(i, 20, [i]) for i in range(5)]
+
+
 def test_raking_meets_the_marginals(spark):
     rng = random.Random(8)
     cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", rng.randrange(1, 1000)) for a in range(5) for b in range(3) for c in range(2)], "source string, lang string, topic string, n bigint")
