@@ -1,9 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Token counts are summed by cell (source, language, topic); raking then scales
-the cells' shares until their marginals meet the targets, and a document is
-kept with the probability that its cell's scale allows.  DataFrame functions
-only: no Python runs on the executors.
+Token counts are summed by cell (source, language, topic).  Raking scales what
+is kept of each cell until the kept tokens' marginals meet the targets; a cell
+never keeps more than it has, and what a full cell cannot give the free cells
+of its level take on in the same round.  A document is then kept with its
+cell's kept share.  Where a level's target asks for more tokens than the level
+has, the kept share of the whole (``rate``) is lowered until it does not, so the
+drawn mixture stays calibrated.  DataFrame functions only: no Python runs on
+the executors.
 """
 
 from __future__ import annotations
@@ -18,11 +22,11 @@ from lumenspan.llm.common import materialize
 ITERATIONS = 12
 #: Rounds between two cuts of the plan.
 CUT_ROUNDS = 4
-#: Expected share of the tokens that is kept.
+#: Share of the tokens that is to be kept, where the targets allow it.
 RATE = 0.5
 #: Target of a level: its own share to this power, over all levels.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-#: Up to so many cells, raking runs in one task; beyond, by shuffles.
+#: Up to so many cells, raking runs in one task; beyond, by grouped sums.
 ONE_TASK_CELLS = 100_000
 WORD = r"[^ \t\n\x0B\f\r]+"
 NONE = "(none)"
@@ -44,38 +48,80 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def rake(cells: DataFrame, powers: dict[str, float] = POWERS, iterations: int = ITERATIONS, one_task: bool = True) -> DataFrame:
-    """``cells`` (one column a dimension, n) with share ``w``, whose marginals
-    follow the targets: level share to the dimension's power, normalised.  The
-    plan is cut every few rounds, so that it stays shallow."""
-    cells = cells.coalesce(1) if one_task else cells
-    total = W.partitionBy(F.lit(1))
-    part = {d: W.partitionBy(d) for d in powers}
-    out = cells.withColumn("w", F.col("n") / F.sum("n").over(total))
+def _level_targets(cells: DataFrame, dim: str, power: float, given: dict[str, float] | None, total: float) -> tuple[DataFrame, float]:
+    """(level, target share) of a dimension, and the largest rate at which no
+    level needs more tokens than it has."""
+    levels = cells.groupBy(dim).agg(F.sum("n").alias("has"))
+    named = F.lit(None).cast("double")
+    if given:
+        named = F.create_map(*[F.lit(x) for k, v in given.items() for x in (str(k), float(v))])[F.col(dim)]
+    own = F.pow(F.col("has") / F.lit(total), F.lit(float(power)))
+    levels = materialize(levels.withColumn("named", named).withColumn("own", F.when(F.col("named").isNull(), own)), "levels")
+    sums = levels.agg(F.sum("named").alias("named"), F.sum("own").alias("own")).first()
+    fixed, free = float(sums["named"] or 0.0), float(sums["own"] or 0.0)
+    # named levels that the table lacks leave their share to the others
+    rest = max(0.0, 1.0 - fixed) if free else 0.0
+    share = F.coalesce("named", F.col("own") * F.lit(rest / free if free else 0.0)) / F.lit(fixed + rest or 1.0)
+    levels = levels.withColumn("target", share)
+    feasible = levels.where("target > 0").agg(F.min(F.col("has") / (F.col("target") * F.lit(total)))).first()[0]
+    return levels.select(dim, F.col("target").alias(f"t_{dim}")), float(feasible if feasible is not None else 1.0)
+
+
+def rake(cells: DataFrame, powers: dict[str, float] = POWERS, iterations: int = ITERATIONS, one_task: bool = True, *, rate: float = RATE, targets: dict[str, dict[str, float]] | None = None) -> tuple[DataFrame, float]:
+    """``cells`` (one column a dimension, n > 0) with ``m``, the tokens to be
+    kept of each, and ``t_<dimension>``, the target share of its level; and the
+    rate that was possible.  The marginals of m follow the targets: those given
+    (level to share), else the level's share to the dimension's power,
+    normalised.  0 <= m <= n.  The plan is cut every few rounds.
+    """
+    total = float(cells.agg(F.sum("n")).first()[0] or 0)
+    if not total:
+        return cells.withColumns({"m": F.lit(0.0), **{f"t_{d}": F.lit(0.0) for d in powers}}), rate
+    out = cells
     for d, p in powers.items():
-        mass = F.pow(F.sum("w").over(part[d]), F.lit(float(p)))
-        out = out.withColumn(f"t_{d}", mass).withColumn("_k", mass / F.count("*").over(part[d]))
-        out = out.withColumn(f"t_{d}", F.col(f"t_{d}") / F.sum("_k").over(total)).drop("_k")
+        levels, feasible = _level_targets(cells, d, p, (targets or {}).get(d), total)
+        rate = min(rate, feasible)
+        out = out.join(F.broadcast(levels) if one_task else levels, d)  # no more levels than cells
+    out = materialize(out.withColumn("m", F.lit(rate) * F.col("n")), "raked")
+    out = out.coalesce(1) if one_task else out
     for k in range(iterations):
-        if k and k % CUT_ROUNDS == 0:
-            out = materialize(out, "raked")
-            out = out.coalesce(1) if one_task else out
+        if one_task and k and k % CUT_ROUNDS == 0:
+            out = materialize(out, "raked").coalesce(1)
         for d in powers:
-            out = out.withColumn("w", F.col("w") * F.col(f"t_{d}") / F.sum("w").over(part[d]))
-    return out
-
-
-def mix(docs: DataFrame, *, keep: list[str] | None = None, rate: float = RATE, powers: dict[str, float] = POWERS, iterations: int = ITERATIONS, seed: int = 17) -> DataFrame:
+            if one_task:
+                out = out.withColumn("_sum", F.sum("m").over(W.partitionBy(d)))
+            else:
+                out = out.join(materialize(out.groupBy(d).agg(F.sum("m").alias("_sum")), "sums"), d)
+            fitted = F.when(F.col("_sum") > 0, F.col("m") * (F.col(f"t_{d}") * F.lit(rate * total) / F.col("_sum"))).otherwise(F.lit(0.0))
+            out = out.withColumn("m", F.least(F.col("n").cast("double"), fitted)).drop("_sum")
+            out = out if one_task else materialize(out, "raked")
+    return out, rate
+
+
+def gaps(raked: DataFrame, dims: list[str]) -> DataFrame:
+    """(dimension, level, target, expected, gap) of raked cells: the share of
+    the kept tokens that each level is to have and will have, and how far that
+    is off, relative to the target."""
+    kept = float(raked.agg(F.sum("m")).first()[0] or 1.0)
+    out = None
+    for d in dims:
+        level = raked.groupBy(F.col(d).alias("level")).agg(F.first(f"t_{d}").alias("target"), (F.sum("m") / F.lit(kept)).alias("expected")).withColumn("dimension", F.lit(d))
+        out = level if out is None else out.union(level)
+    return out.select("dimension", "level", "target", "expected", (F.col("expected") / F.col("target") - 1).alias("gap"))
+
+
+def mix(docs: DataFrame, *, keep: list[str] | None = None, rate: float = RATE, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, iterations: int = ITERATIONS, seed: int = 17) -> DataFrame:
     """Every row of docs (its columns ``keep``, all if None) as struct ``row`` with source, lang, topic, n_tokens,
-    weight (target share of its cell's tokens over their present share), prob
-    (min(1, rate * weight)) and keep (a hash of doc_id and seed lies below
-    prob; rows that repeat a doc_id share its fate).
-
-    NULL source or language is a level of its own, ``(none)``.  Rows without
-    tokens take weight 1: they cost nothing.  A NULL doc_id counts as the id
+    weight (kept share of its cell's tokens over that of all), prob (kept share
+    of its cell's tokens, 1 at most) and keep (a hash of doc_id and seed lies
+    below prob; rows that repeat a doc_id share its fate).
+
+    ``targets`` gives shares of the kept tokens by dimension and level; levels
+    not named there share what is left by ``powers``.  NULL source or language
+    is a level of its own, ``(none)``.  Rows without tokens take weight 1 and
+    the rate itself as prob: they cost nothing.  A NULL doc_id counts as the id
     ''.  An empty table gives no row.  Columns of docs may bear any name.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"),
         F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"),
@@ -87,13 +133,11 @@ def mix(docs: DataFrame, *, keep: list[str] | None = None, rate: float = RATE, p
     dims = list(powers)
     cells = materialize(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("n")).where("n > 0"), "cells")
     few = cells.count() <= ONE_TASK_CELLS
-    raked = rake(cells, powers, iterations, one_task=few)
-    whole = W.partitionBy(F.lit(1))
-    weights = materialize(raked.withColumn("weight", F.col("w") / (F.col("n") / F.sum("n").over(whole))).select(*dims, "weight"), "weights")
-    weights = F.broadcast(weights) if few else weights
-    out = rows.join(weights, dims, "left")
-    weight = F.when(F.col("n_tokens") > 0, F.coalesce("weight", F.lit(1.0))).otherwise(F.lit(1.0))
-    out = out.withColumn("weight", F.round(weight, 6)).withColumn("prob", F.least(F.lit(1.0), F.round(F.lit(float(rate)) * F.col("weight"), 6)))
+    raked, rate = rake(cells, powers, iterations, few, rate=rate, targets=targets)
+    shares = materialize(raked.select(*dims, (F.col("m") / F.col("n")).alias("share")), "shares")
+    out = rows.join(F.broadcast(shares) if few else shares, dims, "left")
+    share = F.when(F.col("n_tokens") > 0, F.col("share")).otherwise(F.lit(rate))
+    out = out.withColumns({"weight": F.round(share / F.lit(rate), 6), "prob": F.round(share, 6)}).drop("share")
     return out.withColumn("keep", draw(F.col("row.doc_id"), seed) < F.col("prob"))
 
 
@@ -106,13 +150,15 @@ def draw(doc_id: Column, seed: int) -> Column:
 def oracle_sql(rate: float = RATE, powers: dict[str, float] = POWERS, iterations: int = ITERATIONS, seed: int = 17) -> str:
     steps = []
     prev = "r0"
-    targets = ", ".join(f"power(sum(w) over (partition by {d}), {p}) as u_{d}, count(*) over (partition by {d}) as c_{d}" for d, p in powers.items())
+    levels = ", ".join(f"sum(n) over (partition by {d}) as h_{d}, count(*) over (partition by {d}) as c_{d}" for d in powers)
+    own = ", ".join(f"power(h_{d} / total, {p}) as u_{d}" for d, p in powers.items())
     normal = ", ".join(f"u_{d} / sum(u_{d} / c_{d}) over () as t_{d}" for d in powers)
+    feasible = ", ".join(f"min(h_{d} / (t_{d} * total)) over ()" for d in powers)
     i = 0
     for _ in range(iterations):
         for d in powers:
             i += 1
-            steps.append(f"r{i} as (select * replace (w * t_{d} / sum(w) over (partition by {d}) as w) from {prev})")
+            steps.append(f"r{i} as (select * replace (least(n, m * (t_{d} * rate * total / sum(m) over (partition by {d}))) as m) from {prev})")
             prev = f"r{i}"
     return f"""
 with rows_ as (
@@ -124,16 +170,17 @@ with rows_ as (
          else 'prose' end as topic,
     coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0)::bigint as n_tokens
   from documents),
-cells as (select source, lang, topic, sum(n_tokens)::bigint as n from rows_ group by all having sum(n_tokens) > 0),
-s as (select *, n::double / sum(n) over () as w from cells),
-u as (select *, {targets} from s),
-r0 as (select source, lang, topic, n, w, {normal} from u),
+cells as (select source, lang, topic, sum(n_tokens)::double as n from rows_ group by all having sum(n_tokens) > 0),
+s as (select *, sum(n) over () as total, {levels} from cells),
+u as (select *, {own} from s),
+t as (select *, {normal} from u),
+f as (select *, least({rate}::double, {feasible}) as rate from t),
+r0 as (select *, rate * n as m from f),
 {", ".join(steps)},
-weights as (select source, lang, topic, w / (n::double / sum(n) over ()) as weight from {prev}),
-j as (select r.doc_id, r.source, r.lang, r.topic, r.n_tokens,
-    round(case when n_tokens > 0 then coalesce(weight, 1.0) else 1.0 end, 6) as weight
-  from rows_ r left join weights using (source, lang, topic)),
-p as (select *, least(1.0, round({rate} * weight, 6)) as prob from j)
+j as (select r.doc_id, r.source, r.lang, r.topic, r.n_tokens, (select any_value(rate) from f) as rate,
+    case when n_tokens > 0 then m / n else (select any_value(rate) from f) end as share
+  from rows_ r left join {prev} using (source, lang, topic)),
+p as (select *, round(share / rate, 6) as weight, round(share, 6) as prob from j)
 select doc_id, source, lang, topic, n_tokens, weight, prob,
   (('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0) < prob as keep
 from p
