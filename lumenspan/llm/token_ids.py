@@ -1,7 +1,7 @@
 """Token ids in ORC files: written in ascending document order, read back.
 
-Documents are dealt by ranges of (doc_id, text) and sorted within; each task
-tokenizes its range and writes stripes whose integer columns are run-length
+Documents are dealt by ranges of doc_id, and of a hash of the text where an id
+repeats, and sorted within; each task tokenizes its range and writes stripes whose integer columns are run-length
 encoded, with row indexes, and a Bloom filter on doc_id.  A reader of a few
 ids skips files, stripes and row groups by that metadata; a reader of all
 takes the stripes in parallel.
@@ -9,6 +9,7 @@ takes the stripes in parallel.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -18,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import bound_batches, materialize, scratch_path
+from lumenspan.llm.common import bound_batches, lean, materialize, scratch_path
 
-END_ID, MAX_CACHE, CHUNK = 2, 330_000, 4 << 20
+END_ID, MAX_CACHE, CHUNK = 2, 330_000, 2 << 20
 #: How a byte-level vocabulary writes a space.
 SPACE = "\u0120"
 #: Stands for the ids of a part whose text must be encoded whole.
@@ -57,6 +58,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
@@ -162,13 +164,16 @@ def encoder(path: str) -> Encoder:
 
 def write(docs: DataFrame, out: str, *, tokenizer: str | None = None, end_id: int = END_ID, partitions: int | None = None) -> None:
     """ORC files at ``out``: doc_id, ids (the text's ids and end_id), part and
-    pos, by which (part, pos) is the order of (doc_id, text), NULLs first."""
+    pos, by which (part, pos) is the order of doc_id, NULLs first, and of the
+    text's hash and the text where an id repeats.  The driver sees sampled
+    numbers only, never texts."""
     path = tokenizer or vocabulary()
     spark = docs.sparkSession
     bound_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = src.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    src = src.withColumn("_hash", F.xxhash64("text"))
+    ordered = src.repartitionByRange(n, "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches):
         enc, pos = encoder(path), 0
@@ -178,7 +183,7 @@ def write(docs: DataFrame, out: str, *, tokenizer: str | None = None, end_id: in
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, batch.column(2), pa.array(np.arange(pos, pos + len(length)))], names=["doc_id", "ids", "part", "pos"])
             pos += len(length)
 
-    ordered.mapInArrow(run, "doc_id bigint, ids array<int>, part int, pos bigint").write.options(**ORC_OPTIONS).orc(out)
+    ordered.mapInArrow(lean(run), "doc_id bigint, ids array<int>, part int, pos bigint").write.options(**ORC_OPTIONS).orc(out)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -204,7 +209,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(view[4 * a : 4 * e]) for a, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "pos", "n_tokens", "ids_crc32"])
 
-    rows = read(spark, path).mapInArrow(digest, "doc_id bigint, part int, pos bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = read(spark, path).mapInArrow(lean(digest), "doc_id bigint, part int, pos bigint, n_tokens bigint, ids_crc32 bigint")
     rows = materialize(rows, "token-index")
     lengths = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = lengths.select("part", (F.sum("_n").over(W.orderBy("part")) - F.col("_n")).alias("_before"))
@@ -216,8 +221,8 @@ def roundtrip(docs: DataFrame, **options) -> DataFrame:
     """write() to the shared folder, then index().
 
     NULL and empty texts hold the end id alone; NULL ids come first; rows that
-    repeat a doc_id are ordered by text, and equal rows take places of their
-    own; an empty table gives no row; other columns are not read.
+    repeat a doc_id are ordered by the text's hash, then text, and equal rows take
+    places of their own; an empty table gives no row; other columns are not read.
     """
     spark = docs.sparkSession
     out = scratch_path(spark, "token-ids")

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from lumenspan.llm import ann, components, decontamination, language_id, license_scan, line_dedup, mixing, ngram_join, queries, token_ids, toxicity, warc
 
@@ -217,7 +218,8 @@ def test_token_ids_round_trip(docs, none):
 
     tk = Tokenizer.from_file(token_ids.vocabulary())
     start, want = 0, []
-    for i, text in sorted(((r[0], r[1] or "") for r in rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode())):
+    signed = lambda x: np.uint64(xxhash.xxh64(x.encode(), seed=42).intdigest()).astype(np.int64)
+    for i, text in sorted(((r[0], r[1] or "") for r in rows()), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]), r[1].encode())):
         ids = np.array([*tk.encode(text, add_special_tokens=False).ids, 2], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
