@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import materialize, unit_hash
+from lumenspan.llm.common import lean, materialize, unit_hash
 
 #: Vectors that the trees are fitted on; trees; leaves of each.
 SAMPLE, TREES, LEAVES = 20_000, 4, 128
@@ -145,7 +145,7 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["leaf", "n"])
 
     held = [0] * total
-    for r in kept.mapInArrow(fill, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+    for r in kept.mapInArrow(lean(fill), "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
         held[r["leaf"]] = r["n"]
     most = max(1, int(np.ceil(open_share * sum(x > 0 for x in held))))
     # an id has at most so many vectors in a tree, so ``least`` of them hold enough distinct ids
@@ -184,7 +184,7 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(np.ones(len(out_i), np.int32)), got.column(0), got.column(1), pa.array(out_l, pa.list_(pa.int32()))], names=["bucket", "kind", "vec_id", "v", "leaf"])
 
     filed = "bucket int, kind int, vec_id bigint, v array<double>, leaf array<int>"
-    both = kept.mapInArrow(file, filed).union(rows.where(F.col("vec_id") % every == 0).mapInArrow(ask, filed))
+    both = kept.mapInArrow(lean(file), filed).union(rows.where(F.col("vec_id") % every == 0).mapInArrow(lean(ask), filed))
     both = both.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
 
     def rerank(batches):
@@ -242,7 +242,7 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
                 if out_q:
                     yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = both.mapInArrow(rerank, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = both.mapInArrow(lean(rerank), "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

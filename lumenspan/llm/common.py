@@ -1,10 +1,12 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, word
+"""Shared helpers: written tables in the cluster's shared folder, word
 splitting over Arrow batches, and deterministic folds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -12,34 +14,48 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenspan.session import scratch as scratch_path
+
 #: Text bytes that one step of a Python worker holds at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a table, measured first, up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+def bound_batches(spark: SparkSession) -> None:
+    """Give Python workers Arrow batches of 4 MB instead of Spark's default of
+    64, which long texts fill; a session that names another size keeps it."""
+    if spark.conf.get(BATCH_KEY, "67108864b") == "67108864b":
+        spark.conf.set(BATCH_KEY, "4m")
 
-    Where the setting is absent (tests on one machine) a new temporary folder
-    is made once for the session.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="lumenspan-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
 
+def lean(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``step`` over Arrow batches, after whose end the worker gives the memory
+    that it freed back to the system: Spark keeps Python workers for the stages
+    that follow, beside an executor whose heap has grown meanwhile."""
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lumenspan/{name}-{uuid.uuid4().hex}"
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
 
+    return run
 
-def bound_batches(spark: SparkSession) -> None:
-    """Give Python workers Arrow batches of 8 MB instead of Spark's default of
-    64, which long texts fill; a session that names another size keeps it."""
-    if spark.conf.get(BATCH_KEY, "67108864b") == "67108864b":
-        spark.conf.set(BATCH_KEY, "8m")
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def broadcast_small(df: DataFrame, row_bytes: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a written table) to be broadcast if its rows, at ``row_bytes``
+    each, hold ``most`` bytes at most; else as it is, to be joined by shuffles."""
+    held = df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import discard, materialize
+from lumenspan.llm.common import discard, lean, materialize
 
 #: Up to so many links (a count made first) one task joins them; beyond, the
 #: links shrink to stars by joins that are spread over the cluster.
@@ -20,7 +20,7 @@ def components(links: DataFrame, *, one_task: int = ONE_TASK_LINKS) -> DataFrame
     an empty table gives no row."""
     links = materialize(links.select("a", "b").where("a <> b").distinct(), "links")
     if links.count() <= one_task:
-        return links.coalesce(1).mapInArrow(_union_find, "node bigint, label bigint")
+        return links.coalesce(1).mapInArrow(lean(_union_find), "node bigint, label bigint")
     return _stars(links)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import alnum_words, bound_batches, chunks, discard, materialize
+from lumenspan.llm.common import alnum_words, bound_batches, chunks, discard, lean, materialize
 
 SPAN, K = 13, 5
 #: Text of the benchmark in one broadcast block, and rows at most.
@@ -186,7 +186,7 @@ def _scan(docs: DataFrame, index) -> DataFrame:
             out = {"_hit": pa.array(new_hit, pa.binary()), "_items": pa.array(new_items, pa.list_(pa.int64())), "_words": pa.array(length), "_n": pa.array(n_hit, pa.int64())}
             yield pa.RecordBatch.from_arrays([out.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], schema=pa.schema([pa.field(f.name, out[f.name].type if f.name in out else f.type) for f in batch.schema]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:

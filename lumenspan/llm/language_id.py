@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import ALNUM, bound_batches, chunks, texts_of, unit_hash
+from lumenspan.llm.common import ALNUM, bound_batches, chunks, lean, texts_of, unit_hash
 
 TRAIN_DOCS, RUN_WORDS, SEQ_WORDS = 4000, 60, 120
 BITS, HEAD, MAX_CACHE = 16, 16, 200_000
@@ -207,7 +207,7 @@ def sample_runs(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, run_words: int
                 out.append(b" ".join(w[at : at + run_words]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.string())], names=["lang", "run"])
 
-    got = picked.mapInArrow(cut, "lang string, run string").collect()
+    got = picked.mapInArrow(lean(cut), "lang string, run string").collect()
     return sorted((r["lang"], r["run"].encode().split()) for r in got if r["run"])
 
 
@@ -315,4 +315,4 @@ def identify(docs: DataFrame, model: Model, *, keep: list[str] | None = None, te
             got = tagger.documents(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["row", "lang_pred", "score"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)

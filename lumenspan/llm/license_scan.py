@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import alnum_words, bound_batches, chunks, materialize
+from lumenspan.llm.common import alnum_words, bound_batches, chunks, lean, materialize
 from lumenspan.llm.decontamination import gram_hashes, word_hashes
 
 K = 3
@@ -80,7 +80,7 @@ def _phrases(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.list_(pa.string()))], names=["doc_id", "dkey", "n_words", "n_base", "first_word", "last_word", "base"])
 
-    return docs.mapInArrow(run, "doc_id bigint, dkey bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base array<string>")
+    return docs.mapInArrow(lean(run), "doc_id bigint, dkey bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base array<string>")
 
 
 def _grams(docs: DataFrame, k: int) -> DataFrame:
@@ -99,7 +99,7 @@ def _grams(docs: DataFrame, k: int) -> DataFrame:
             rows = pa.array(owner[at])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - first[owner[at]]).astype(np.int32)), pa.array(g[at].astype(np.int64))], names=["doc_id", "dkey", "pos", "gram"])
 
-    return docs.mapInArrow(run, "doc_id bigint, dkey bigint, pos int, gram bigint")
+    return docs.mapInArrow(lean(run), "doc_id bigint, dkey bigint, pos int, gram bigint")
 
 
 def votes(docs: DataFrame, templates: dict[str, list[str]], k: int = K) -> DataFrame:
@@ -171,7 +171,7 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, phrase
                 scores.append(max(got.values(), default=0.0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(labels, pa.list_(pa.string())), pa.array(scores, pa.float64())], names=["_id", "_key", "own", "similarity"])
 
-    own = texts.mapInArrow(verify, "_id bigint, _key bigint, own array<string>, similarity double").groupBy("_id", "_key").agg(F.first("own").alias("own"), F.max("similarity").alias("similarity"))
+    own = texts.mapInArrow(lean(verify), "_id bigint, _key bigint, own array<string>, similarity double").groupBy("_id", "_key").agg(F.first("own").alias("own"), F.max("similarity").alias("similarity"))
     own = materialize(own, "labels")
     out = _phrases(src, phrases).join(F.broadcast(own) if few else own, same, "left")
     found = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("own", F.array().cast("array<string>")))))

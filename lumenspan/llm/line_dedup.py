@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import bound_batches, chunks, materialize
+from lumenspan.llm.common import bound_batches, chunks, lean, materialize
 from lumenspan.llm.decontamination import gram_hashes, winnow
 
 RUN, LONG_WORDS = 2, 50
@@ -76,7 +76,7 @@ def _anchors(docs: DataFrame, run: int, long_words: int) -> DataFrame:
                 names=["fp", "doc_id", "dkey", "key", "start", "size"],
             )
 
-    return docs.mapInArrow(go, "fp bigint, doc_id bigint, dkey bigint, key bigint, start int, size int")
+    return docs.mapInArrow(lean(go), "fp bigint, doc_id bigint, dkey bigint, key bigint, start int, size int")
 
 
 def repeated_windows(docs: DataFrame, *, run: int = RUN, long_words: int = LONG_WORDS) -> DataFrame:
@@ -124,7 +124,7 @@ def deduplicate(docs: DataFrame, *, run: int = RUN, long_words: int = LONG_WORDS
             span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, span), pa.array(out, pa.string())], names=["doc_id", "n_lines", "n_removed", "runs", "text"])
 
-    return rows.mapInArrow(cut, "doc_id bigint, n_lines bigint, n_removed bigint, runs array<struct<first:int,last:int>>, text string")
+    return rows.mapInArrow(lean(cut), "doc_id bigint, n_lines bigint, n_removed bigint, runs array<struct<first:int,last:int>>, text string")
 
 
 ORACLE_SQL = r"""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import bound_batches, chunks, discard, materialize, space_words
+from lumenspan.llm.common import bound_batches, chunks, discard, lean, materialize, space_words
 from lumenspan.llm.components import components
 
 SHINGLE = 5
@@ -129,7 +129,7 @@ def _profile(docs: DataFrame, seed: int) -> DataFrame:
         if pool:
             yield counted()
 
-    return docs.mapInArrow(run, "doc_id bigint, tkey string, sid bigint, check bigint, n int, bits binary")
+    return docs.mapInArrow(lean(run), "doc_id bigint, tkey string, sid bigint, check bigint, n int, bits binary")
 
 
 def _prefixes(docs: DataFrame, hot, seed: int) -> DataFrame:
@@ -159,7 +159,7 @@ def _prefixes(docs: DataFrame, hot, seed: int) -> DataFrame:
             if out_t:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).astype(np.int64)), pa.array(np.concatenate(out_s)), pa.array(np.concatenate(out_n))], names=["token", "sid", "n"])
 
-    return docs.mapInArrow(run, "token bigint, sid bigint, n int")
+    return docs.mapInArrow(lean(run), "token bigint, sid bigint, n int")
 
 
 def _runs(batches, columns: int) -> Iterator[list[np.ndarray]]:
@@ -454,7 +454,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, seed: int) -> D
     texts = docs.select("tkey", "text").join(keys, "tkey").groupBy("sid").agg(F.first("text").alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = ends.join(texts, "sid").select("a", "b", "sid", "text").repartition(n, "a", "b").sortWithinPartitions("a", "b")
-    return rows.mapInArrow(_verify(seed), "a bigint, b bigint")
+    return rows.mapInArrow(lean(_verify(seed)), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, seed: int = 0) -> DataFrame:
@@ -484,14 +484,14 @@ def near_duplicates(docs: DataFrame, *, seed: int = 0) -> DataFrame:
     order = np.argsort(tokens)
     hot = spark.sparkContext.broadcast((tokens[order], counts[order]))
     grouped = _prefixes(src, hot, seed).repartition(n, "token").sortWithinPartitions("token", "sid")
-    members = materialize(grouped.mapInArrow(_blocks, "block bigint, sid bigint").distinct(), "members")
+    members = materialize(grouped.mapInArrow(lean(_blocks), "block bigint, sid bigint").distinct(), "members")
     links, labels, tried, used = None, None, None, [sets, members]
     for forest in (True, False):
         own = members if labels is None else members.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
         own = own.withColumn("label", F.coalesce("label", "sid") if labels is not None else F.col("sid"))
         full = own.join(sets.select("sid", "n", "bits"), "sid")
         full = full.select("block", "sid", "n", "bits", "label").repartition(n, "block").sortWithinPartitions("block")
-        found = full.mapInArrow(_candidates(forest), "a bigint, b bigint, again bigint").distinct()
+        found = full.mapInArrow(lean(_candidates(forest)), "a bigint, b bigint, again bigint").distinct()
         if tried is not None:
             found = found.join(tried, ["a", "b"], "left_anti")
         found = materialize(found, "pairs")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import materialize, scratch_path
+from lumenspan.llm.common import lean, materialize, scratch_path
 
 MARK, END = b"WARC/1.0\r\n", b"\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -60,7 +60,7 @@ def _digests(pages: DataFrame) -> DataFrame:
             bodies = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest_of(x) for x in bodies], pa.string()), pa.array([len(x) for x in bodies], pa.int64())], names=["page_id", "digest", "size"])
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id bigint, digest string, size bigint")
+    return pages.select("page_id", "html").mapInArrow(lean(run), "page_id bigint, digest string, size bigint")
 
 
 def write(pages: DataFrame, out: str, *, min_bytes: int = MIN_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
@@ -77,7 +77,7 @@ def write(pages: DataFrame, out: str, *, min_bytes: int = MIN_BYTES, records_per
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest_of(x) for x in bodies], pa.string())], names=["page_id", "url", "html", "digest"])
 
     few = kept.count() <= BROADCAST_ROWS
-    rows = src.mapInArrow(digested, "page_id bigint, url string, html string, digest string").join(F.broadcast(kept) if few else kept, "digest", "left")
+    rows = src.mapInArrow(lean(digested), "page_id bigint, url string, html string, digest string").join(F.broadcast(kept) if few else kept, "digest", "left")
 
     def records(batches):
         for b in batches:
@@ -87,7 +87,7 @@ def write(pages: DataFrame, out: str, *, min_bytes: int = MIN_BYTES, records_per
                 got.append(record(page, url, html, digest, refers).decode())
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["value"])
 
-    rows = rows.select("page_id", "url", "html", "digest", "keeper").mapInArrow(records, "value string")
+    rows = rows.select("page_id", "url", "html", "digest", "keeper").mapInArrow(lean(records), "value string")
     rows.write.option("lineSep", END.decode()).option("maxRecordsPerFile", records_per_file).text(out)
 
 
@@ -115,7 +115,7 @@ def places(spark: SparkSession, path: str) -> DataFrame:
 
     schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("next", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("stated_bytes", pa.int64()), ("stated_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, at bigint, next bigint, page_id bigint, record_type string, refers_to bigint, stated_bytes bigint, stated_digest string, payload_bytes bigint, payload_digest string")
+    return files.mapInArrow(lean(run), "file string, at bigint, next bigint, page_id bigint, record_type string, refers_to bigint, stated_bytes bigint, stated_digest string, payload_bytes bigint, payload_digest string")
 
 
 def _page(urn: bytes | None) -> int | None:
