@@ -1,162 +1,188 @@
 """WARC files: written by Spark's text writer, read back by boundary chains.
 
 A record's bytes are a row of text and its end mark is the line separator, so
-the writer's commit protocol covers the archives.  A reader looks for the
-record mark everywhere in a file, also inside payloads; each place that looks
-like a header claims the place of its successor.  Pointer jumping from the
-start of the file keeps the places that the chain reaches, so a mark inside a
-payload is never taken for a record.
+the writer's commit protocol covers the archives.  The reader takes byte
+ranges of them, parted at the record mark wherever it stands, also inside
+payloads: each piece that begins like a header claims the place of its
+successor.  Claims of the place where the very next piece begins join pieces
+into runs; pointer jumping over the other claims, from the start of each file,
+keeps the runs that the chain reaches and where it enters them, so a mark
+inside a payload is never taken for a record.  A task holds one piece at a
+time, and rounds grow with the logarithm of the marks inside payloads, not with
+the number of records.  Columns and SQL functions only.
 """
 
 from __future__ import annotations
 
-import base64
-import hashlib
-import re
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import lean, materialize, scratch_path
+from lumenspan.llm.common import broadcast_small, discard, materialize, scratch_path
 
-MARK, END = b"WARC/1.0\r\n", b"\r\n\r\n"
+MARK, END = "WARC/1.0\r\n", "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
-#: Records in one file at most: bounds the rounds of pointer jumping and a task's memory.
-RECORDS_PER_FILE = 512
-#: Distinct repeated payloads up to which the table of them is broadcast.
-BROADCAST_ROWS = 500_000
 MIN_BYTES = 0
-_HEADER = re.compile(rb"WARC/1\.0\r\n((?:[^\r\n]+\r\n)*)\r\n")
-HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def digest_of(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+def digest_of(payload: Column) -> Column:
+    """SHA-1 in base 32: each five digits of the hexadecimal form are four."""
+    digits = F.sha1(payload)
 
+    def one(i: Column) -> Column:
+        group = F.conv(F.substr(digits, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
+        return F.substr(F.lit(BASE32), F.call_function("shiftright", group, 15 - 5 * (i % 4)).bitwiseAND(F.lit(31)) + 1, F.lit(1))
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), one), "")
+
+
+def _uri(url: Column) -> Column:
+    """The url with control characters and spaces escaped."""
+    escaped = reduce(lambda x, i: F.replace(x, F.lit(chr(i)), F.lit(f"%{i:02X}")), [*range(33), 127], url)
+    return F.when(url.rlike(r"[\x00-\x20\x7F]"), escaped).when(url != "", url)
+
+
+def record(page_id: Column, url: Column, payload: Column, digest: Column, refers_to: Column) -> Column:
     """A response record, or a revisit record without payload."""
-    revisit = refers_to is not None
-    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else None
-    block = b"" if revisit else HTTP + payload
-    lines = [
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>",
-        f"WARC-Date: {DATE}",
-        *([f"WARC-Target-URI: {uri}"] if uri else []),
-        f"WARC-Payload-Digest: sha1:{digest}",
-        *([f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"] if revisit else []),
-        f"X-Payload-Length: {len(payload)}",
-        "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
-    ]
-    return MARK + "".join(x + "\r\n" for x in lines).encode() + b"\r\n" + block
-
-
-def _digests(pages: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            bodies = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest_of(x) for x in bodies], pa.string()), pa.array([len(x) for x in bodies], pa.int64())], names=["page_id", "digest", "size"])
-
-    return pages.select("page_id", "html").mapInArrow(lean(run), "page_id bigint, digest string, size bigint")
-
-
-def write(pages: DataFrame, out: str, *, min_bytes: int = MIN_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
+    revisit, line = refers_to.isNotNull(), lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x], F.lit("\r\n"))
+    block = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(HTTP), payload))
+    return F.concat(
+        F.lit(MARK),
+        line("WARC-Type: ", F.when(revisit, "revisit").otherwise("response")),
+        line("WARC-Record-ID: <urn:page:", F.coalesce(page_id.cast("string"), F.lit("null")), ">"),
+        line(f"WARC-Date: {DATE}"),
+        F.coalesce(line("WARC-Target-URI: ", _uri(url)), F.lit("")),
+        line("WARC-Payload-Digest: sha1:", digest),
+        F.coalesce(line("WARC-Refers-To: <urn:page:", refers_to.cast("string"), f">\r\nWARC-Profile: {PROFILE}"), F.lit("")),
+        line("X-Payload-Length: ", F.octet_length(payload).cast("string")),
+        line("Content-Type: application/http; msgtype=response"),
+        line("Content-Length: ", F.octet_length(block).cast("string")),
+        F.lit("\r\n"),
+        block,
+    )
+
+
+def write(pages: DataFrame, out: str, *, min_bytes: int = MIN_BYTES, records_per_file: int = 0) -> None:
     """Archives of (page_id, url, html) at ``out``.  Of equal payloads of at
-    least ``min_bytes`` the one with the largest page_id is stored."""
-    spark = pages.sparkSession
+    least ``min_bytes`` the one with the largest page_id is stored.  A task
+    writes one file, or files of ``records_per_file`` if that is not 0."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    kept = _digests(src).where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("digest", "keeper")
+    src = src.withColumn("digest", digest_of(F.col("html").cast("binary")))
+    kept = src.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("digest", "keeper")
     kept = materialize(kept, "repeated")
-
-    def digested(batches):
-        for b in batches:
-            bodies = [x or b"" for x in b.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest_of(x) for x in bodies], pa.string())], names=["page_id", "url", "html", "digest"])
-
-    few = kept.count() <= BROADCAST_ROWS
-    rows = src.mapInArrow(lean(digested), "page_id bigint, url string, html string, digest string").join(F.broadcast(kept) if few else kept, "digest", "left")
-
-    def records(batches):
-        for b in batches:
-            got = []
-            for page, url, html, digest, keeper in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                refers = keeper if keeper is not None and keeper != page else None
-                got.append(record(page, url, html, digest, refers).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["value"])
-
-    rows = rows.select("page_id", "url", "html", "digest", "keeper").mapInArrow(lean(records), "value string")
-    rows.write.option("lineSep", END.decode()).option("maxRecordsPerFile", records_per_file).text(out)
-
-
-def places(spark: SparkSession, path: str) -> DataFrame:
-    """Every place in the archives that looks like a record: (file, at, next,
-    and what the record says).  ``next`` is where its successor would start."""
-
-    def run(batches):
-        for b in batches:
-            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = content.as_buffer().to_pybytes()
-                out = []
-                for m in _HEADER.finditer(data):
-                    head = dict(x.split(b": ", 1) for x in m[1].split(b"\r\n") if b": " in x)
-                    if not head.get(b"Content-Length", b"").isdigit():
-                        continue
-                    end = m.end() + int(head[b"Content-Length"])
-                    if data[end : end + 4] != END:
-                        continue
-                    block = data[m.end() : end]
-                    payload = block.split(b"\r\n\r\n", 1)[1] if head.get(b"WARC-Type") == b"response" and b"\r\n\r\n" in block else None
-                    out.append((file, m.start(), end + 4, _page(head.get(b"WARC-Record-ID")), head.get(b"WARC-Type", b"").decode(), _page(head.get(b"WARC-Refers-To")), _number(head.get(b"X-Payload-Length")), head.get(b"WARC-Payload-Digest", b"").removeprefix(b"sha1:").decode(), None if payload is None else len(payload), None if payload is None else digest_of(payload)))
-                cols = list(zip(*out, strict=True)) if out else [[] for _ in schema]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
-
-    schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("next", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("stated_bytes", pa.int64()), ("stated_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(lean(run), "file string, at bigint, next bigint, page_id bigint, record_type string, refers_to bigint, stated_bytes bigint, stated_digest string, payload_bytes bigint, payload_digest string")
-
-
-def _page(urn: bytes | None) -> int | None:
-    m = re.fullmatch(rb"<urn:page:(-?\d+)>", urn or b"")
-    return int(m[1]) if m else None
-
-
-def _number(x: bytes | None) -> int | None:
-    return int(x) if x and x.isdigit() else None
-
-
-def reachable(chain: DataFrame, records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """(file, at) of the places that the chain from each file's start reaches,
-    by doubling: after k rounds all within 2^k steps are known, and every
-    pointer skips 2^k records."""
-    known = chain.where("at = 0").select("file", "at")
-    jump = chain.select("file", "at", "next")
-    for _ in range(max(1, int(records_per_file).bit_length())):
-        step = jump.select("file", F.col("at").alias("at"), F.col("next").alias("to"))
-        known = known.union(known.join(step, ["file", "at"]).select("file", F.col("to").alias("at")))
-        over = jump.select("file", F.col("at").alias("next"), F.col("next").alias("over"))
-        jump = jump.join(over, ["file", "next"]).select("file", "at", F.col("over").alias("next"))
-        known, jump = materialize(known, "reached"), materialize(jump, "jumps")
-        if jump.isEmpty():
-            break
+    rows = src.join(broadcast_small(kept, F.lit(100)), "digest", "left")
+    refers = F.when(~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper"))
+    rows.select(record(F.col("page_id"), F.col("url"), F.col("html"), F.col("digest"), refers).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(out)
+    discard(kept)
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """What stands between record marks, in byte ranges of the archives:
+    (file, split, row, value); split and row give the order in a file."""
+    text = spark.read.option("lineSep", MARK).option("pathGlobFilter", "part-*").text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), "value")
+
+
+def _field(header: Column, name: str, value: str = "([^\r\n]*)") -> Column:
+    found = F.regexp_extract(header, f"(?:^|\r\n){name}: {value}(?:\r\n|$)", 1)
+    return F.when(found != "", found)
+
+
+def _bytes(value: Column, start: Column, length: Column | int) -> Column:
+    """``length`` bytes after the first ``start``."""
+    return F.substring(value.cast("binary"), (start + 1).cast("int"), length if isinstance(length, Column) else F.lit(length))
+
+
+def _payload(value: Column, head: Column, length: Column, kind: Column) -> Column:
+    """What follows the inner header of a response's block."""
+    block = _bytes(value, head + 4, length.cast("int")).cast("string")
+    inner = F.octet_length(F.substring_index(block, END, 1))
+    return F.when((kind == "response") & F.contains(block, F.lit(END)), _bytes(block, inner + 4, F.lit(2**31 - 1)))
+
+
+def places(pieces: DataFrame) -> DataFrame:
+    """A row for each piece after a mark: (file, at, next, run, linked and what
+    the piece says).  ``at`` is the place of its mark, ``next`` where its
+    successor would start (NULL if it is no header); pieces of a run each claim
+    the one after.  Of records that lie in one piece the payload is hashed."""
+    value, mark = F.col("value"), len(MARK)
+    head = F.substring_index(value, END, 1)
+    rows = pieces.withColumns({"size": F.octet_length("value").cast("long"), "head": F.octet_length(head).cast("long"), "length": F.when(F.contains(value, F.lit(END)), _field(head, "Content-Length", "([0-9]{1,10})").try_cast("int"))})
+    ends = F.col("head") + 4 + F.col("length") + 4
+    kind = _field(head, "WARC-Type")
+    good = (ends > F.col("size")) | (_bytes(value, ends - 4, 4) == F.lit(END).cast("binary"))
+    rows = rows.withColumns({"ends": F.when(good, ends), "record_type": kind, "body": F.when(ends <= F.col("size"), _payload(value, F.col("head"), F.col("length"), kind))})
+    page = lambda name: _field(head, name, "<urn:page:(-?[0-9]{1,19})>").try_cast("long")
+    rows = rows.select(
+        "file", "split", "row", "size", "head", "length", "ends", "record_type", page("WARC-Record-ID").alias("page_id"), page("WARC-Refers-To").alias("refers_to"), _field(head, "X-Payload-Length", "([0-9]{1,18})").try_cast("long").alias("stated_bytes"),
+        _field(head, "WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("stated_digest"), F.octet_length("body").cast("long").alias("payload_bytes"), F.when(F.col("body").isNotNull(), digest_of(F.col("body"))).alias("payload_digest"),
+    )
+    order = W.partitionBy("file").orderBy("split", "row")
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.col("size") + mark).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) - mark)
+    rows = rows.withColumn("next", F.col("at") + mark + F.col("ends")).withColumn("linked", F.coalesce(F.col("next") == F.col("at") + mark + F.col("size"), F.lit(False)))
+    fresh = (~F.lag("linked", 1, False).over(order)).cast("long")
+    return rows.withColumn("run", F.sum(fresh).over(order)).where("at >= 0").drop("split")
+
+
+def reachable(chain: DataFrame) -> DataFrame:
+    """(file, run, entry) of the runs that the chain from each file's start
+    reaches, and the place at which it enters them.  ``chain`` holds file, at,
+    next, size and run.  Pointers double their reach each round, until none is
+    left; a pointer to a place where no mark stands ends there."""
+    last = chain.groupBy("file", "run").agg(F.max_by("next", "at").alias("next"))
+    jump = last.where("next is not null").join(chain.select("file", F.col("at").alias("next"), F.col("run").alias("to")), ["file", "next"]).select("file", "run", "to", F.col("next").alias("entry"))
+    jump = materialize(jump, "jumps")
+    known = materialize(chain.where("at = 0").select("file", "run", F.col("at").alias("entry")), "reached")
+    while not jump.isEmpty():
+        known_ = materialize(known.union(known.select("file", "run").join(jump, ["file", "run"]).select("file", F.col("to").alias("run"), "entry")), "reached")
+        over = jump.select("file", F.col("run").alias("to"), F.col("to").alias("over"), F.col("entry").alias("far"))
+        jump_ = materialize(jump.join(over, ["file", "to"]).select("file", "run", F.col("over").alias("to"), F.col("far").alias("entry")), "jumps")
+        discard(known)
+        discard(jump)
+        known, jump = known_, jump_
     return known
 
 
-def read(spark: SparkSession, path: str, *, records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
+def _spanning(pieces: DataFrame, found: DataFrame, real: DataFrame) -> DataFrame:
+    """(file, at, payload_bytes, payload_digest) of records whose payload holds
+    marks: their pieces are read again and put together.  The rows of a scan of
+    the same files keep their numbers; a piece of another size is an error."""
+    own = real.where("ends > size").select("file", "at", F.struct(F.col("at").alias("owner"), F.col("next").alias("until"), "head", "length", "record_type").alias("own"))
+    # an owner's pieces lie between its mark and the place that it claims
+    last = F.last("own", ignorenulls=True).over(W.partitionBy("file").orderBy("at"))
+    both = found.select("file", "at", "row", "size").join(own, ["file", "at"], "left").withColumn("own", last).where("at < own.until")
+    wanted = materialize(both.select("file", "at", "row", "size", "own.*").drop("until"), "parts")
+    same = F.when(F.octet_length("value") == F.col("size"), F.col("value")).otherwise(F.raise_error(F.lit("an archive changed while it was read")))
+    parts = pieces.select("file", "row", "value").join(broadcast_small(wanted, F.lit(200)), ["file", "row"]).select("file", "owner", "head", "length", "record_type", F.struct("at", same.alias("value")).alias("part"))
+    whole = parts.groupBy("file", "owner", "head", "length", "record_type").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    body = _payload(F.array_join(F.col("parts.value"), MARK), F.col("head"), F.col("length"), F.col("record_type"))
+    whole = whole.select("file", F.col("owner").alias("at"), body.alias("body"))
+    return whole.select("file", "at", F.octet_length("body").cast("long").alias("whole_bytes"), F.when(F.col("body").isNotNull(), digest_of(F.col("body"))).alias("whole_digest"))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of archives written here: page_id, payload_bytes,
     payload_digest, record_type and refers_to.
 
     A response's length and digest are those of the payload read; a revisit's
-    are those that its header states of the full payload.
+    are those that its header states of the full payload.  A file may hold any
+    number of records; after a damaged record its chain ends.
     """
-    found = materialize(places(spark, path), "places")
-    real = found.join(reachable(found, records_per_file), ["file", "at"], "left_semi")
+    pieces = _pieces(spark, path)
+    found = materialize(places(pieces), "places")
+    reached = materialize(reachable(found), "runs")
+    real = found.join(broadcast_small(reached, F.lit(200)), ["file", "run"]).where("at >= entry and next is not null")
+    if real.where("ends > size").limit(1).count():
+        real = real.join(_spanning(pieces, found, real), ["file", "at"], "left").withColumns({"payload_bytes": F.coalesce("whole_bytes", "payload_bytes"), "payload_digest": F.coalesce("whole_digest", "payload_digest")})
     return real.select("page_id", F.coalesce("payload_bytes", "stated_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "stated_digest").alias("payload_digest"), "record_type", "refers_to")
 
 
-def roundtrip(pages: DataFrame, *, min_bytes: int = MIN_BYTES, records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
+def roundtrip(pages: DataFrame, *, min_bytes: int = MIN_BYTES, records_per_file: int = 0) -> DataFrame:
     """write() to the shared folder, then read().
 
     NULL html is an empty payload; a NULL or odd url is left out or escaped; a
@@ -167,4 +193,4 @@ def roundtrip(pages: DataFrame, *, min_bytes: int = MIN_BYTES, records_per_file:
     """
     out = scratch_path(pages.sparkSession, "warc")
     write(pages, out, min_bytes=min_bytes, records_per_file=records_per_file)
-    return read(pages.sparkSession, out, records_per_file=records_per_file)
+    return read(pages.sparkSession, out)
