@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-The trees are fitted on a bounded sample; every vector is then filed under one
-leaf of each tree.  A query opens leaves of all trees in the order of one
-shared priority queue, by how far it lies beyond the splits in the way; empty
-leaves do not count, and it goes on until enough candidates are met.  Leaves
-are dealt to buckets; a bucket's task holds its vectors, streams the queries
-that open its leaves, and reranks exactly.  Only the best of each query and
-bucket leave the task.
+The trees are fitted on a bounded sample, with more leaves the more vectors
+there are; every vector is then filed under one leaf of each tree.  A query
+opens leaves of all trees in the order of one shared priority queue, by how far
+it lies beyond the splits in the way.  How far it goes is found on the sample:
+the queue distance within which ``GOAL`` of the true neighbours lie there.  Data
+with structure are searched in a few leaves, data without any in many.  Leaves
+are packed into buckets by the vectors that they hold, a fat leaf in parts; a
+bucket's task holds its vectors, streams the queries that open its leaves, and
+reranks exactly.  Only the best of each query and bucket leave the task.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -21,19 +24,22 @@ from pyspark.sql import functions as F
 
 from lumenspan.llm.common import lean, materialize, unit_hash
 
-#: Vectors that the trees are fitted on; trees; leaves of each.
-SAMPLE, TREES, LEAVES = 20_000, 4, 128
-#: Share of the leaves that hold vectors that a query opens; distinct
-#: candidates that it meets in any case, or all there are.
-OPEN, LEAST = 0.62, 2000
-#: Vectors of a bucket, about.
-BUCKET = 200_000
+#: Vectors that the trees are fitted on: one of ``SAMPLE_OF``, but at least and
+#: at most so many; trees; vectors of a leaf, about.
+SAMPLE, SAMPLE_MOST, SAMPLE_OF = 20_000, 200_000, 50
+TREES, LEAF = 4, 400
+#: Share of the sample's true neighbours that the queue distance must reach, and
+#: queries that it is found with; distinct candidates that a query meets in any
+#: case, or all there are.
+GOAL, TRIALS, LEAST = 0.97, 400, 2000
+#: Vectors of a bucket at most, about.
+BUCKET = 100_000
 
 
 class Forest:
     """Balanced trees: node i has children 2i + 1 and 2i + 2; leaves follow."""
 
-    def __init__(self, sample: np.ndarray, trees: int = TREES, leaves: int = LEAVES, seed: int = 3):
+    def __init__(self, sample: np.ndarray, trees: int = TREES, leaves: int = 128, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.depth = max(1, int(np.log2(leaves)))
         self.leaves = 1 << self.depth
@@ -69,17 +75,42 @@ class Forest:
             out[:, t] = node - (self.leaves - 1) + t * self.leaves
         return out
 
-    def open(self, x: np.ndarray, most: int, held: list[int], least: int) -> list[int]:
-        """The first ``most`` leaves of the shared queue that hold vectors,
-        and more until one tree alone has met ``least`` vectors; ``held`` is
-        the number of vectors in each leaf."""
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """Queue distance of every leaf from each vector: the squared distances
+        beyond the splits on the way, summed."""
+        out = np.zeros((len(x), len(self.normal), 1))
+        for d in range(self.depth):
+            row = slice((1 << d) - 1, (2 << d) - 1)
+            far = np.einsum("tkd,nd->ntk", self.normal[:, row], x) - self.offset[:, row]
+            cost = far * far
+            out = np.stack([out + np.where(far > 0, cost, 0), out + np.where(far > 0, 0, cost)], axis=3).reshape(len(x), len(self.normal), -1)
+        return out.reshape(len(x), -1)
+
+    def reach(self, sample: np.ndarray, k: int, goal: float, trials: int = TRIALS, seed: int = 3) -> float:
+        """The queue distance within which ``goal`` of the ``k`` nearest of the
+        sample's vectors lie, in the tree that finds each first."""
+        pick = np.random.default_rng(seed).permutation(len(sample))[:trials]
+        leaf, found = self.file(sample), []
+        for lo in range(0, len(pick), 20):
+            own = pick[lo : lo + 20]
+            near = sample[own] @ sample.T
+            near[np.arange(len(own)), own] = -np.inf
+            top = np.argpartition(-near, min(k, near.shape[1] - 1), axis=1)[:, :k]
+            key = self.keys(sample[own])
+            found.append(np.take_along_axis(key, leaf[top].reshape(len(own), -1), 1).reshape(len(own), top.shape[1], -1).min(2).ravel())
+        return float(np.quantile(np.concatenate(found), goal)) if found else 0.0
+
+    def open(self, x: np.ndarray, reach: float, held: list[int], least: int) -> list[int]:
+        """The leaves of the shared queue that hold vectors, up to a distance
+        of ``reach``, and beyond until one tree alone has met ``least``
+        vectors; ``held`` is the number of vectors in each leaf."""
         far = np.einsum("tkd,d->tk", self.normal, x) - self.offset
         cost, side = (far * far).tolist(), (far > 0).tolist()
         queue = [(0.0, t, 0) for t in range(len(self.normal))]
         out: list[int] = []
         inner = self.leaves - 1
-        met = [0] * len(self.normal)
-        while queue and (len(out) < most or max(met) < least):
+        met, most = [0] * len(self.normal), 0
+        while queue and (queue[0][0] <= reach or most < least):
             d, t, k = heapq.heappop(queue)
             c, s = cost[t], side[t]
             while k < inner:
@@ -90,9 +121,27 @@ class Forest:
             if held[leaf]:
                 out.append(leaf)
                 met[t] += held[leaf]
+                most = max(most, met[t])
         return out
 
 
+def pack(held: list[int], buckets: int, most: int = BUCKET) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves as units of ``most`` vectors at most, dealt to buckets so that
+    these hold about the same: a leaf's parts, its first unit, and the bucket
+    of each unit."""
+    held = np.asarray(held, np.int64)
+    parts = np.maximum(1, -(-held // most))
+    first = np.cumsum(parts) - parts
+    size = np.repeat(held / parts, parts)
+    load = [(0.0, b) for b in range(buckets)]
+    out = np.empty(len(size), np.int32)
+    for u in np.argsort(-size, kind="stable").tolist():
+        x, b = heapq.heappop(load)
+        out[u] = b
+        heapq.heappush(load, (x + size[u], b))
+    return parts, first, out
+
+
 def _vectors(table: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(vec_id, v) of the vectors that take part."""
     v = F.col(vector)
@@ -105,7 +154,7 @@ def _as_matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaves: int = LEAVES, open_share: float = OPEN, sample: int = SAMPLE, seed: int = 3) -> DataFrame:
+def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id", vector: str = "embedding", trees: int = TREES, goal: float = GOAL, sample: int | None = None, leaf: int = LEAF, bucket: int = BUCKET, seed: int = 3) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by
     ``every`` the ``k`` rows of largest inner product found, ties to the
     smaller id.
@@ -127,12 +176,16 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
         return spark.createDataFrame([], schema)
     dim, count = widths[0]["d"], widths[0]["n"]
     rows = rows.where(F.size("v") == dim)
-    picked = rows.where(unit_hash(F.col("vec_id"), F.lit(seed)) < sample / count).select("v").limit(2 * sample).toArrow()
+    sample = sample or min(SAMPLE_MOST, max(SAMPLE, count // SAMPLE_OF))
+    # the hash takes the vector too, so that an id that repeats is no all-or-nothing
+    picked = rows.where(unit_hash(F.col("vec_id"), F.col("v"), F.lit(seed)) < sample / count).select("v").limit(2 * sample).toArrow()
     base = _as_matrix(picked.column(0).combine_chunks(), dim) if picked.num_rows else np.zeros((1, dim))
-    forest = spark.sparkContext.broadcast(Forest(base, trees, leaves, seed))
-    total = forest.value.leaves * trees
+    leaves = max(2, min(count // leaf, len(base) // 8))
+    fitted = Forest(base, trees, 1 << (leaves - 1).bit_length(), seed)
+    reach = fitted.reach(base, k, goal)
+    forest = spark.sparkContext.broadcast(fitted)
+    total = fitted.leaves * trees
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(total, max(2 * spark.sparkContext.defaultParallelism, -(-count * trees // BUCKET)))
     kept = rows.withColumn("_r", F.dense_rank().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("_r") <= k + 1).select("vec_id", "v").distinct()
     kept = materialize(kept, "vectors")
 
@@ -147,39 +200,45 @@ def nearest(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "ve
     held = [0] * total
     for r in kept.mapInArrow(lean(fill), "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
         held[r["leaf"]] = r["n"]
-    most = max(1, int(np.ceil(open_share * sum(x > 0 for x in held))))
+    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-sum(held) // bucket))
+    dealt = spark.sparkContext.broadcast((held, *pack(held, buckets, bucket)))
     # an id has at most so many vectors in a tree, so ``least`` of them hold enough distinct ids
     often = kept.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     least = max(LEAST, 100 * k) * often
 
     def file(batches):
-        f = forest.value
+        f, (_, parts, first, bucket_of) = forest.value, dealt.value
         for b in batches:
             if b.num_rows == 0:
                 continue
-            leaf = f.file(_as_matrix(b.column(1), dim))
+            x = _as_matrix(b.column(1), dim)
+            leaf = f.file(x)
             at = np.repeat(np.arange(b.num_rows), leaf.shape[1])
             flat = leaf.ravel()
             got = b.take(pa.array(at))
-            one = pa.array([[x] for x in flat.tolist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array((flat % buckets).astype(np.int32)), pa.array(np.zeros(len(at), np.int32)), got.column(0), got.column(1), one], names=["bucket", "kind", "vec_id", "v", "leaf"])
+            one = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(flat.astype(np.int32)))
+            mixed = pd.util.hash_array(x[:, 0]) ^ pd.util.hash_array(b.column(0).to_numpy())  # the same for a row wherever it is read
+            unit = first[flat] + (mixed[at] % parts[flat].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of[unit]), pa.array(np.zeros(len(at), np.int32)), got.column(0), got.column(1), one], names=["bucket", "kind", "vec_id", "v", "leaf"])
 
     def ask(batches):
-        f = forest.value
+        f, (held, parts, first, bucket_of) = forest.value, dealt.value
         for b in batches:
             if b.num_rows == 0:
                 continue
             x = _as_matrix(b.column(1), dim)
             out_b, out_i, out_l = [], [], []
             for i in range(len(x)):
-                leaf = np.array(sorted(f.open(x[i], most, held, least)), np.int64)
-                own = leaf % buckets
+                leaf = np.array(sorted(f.open(x[i], reach, held, least)), np.int64)
+                many = parts[leaf]
+                leaf = np.repeat(leaf, many)
+                own = bucket_of[first[leaf] + np.arange(len(leaf)) - np.repeat(np.cumsum(many) - many, many)]
                 order = np.argsort(own, kind="stable")
-                names, first = np.unique(own[order], return_index=True)
-                for name, part in zip(names.tolist(), np.split(leaf[order], first[1:]), strict=True):
+                names, cut = np.unique(own[order], return_index=True)
+                for name, part in zip(names.tolist(), np.split(leaf[order], cut[1:]), strict=True):
                     out_b.append(name)
                     out_i.append(i)
-                    out_l.append(part.tolist())
+                    out_l.append(np.unique(part).tolist())
             got = b.take(pa.array(out_i, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(np.ones(len(out_i), np.int32)), got.column(0), got.column(1), pa.array(out_l, pa.list_(pa.int32()))], names=["bucket", "kind", "vec_id", "v", "leaf"])
 

@@ -426,7 +426,7 @@ def test_nearest_recall_and_exact_scores(spark):
     data = [(i, [float(x) for x in v[i]]) for i in range(2000)]
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
     want = {(r.query_id, r.vec_id): r.score for r in ann.exact_nearest(df).collect()}
-    got = ann.nearest(df, sample=500, leaves=32).collect()
+    got = ann.nearest(df, sample=500, leaf=60, bucket=100).collect()  # fat leaves come in parts
     assert len(got) == 100 * 20
     assert sum((r.query_id, r.vec_id) in want for r in got) >= 0.9 * len(want)
     assert all(abs(want[(r.query_id, r.vec_id)] - r.score) < 1e-12 for r in got if (r.query_id, r.vec_id) in want)
@@ -435,7 +435,7 @@ def test_nearest_recall_and_exact_scores(spark):
 def test_nearest_on_awkward_rows(spark):
     same = [1.0, 0.0]
     data = [(i, same) for i in range(60)] + [(60, [0.0, 0.0]), (61, None), (62, []), (None, same), (63, [float("nan"), 1.0]), (64, [None, 1.0]), (80, [1.0, 2.0, 3.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0])]
-    got = ann.nearest(spark.createDataFrame(data, "vec_id bigint, embedding array<float>"), open_share=1.0).collect()
+    got = ann.nearest(spark.createDataFrame(data, "vec_id bigint, embedding array<float>")).collect()
     by = {}
     for r in got:
         by.setdefault(r.query_id, []).append((r.rank, r.vec_id))
@@ -470,13 +470,51 @@ def test_nearest_with_ids_that_repeat(spark):
         assert sorted(i for a, i in got if a == q) == sorted(want)
 
 
-def test_forest_does_not_count_empty_leaves():
+def test_nearest_with_production_parameters_on_clusters(spark):
+    """A few leaves serve where vectors have neighbours, whatever the share of
+    the table in one cluster."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(40, 16)) * 3
+    own = np.where(rng.random(12_000) < 0.4, 0, rng.integers(0, 40, 12_000))
+    v = centre[own] + rng.normal(size=(12_000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, every=200).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    right = 0
+    for q in range(0, 12_000, 200):
+        s = v @ v[q]
+        s[q] = -9
+        assert len(got[q]) == 20
+        right += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert right >= 0.9 * 60 * 20
+    f = ann.Forest(v, leaves=32)
+    reach = f.reach(v, 20, ann.GOAL)
+    held = np.bincount(f.file(v).ravel(), minlength=128).tolist()
+    assert np.mean([len(f.open(x, reach, held, 0)) for x in v[::100]]) < 0.5 * 128
+
+
+def test_forest_opens_by_queue_distance():
     x = np.random.default_rng(2).normal(size=(300, 8))
-    f = ann.Forest(x[:40])
+    f = ann.Forest(x[:40], leaves=128)
     held = np.bincount(f.file(x[:40]).ravel(), minlength=f.leaves * 4).tolist()
-    got = f.open(x[0], 30, held, 0)
-    assert len(got) == 30 and all(held[i] for i in got)
-    assert max(sum(held[i] for i in f.open(x[0], 1, held, 25) if i // f.leaves == t) for t in range(4)) >= 25
+    key = f.keys(x[:5])
+    for i in range(5):
+        want = {j for j in range(len(held)) if held[j] and key[i, j] <= 1.0}
+        assert set(f.open(x[i], 1.0, held, 0)) == want
+    assert max(sum(held[i] for i in f.open(x[0], -1.0, held, 25) if i // f.leaves == t) for t in range(4)) >= 25
+    for goal in (0.5, 0.97):
+        reach, leaf = f.reach(x[:40], 5, goal), f.file(x[:40])
+        found = [key.min() <= reach for i in range(40) for key in f.keys(x[i : i + 1])[0][leaf[np.argsort(-(x[:40] @ x[i]) + 1e9 * (np.arange(40) == i))[:5]]]]
+        assert abs(np.mean(found) - goal) < 0.02
+
+
+def test_packing_of_leaves():
+    parts, first, bucket = ann.pack([0, 5, 1000, 30, 7], 3, 100)
+    assert parts.tolist() == [1, 1, 10, 1, 1] and first.tolist() == [0, 1, 2, 12, 13] and len(bucket) == 14
+    load = np.bincount(bucket, np.repeat(np.array([0, 5, 1000, 30, 7]) / parts, parts))
+    assert load.max() <= 400
 
 
 # ---- licenses ------------------------------------------------------------------------------------
