@@ -9,6 +9,11 @@ extended to both sides, to each window of lines that holds them.  A window that
 an earlier place (by doc_id, then line) holds too is repeated; repeated windows
 that touch make runs, and their lines are deleted.
 
+That equals extending each match line by line as far as it goes: a run of
+``run`` lines or more that stands earlier too is the union of its windows, each
+of which holds a fingerprint, at the same line of the window in both places;
+and no other line lies in a repeated window.
+
 Nothing is compared pair by pair: the first place of each window is a minimum,
 so a line that stands in a third of all documents costs one row for each.
 Lines are compared whole: a passage inside a longer line is not found.
@@ -22,12 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import bound_batches, chunks, lean, materialize
+from lumenspan.llm.common import bound_batches, broadcast_small, chunks, lean, materialize
 from lumenspan.llm.decontamination import gram_hashes, winnow
 
 RUN, LONG_WORDS = 2, 50
-#: Documents with deletions up to which their lists are broadcast.
-BROADCAST_ROWS = 200_000
 _LONG = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -83,11 +86,13 @@ def repeated_windows(docs: DataFrame, *, run: int = RUN, long_words: int = LONG_
     """(doc_id, dkey, start, size) of each window that stands earlier too."""
     bound_batches(docs.sparkSession)
     anchors = materialize(_anchors(_keyed(docs), run, long_words), "anchors")
-    common = anchors.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    places = anchors.join(common, "fp", "left_semi").select("key", "size", "doc_id", "dkey", "start")
+    # each side of these joins is a table of its own, so that a line or a run that a third of all rows hold is split
+    common = materialize(anchors.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "common")
+    places = anchors.join(broadcast_small(common, F.lit(40)), "fp", "left_semi").select("key", "size", "doc_id", "dkey", "start")
     first = places.groupBy("key", "size").agg(F.min(F.struct("doc_id", "dkey", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = broadcast_small(materialize(first, "first"), F.lit(100))
     here = F.struct("doc_id", "dkey", "start")
-    return places.join(first, ["key", "size"]).where(~here.eqNullSafe(F.col("first"))).select("doc_id", "dkey", "start", "size").distinct()
+    return anchors.join(first, ["key", "size"]).where(~here.eqNullSafe(F.col("first"))).select("doc_id", "dkey", "start", "size").distinct()
 
 
 def deduplicate(docs: DataFrame, *, run: int = RUN, long_words: int = LONG_WORDS) -> DataFrame:
@@ -103,9 +108,8 @@ def deduplicate(docs: DataFrame, *, run: int = RUN, long_words: int = LONG_WORDS
     """
     lists = materialize(repeated_windows(docs, run=run, long_words=long_words).groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("start", "size")).alias("gone")), "repeats")
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("dkey").alias("_key"), "gone")
-    few = lists.count() <= BROADCAST_ROWS
     src = _keyed(docs)
-    rows = src.join(F.broadcast(lists) if few else lists, src.doc_id.eqNullSafe(F.col("_id")) & (F.col("dkey") == F.col("_key")), "left").select("doc_id", "text", "gone")
+    rows = src.join(broadcast_small(lists, 60 + 16 * F.size("gone")), src.doc_id.eqNullSafe(F.col("_id")) & (F.col("dkey") == F.col("_key")), "left").select("doc_id", "text", "gone")
 
     def cut(batches):
         for batch, texts in chunks(batches):

@@ -167,6 +167,30 @@ def test_line_dedup_equals_brute_force(spark, none):
     assert line_dedup.deduplicate(none).count() == 0
 
 
+@pytest.mark.parametrize("run", [1, 2, 3, 5])
+def test_line_dedup_equals_maximal_extension(spark, run):
+    """Every pair of places, extended line by line as far as they agree: where
+    that makes a run of ``run`` lines, the later place's lines go."""
+    rng = random.Random(run)
+    lines = [prose(rng, rng.choice([1, 3])) for _ in range(7)]
+    docs_ = [[rng.choice(lines) if rng.random() < 0.8 else prose(rng, 4) for _ in range(rng.randrange(25))] for _ in range(30)]
+    docs_ += [docs_[3][2:] + docs_[4], [lines[0]] * 9, [lines[0]] * 4 + lines]
+    want = []
+    for i, mine in enumerate(docs_):
+        gone = set()
+        for j, other in enumerate(docs_[: i + 1]):
+            for p in range(len(mine)):
+                for q in range(len(other) if j < i else p):
+                    n = 0
+                    while p + n < len(mine) and q + n < len(other) and mine[p + n] == other[q + n]:
+                        n += 1
+                    if n >= run:
+                        gone |= set(range(p, p + n))
+        want.append((i, len(gone), "\n".join(x for k, x in enumerate(mine) if k not in gone)))
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(docs_)], "doc_id bigint, text string")
+    assert plain(line_dedup.deduplicate(df, run=run).select("doc_id", "n_removed", "text")) == sorted(want, key=repr)
+
+
 # ---- decontamination ------------------------------------------------------------------
 
 
