@@ -18,14 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import alnum_words, bound_batches, chunks, lean, materialize
+from lumenspan.llm.common import alnum_words, bound_batches, broadcast_small, chunks, lean, materialize
 from lumenspan.llm.decontamination import gram_hashes, word_hashes
 
 K = 3
 #: Merge diagonals that lie so near; votes and similarity that make a span.
 NEAR, LEAST_VOTES, LEAST_SHARE, LEAST_SIMILARITY = 8, 2, 0.4, 0.6
-#: Documents with candidate spans up to which their list is broadcast.
-BROADCAST_ROWS = 200_000
 
 #: Phrases and their labels (fixed values).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -153,9 +151,8 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, phrase
     cand = votes(src, templates, k).where((F.col("n") >= LEAST_VOTES) & (F.col("n") >= LEAST_SHARE * size[F.col("template")]))
     lists = materialize(cand.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("template", "lo", "hi")).alias("spans")), "spans")
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("dkey").alias("_key"), "spans")
-    few = lists.count() <= BROADCAST_ROWS
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("dkey") == F.col("_key"))
-    texts = src.join(F.broadcast(lists) if few else lists, same).select("doc_id", "dkey", "text", "spans")
+    texts = src.join(broadcast_small(lists, 60 + 32 * F.size("spans")), same).select("doc_id", "dkey", "text", "spans")
 
     def verify(batches):
         for batch, rows in chunks(batches):
@@ -173,7 +170,7 @@ def scan(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATES, phrase
 
     own = texts.mapInArrow(lean(verify), "_id bigint, _key bigint, own array<string>, similarity double").groupBy("_id", "_key").agg(F.first("own").alias("own"), F.max("similarity").alias("similarity"))
     own = materialize(own, "labels")
-    out = _phrases(src, phrases).join(F.broadcast(own) if few else own, same, "left")
+    out = _phrases(src, phrases).join(broadcast_small(own, 60 + 40 * F.size("own")), same, "left")
     found = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("own", F.array().cast("array<string>")))))
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(found, ",").alias("labels"),
