@@ -116,12 +116,13 @@ class Index:
             p = winnow(g, span - k + 1)
             p = p[doc_of[p] == doc_of[p + k - 1]]
             lo, hi = np.searchsorted(self.prints, g[p], "left"), np.searchsorted(self.prints, g[p], "right")
-            n = hi - lo
-            p, start = np.repeat(p, n), np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else lo
-            at = np.arange(len(p)) + start
+            p, lo, n = p[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            upto = np.cumsum(n)
             reach = np.arange(k - span, span)  # words that a run over this k-gram can hold
-            for a in range(0, len(p), 1 << 16):
-                q, f = p[a : a + (1 << 16)], at[a : a + (1 << 16)]
+            for a in range(0, int(n.sum()), 1 << 14):  # a print may stand in many items
+                each = np.arange(a, min(a + (1 << 14), int(upto[-1])))
+                own = np.searchsorted(upto, each, "right")
+                q, f = p[own], lo[own] + each - (upto[own] - n[own])
                 pos = q[:, None] + reach
                 inside = (pos >= first[doc_of[q]][:, None]) & (pos < first[doc_of[q] + 1][:, None])
                 same = inside & (h[np.clip(pos, 0, len(h) - 1)] == self.words[np.clip(self.place[f][:, None] + reach, 0, len(self.words) - 1)])
