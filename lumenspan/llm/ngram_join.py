@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import bound_batches, chunks, discard, lean, materialize, space_words
+from lumenspan.llm.common import bound_batches, broadcast_small, chunks, discard, lean, materialize, space_words
 from lumenspan.llm.components import components
 
 SHINGLE = 5
@@ -39,8 +39,6 @@ COUNT_BATCH, COUNT_LEAST = 3_000_000, 2
 HOT_LEAST, HOT_MOST = 8, 400_000
 #: Members of a block; a larger one becomes blocks of pairs of its parts.
 BLOCK_MOST = 8192
-#: Rows of (set, pair) up to which the wanted texts' keys are broadcast.
-BROADCAST_ROWS = 1_000_000
 ALL_PAIRS, ORDERS, NEIGHBOURS = 96, 8, 2
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -450,8 +448,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, seed: int) -> D
     their keys are broadcast if they are few, else joined by shuffles."""
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sid"))
     wanted = materialize(ends.select("sid").distinct().join(sets.select("sid", "tkey"), "sid"), "wanted")
-    keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select("tkey", "text").join(keys, "tkey").groupBy("sid").agg(F.first("text").alias("text"))
+    texts = docs.select("tkey", "text").join(broadcast_small(wanted, F.lit(100)), "tkey").groupBy("sid").agg(F.first("text").alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = ends.join(texts, "sid").select("a", "b", "sid", "text").repartition(n, "a", "b").sortWithinPartitions("a", "b")
     return rows.mapInArrow(lean(_verify(seed)), "a bigint, b bigint")
@@ -508,6 +505,6 @@ def near_duplicates(docs: DataFrame, *, seed: int = 0) -> DataFrame:
     for table in (prof, *used):  # nothing reads them any more
         discard(table)
     out = slim.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    least = out.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = out.join(least, "label", "left")
+    least = materialize(out.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least")), "least")  # a table, so that a large group's rows are split
+    out = out.join(broadcast_small(least, F.lit(40)), "label", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.col("tkey").alias("text_key"))
