@@ -190,13 +190,13 @@ class Tagger:
 def sample_runs(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, run_words: int = RUN_WORDS, seed: int = 7) -> list[tuple[str, list[bytes]]]:
     """(language, words) of one random run from each of about ``train_docs``
     labelled documents, as many of each language as there are.  Every language
-    is taken; training holds about 1 MB of weights for each on the driver."""
+    is taken, a run that repeats once; training holds about 1 MB of weights for each on the driver."""
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, train_docs / len(counts) / n))]) if counts else None
     if share is None:
         return []
-    picked = rows.where(unit_hash(F.coalesce("id", F.lit("")), F.lit(seed)) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    picked = rows.where(unit_hash(F.coalesce("id", F.lit("")), F.col("text"), F.lit(seed)) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
 
     def cut(batches):
         for batch in batches:
@@ -207,7 +207,7 @@ def sample_runs(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, run_words: int
                 out.append(b" ".join(w[at : at + run_words]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.string())], names=["lang", "run"])
 
-    got = picked.mapInArrow(lean(cut), "lang string, run string").collect()
+    got = picked.mapInArrow(lean(cut), "lang string, run string").distinct().collect()
     return sorted((r["lang"], r["run"].encode().split()) for r in got if r["run"])
 
 
