@@ -1,7 +1,12 @@
 """A corpus pipeline of five of the operators in ``lumenspan.llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next stage's docs.
+as Parquet and read again as the next stage's docs.  Stages but the last return
+the columns of docs, whatever others they hold beside doc_id, text, lang and
+source.  Empty tables give empty tables.  Rows without text or letters go in the
+first stage; rows with a NULL doc_id are documents of their own, and stay unless
+another text's rows with an id are near duplicates of theirs; of ties in a group
+the smallest id stays; rows that repeat id and text share their fate.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspan.llm import decontamination, language_id, mixing, ngram_join, token_ids
-from lumenspan.llm.common import documents, fold_of, materialize, table
+from lumenspan.llm.common import broadcast_small, documents, fold_of, materialize, table
 
 #: Trained models and shuffles have no SQL; tests compare with brute force.
 ORACLE_SQL = None
@@ -28,10 +33,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near-duplicates the document with the smallest id;
     rows that repeat its id and text stay with it."""
     found = ngram_join.near_duplicates(docs)
-    gone = materialize(found.where("not (doc_id <=> component_id)").select("doc_id", "text_key").distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= ngram_join.BROADCAST_ROWS else gone
-    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
-    return keyed.join(gone, (keyed.doc_id.eqNullSafe(gone.doc_id)) & (F.col("_key") == F.col("text_key")), "left_anti").drop("_key")
+    gone = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    gone = broadcast_small(materialize(gone, "gone"), F.lit(100))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key = F.md5(F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    return rows.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key")), "left_anti").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
