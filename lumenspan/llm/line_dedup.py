@@ -88,9 +88,9 @@ def repeated_windows(docs: DataFrame, *, run: int = RUN, long_words: int = LONG_
     anchors = materialize(_anchors(_keyed(docs), run, long_words), "anchors")
     # each side of these joins is a table of its own, so that a line or a run that a third of all rows hold is split
     common = materialize(anchors.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "common")
-    places = anchors.join(broadcast_small(common, F.lit(40)), "fp", "left_semi").select("key", "size", "doc_id", "dkey", "start")
+    places = anchors.join(common, "fp", "left_semi").select("key", "size", "doc_id", "dkey", "start")
     first = places.groupBy("key", "size").agg(F.min(F.struct("doc_id", "dkey", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = broadcast_small(materialize(first, "first"), F.lit(100))
+    first = materialize(first, "first")
     here = F.struct("doc_id", "dkey", "start")
     return anchors.join(first, ["key", "size"]).where(~here.eqNullSafe(F.col("first"))).select("doc_id", "dkey", "start", "size").distinct()
 
