@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumenspan.functions.gates import finite
 
 INTS = ("S", "M1", "M2", "M3", "H", "G", "C")
 FLOATS = ("Z", "R", "P", "VR", "VP")
@@ -33,20 +32,36 @@ def bound(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+#: A line of items, each with a key and a value; its keys; a whole and a decimal number.
+_LINE = "^TLM:(?: *[^=, ][^=,]*=[^,]*)(?:, *[^=, ][^=,]*=[^,]*)*$"
+_KEYS = "(?:^TLM:|,) *([^=,]*?) *="
+_WHOLE = "^[-+]?[0-9]{1,18}$"
+_NUMBER = "^[-+]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][-+]?[0-9]+)?$"
+
+
 def parse_telemetry(line: Column) -> Column:
     """Strict: a struct, or NULL if the prefix, an item, a required key or a
-    number is missing, or a key stands twice."""
-
-    def parsed(items: Column) -> Column:
-        keys = F.transform(items, lambda x: x["k"])
-        values = {k: item(items, k).try_cast("int") for k in INTS} | {k: item(items, k).try_cast("double") for k in FLOATS}
-        ok = F.trim(line).startswith("TLM:") & F.forall(items, lambda x: (x["k"] != "") & x["v"].isNotNull()) & (F.size(keys) == F.size(F.array_distinct(keys)))
-        ok = ok & (F.size(F.array_except(F.array(*map(F.lit, REQUIRED)), keys)) == 0)
-        known = lambda names, good: F.forall(F.filter(items, lambda x: x["k"].isin(*names)), lambda x: good(x["v"]))
-        ok = ok & known(INTS, lambda v: v.try_cast("int").isNotNull()) & known(FLOATS, lambda v: finite(v.try_cast("double")))
-        return F.when(ok, F.struct(values["Z"].alias("z"), values["R"].alias("roll"), values["P"].alias("pitch"), (values["S"] == 1).alias("stable"), F.coalesce(values["H"] == 1, F.lit(False)).alias("homing"), values["VR"].alias("vr"), values["VP"].alias("vp")))
-
-    return bound(telemetry_items(line), parsed)
+    number is missing, or a key stands twice.  Each value is searched and read
+    once; what is no number is told by a pattern, before any cast can fail."""
+    text = F.trim(line)
+    # "=" and the value, or nothing where the key is absent
+    found = F.struct(*[F.regexp_extract(text, f"(?:^TLM:|,) *{k} *(=[^,]*)", 1).alias(k) for k in INTS + FLOATS], text.rlike(_LINE).alias("whole"), F.regexp_extract_all(text, F.lit(_KEYS), 1).alias("keys"))
+
+    def read(t: Column) -> Column:
+        value = {k: F.trim(F.substring(t[k], 2, 1 << 20)) for k in INTS + FLOATS}
+        value = {k: F.when(v.rlike(_WHOLE), v.cast("long")) if k in INTS else F.when(v.rlike(_NUMBER), v.cast("double")) for k, v in value.items()}
+        whole = t["whole"] & (F.size(t["keys"]) == F.size(F.array_distinct(t["keys"])))
+        parts = [(k, v) for k, v in value.items()] + [(f"no_{k}", t[k] == "") for k in value] + [("whole", whole)]
+        return F.named_struct(*[x for k, v in parts for x in (F.lit(k), v)])
+
+    def checked(t: Column) -> Column:
+        ok = t["whole"]
+        for k in INTS + FLOATS:
+            good = F.coalesce(t[k].between(-(2**31), 2**31 - 1) if k in INTS else F.abs(t[k]) < float("inf"), F.lit(False))
+            ok = ok & (good if k in REQUIRED else good | t[f"no_{k}"])
+        return F.when(ok, F.struct(t["Z"].alias("z"), t["R"].alias("roll"), t["P"].alias("pitch"), (t["S"] == 1).alias("stable"), F.coalesce(t["H"] == 1, F.lit(False)).alias("homing"), t["VR"].alias("vr"), t["VP"].alias("vp")))
+
+    return bound(bound(found, read), checked)
 
 
 def parse_lenient(line: Column) -> Column:

@@ -74,3 +74,19 @@ def normal_angle(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(size <= 1e-12, F.lit(float("inf"))).otherwise(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size)))))
+
+
+def golden_minimum(fn, low: float, high: float, rounds: int = 60) -> Column:
+    """Where a unimodal ``fn`` (of a column) is least, to about the square root
+    of its precision: each round keeps the golden part of the interval that
+    holds the smaller of two inner values."""
+    share = (5**0.5 - 1) / 2
+
+    def halve(state: Column, _: Column) -> Column:
+        a, b = state["a"], state["b"]
+        left, right = b - (b - a) * share, a + (b - a) * share
+        keep = fn(left) <= fn(right)
+        return F.named_struct(F.lit("a"), F.when(keep, a).otherwise(left), F.lit("b"), F.when(keep, right).otherwise(b))
+
+    start = F.named_struct(F.lit("a"), F.lit(float(low)), F.lit("b"), F.lit(float(high)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda s: (s["a"] + s["b"]) / 2)

@@ -23,20 +23,20 @@ def same_plane(planes: DataFrame, run: str = "run", angle: float = ANGLE_DEG, di
     return a.join(b, run).where((F.col("idx_a") < F.col("idx_b")) & (turned <= angle) & (apart <= distance)).select(run, F.col("idx_a").alias("a"), F.col("idx_b").alias("b"))
 
 
-def plane_groups(planes: DataFrame, links: DataFrame, run: str = "run", rounds: int = 6) -> DataFrame:
-    """(run, idx, group): the smallest index that links reach inside the run.
-    Labels spread along links and jump to their label's label, so ``rounds``
-    serve chains of up to 2 ** rounds planes."""
-    both = links.select(run, F.col("a").alias("idx"), F.col("b").alias("to")).union(links.select(run, F.col("b").alias("idx"), F.col("a").alias("to")))
+def plane_groups(planes: DataFrame, links: DataFrame, run: str = "run") -> DataFrame:
+    """(run, idx, group): the smallest index that links reach inside the run,
+    however long the chain.  A run's links are folded once: each gives the two
+    labels that it joins the smaller of them."""
     # the planes of a run are few: each row carries the run's links and folds over them
-    per = both.groupBy(run).agg(F.collect_set(F.struct("idx", "to")).alias("links"))
+    per = links.groupBy(run).agg(F.collect_list(F.struct("a", "b")).alias("links"))
     own = planes.groupBy(run).agg(F.sort_array(F.collect_set("idx")).alias("members")).join(per, run, "left")
-    labels = F.map_from_arrays("members", "members")
+    none = F.array().cast(per.schema["links"].dataType)
 
-    def spread(m, _):
-        near = lambda k: F.transform(F.filter(F.coalesce("links", F.array().cast("array<struct<idx:bigint,to:bigint>>")), lambda e: e["idx"] == k), lambda e: F.element_at(m, e["to"]))
-        least = lambda k, v: F.array_min(F.concat(F.array(v, F.element_at(m, v)), near(k)))
-        return F.transform_values(m, least)
+    def joined(labels, link):
+        ends = F.array(F.element_at(labels, F.array_position("members", link["a"]).cast("int")), F.element_at(labels, F.array_position("members", link["b"]).cast("int")))
+        both = F.array_sort(ends)
+        relabelled = F.transform(labels, lambda v: F.when(v == both[1], both[0]).otherwise(v))
+        return F.when(both[0] == both[1], labels).otherwise(relabelled)
 
-    out = own.withColumn("label", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), labels, spread))
-    return out.select(run, F.explode("label").alias("idx", "group"))
+    out = own.withColumn("label", F.aggregate(F.coalesce("links", none), F.col("members"), joined))
+    return out.select(run, F.explode(F.arrays_zip("members", "label")).alias("m")).select(run, F.col("m.members").alias("idx"), F.col("m.label").alias("group"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.operators import kernels as K
+from lumenspan.operators.geometry import golden_minimum
 from lumenspan.plans.kernels import H, W_, _mask, rasters
 from lumenspan.plans.proxies import frames, load
 from lumenspan.registry import query
@@ -41,48 +42,6 @@ def per_frame(spark, sf, fn: Callable[[pd.DataFrame], dict], columns: str) -> Da
     return rasters(spark, sf).groupBy("frame").applyInPandas(run, f"frame long, {columns}")
 
 
-def _area(fn):
-    return lambda pdf: {"pixels": int(np.sum(fn(pdf)))}
-
-
-for _name, _doc, _fn in (
-    ("mor02_border_ring", "Mask less its erosion by a box.", lambda p: K.border_ring(_mask(p), 2)),
-    ("mor03_open_close", "Opened, then closed, by discs.", lambda p: K.closed(K.opened(_mask(p), 1), 1)),
-    ("mor05_polygon", "Pixels of a convex quadrilateral.", lambda p: K.polygon((H, W_), np.array([[2, 2], [28, 3], [26, 20], [4, 19]])) & _mask(p)),
-    ("mor06_external_fill", "The largest component, filled.", lambda p: K.external_fill(_mask(p))),
-    ("mor07_guarded_hull", "A hull if it stays within its guards.", lambda p: K.guarded_hull(K.largest(_mask(p)))),
-    ("mor08_fill_holes", "All enclosed holes.", lambda p: K.fill_holes(_mask(p))),
-    ("mor09_fill_small_holes", "Enclosed holes of at most three pixels.", lambda p: K.fill_holes(_mask(p), 3)),
-    ("mor13_contour_roi", "Votes over three shifted masks, filled and guarded.", lambda p: K.guarded_hull(K.external_fill(K.vote([np.roll(_mask(p), k, axis=1) for k in range(3)], 2)))),
-    ("mor14_hybrid_roi", "Object by height with enclosed unknown pixels.", lambda p: K.fill_holes(K.height_mask(_depth(p), np.full((H, W_), 505.0)))),
-    ("mor15_local_band", "A band without its markers.", lambda p: K.local_band(_mask(p), _depth(p) < 480)),
-    ("mor20_perspective_warp", "A mask seen through a homography.", lambda p: K.warp(_mask(p), np.array([[1, 0.1, 0], [0, 1, 1], [0.001, 0, 1]]), (H, W_))),
-    ("mor21_density_support", "Pixels in dense surroundings, opened and closed.", lambda p: K.closed(K.opened(K.density_support(_mask(p), 2, 0.4), 1), 1)),
-    ("mor24_silhouette", "Points as discs, closed and filled.", lambda p: K.silhouette(p[p["set"]][["u", "v"]].to_numpy(), (H, W_))),
-    ("mor25_dynamic_object", "What differs from a flat background.", lambda p: K.dynamic_object(_grey(p), np.full((H, W_), 128.0))),
-    ("mor28_mask_cleaner", "Opened, closed, components, filled, eroded.", lambda p: K.erode(K.external_fill(K.closed(K.opened(_mask(p), 1), 1)), K.ellipse(1))),
-    ("mor30_silhouette_finalize", "A smooth outline, filled.", lambda p: K.smooth_outline(_mask(p))),
-    ("mor31_search_ring", "A band around the mask by its size.", lambda p: K.search_ring(K.largest(_mask(p)))),
-):
-
-    def _one(spark, sf, fn=_fn):
-        return per_frame(spark, sf, _area(fn), "pixels long")
-
-    _one.__doc__ = _doc
-    query(_name)(_one)
-
-
-@query("mor12_surface_geometry")
-def mor12(spark, sf):
-    """Plane, object above it and surface of each frame."""
-
-    def fn(pdf):
-        g = K.surface_geometry(_depth(pdf), least=20)
-        return {"plane": bool(g["plane"]), "inlier_ratio": g["inlier_ratio"], "object_px": int(g["object"].sum()), "surface_px": int(g["surface"].sum())}
-
-    return per_frame(spark, sf, fn, "plane boolean, inlier_ratio double, object_px long, surface_px long")
-
-
 @query("mor18_preprocessing")
 def mor18(spark, sf):
     return per_frame(spark, sf, lambda p: {"mean": float(K.preprocess(_grey(p)).mean())}, "mean double")
@@ -90,27 +49,14 @@ def mor18(spark, sf):
 
 @query("mor19_surface_preprocessing")
 def mor19(spark, sf):
-    return per_frame(spark, sf, lambda p: {"mean": float(K.preprocess(_grey(p), gamma=1.0).mean())}, "mean double")
-
-
-@query("mor26_board_finder")
-def mor26(spark, sf):
-    """Corners of the largest dark part."""
-
-    def fn(pdf):
-        q = K.four_corners(K.largest(_grey(pdf) < 100))
-        return {"found": q is not None, "x0": None if q is None else int(q[0][0]), "y0": None if q is None else int(q[0][1])}
-
-    return per_frame(spark, sf, fn, "found boolean, x0 long, y0 long")
+    return per_frame(spark, sf, lambda p: {"mean": float(K.preprocess(_grey(p), gamma=1.0, tiles=(4, 4)).mean())}, "mean double")
 
 
-@query("mth14_golden_minimum")
+@query("mth14_golden_minimum", "select p_partkey, least(40.0, p_size)::double as at from part")
 def mth14(spark, sf):
-    @F.pandas_udf("double")
-    def least(a: pd.Series) -> pd.Series:
-        return a.map(lambda c: round(K.golden_minimum(lambda x: (x - c) ** 2, -60, 60), 6))
-
-    return load(spark, sf, "part").select("p_partkey", least(F.col("p_size").cast("double")).alias("at"))
+    """Where a function of a column is least between limits, for all rows."""
+    at = golden_minimum(lambda x: (x - F.col("p_size")) * (x - F.col("p_size")), -60.0, 40.0)
+    return load(spark, sf, "part").select("p_partkey", F.round(at, 5).alias("at"))
 
 
 @query("mth23_metric_pose")
@@ -136,24 +82,6 @@ def mth24(spark, sf):
     return per_frame(spark, sf, fn, "planes long")
 
 
-def per_device(spark, sf, fn, columns):
-    def run(pdf):
-        pdf = pdf.sort_values("seq")
-        return pd.DataFrame({"device": pdf["device"], "seq": pdf["seq"], "value": fn(pdf["depth"].to_numpy())})
-
-    return frames(spark, sf).select("device", "seq", "depth").groupBy("device").applyInPandas(run, f"device long, seq long, value {columns}")
-
-
-@query("mth38_pulse_modulation")
-def mth38(spark, sf):
-    return per_device(spark, sf, lambda d: K.pulse_steps(d / 3 - 20), "long")
-
-
-@query("mth40_sleep_hysteresis")
-def mth40(spark, sf):
-    return per_device(spark, sf, lambda d: K.sleep_states(d / 400, ticks=3), "boolean")
-
-
 @query("ext01_frame_evaluator", "select o_orderkey, round(o_totalprice / 700001, 6) as score, o_totalprice > 60000 as accepted from orders")
 def ext01(spark, sf):
     """Row to result: any function of a frame's columns can stand here."""
@@ -175,19 +103,6 @@ def ext02(spark, sf):
     return frames(spark, sf).select("device", "depth").groupBy("device").applyInPandas(run, "device long, n long, mean double")
 
 
-@query("ext07_production_detector")
-def ext07(spark, sf):
-    """Frame to judgement: mask, patches inside it, scores, threshold."""
-
-    def fn(pdf):
-        g = K.surface_geometry(_depth(pdf), least=20)
-        x, s = K.preprocess(_grey(pdf)).astype(float) / 255, g["surface"]
-        scores = [float(((x[y : y + 4, u : u + 4] - x.mean()) ** 2).mean()) for y in range(0, H - 3, 2) for u in range(0, W_ - 3, 2) if s[y : y + 4, u : u + 4].all()]
-        return {"patches": len(scores), "score": max(scores, default=None), "judgement": "RECHECK" if not scores else "NG" if max(scores) > 0.12 else "OK"}
-
-    return per_frame(spark, sf, fn, "patches long, score double, judgement string")
-
-
 @query("ext08_patch_dataset")
 def ext08(spark, sf):
     """Patches as rows, their pixels as binary."""
@@ -201,12 +116,18 @@ def ext08(spark, sf):
     return rasters(spark, sf).groupBy("frame").applyInPandas(run, "frame long, patch_index long, x long, y long, pixels binary")
 
 
-@query("aux02_alignment_per_plane")
+@query("aux02_alignment_per_plane", """with t as (select o_orderkey, o_orderkey % 90 - 45.0 as r, o_custkey % 60 - 30.0 as p from orders where o_orderstatus = 'P'),
+x as (select *, degrees(atan(sqrt(power(tan(radians(r + least(30, greatest(-30, -r)))), 2) + power(tan(radians(p + least(30, greatest(-30, -p)))), 2)))) as rest from t)
+select o_orderkey, case when rest > 10 then 'REJECTED' when abs(r) <= 30 and abs(p) <= 30 then 'FULL' else 'PARTIAL' end as mode from x""")
 def aux02(spark, sf):
+    """Each plane's alignment inside the limits; what leaves too much tilt is
+    rejected.  Tilts follow targets one to one here, so that SQL can say it."""
+
     @F.pandas_udf("string")
     def mode(roll: pd.Series, pitch: pd.Series) -> pd.Series:
-        out = [K.align_within((r, p), np.eye(2), (0, 0), (-r, -p)) for r, p in zip(roll, pitch, strict=True)]
-        return pd.Series(["REJECTED" if x > 20 else m for m, _, x in out])
+        camera = np.column_stack([roll, pitch])
+        mode, _, rest = K.align_within(camera, np.eye(2), np.zeros_like(camera), -camera)
+        return pd.Series(np.where(rest > 10, "REJECTED", mode))
 
     return load(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_orderkey", mode(F.col("o_orderkey") % 90 - 45.0, F.col("o_custkey") % 60 - 30.0).alias("mode"))
 

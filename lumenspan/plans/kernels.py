@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lumenspan.operators import kernels as K
-from lumenspan.plans.proxies import frames, load
+from lumenspan.plans.proxies import load
 from lumenspan.registry import query
 
 H, W_ = 24, 32
@@ -33,46 +33,6 @@ def _mask(pdf: pd.DataFrame) -> np.ndarray:
     return m
 
 
-@query("mor10_components")
-def mor10(spark, sf):
-    """Labels, areas and centres of the 8-connected components of each frame."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(pdf["frame"].iloc[0]), *r) for r in K.component_stats(_mask(pdf))]
-        return pd.DataFrame(rows, columns=["frame", "label", "area", "cx", "cy"])
-
-    return rasters(spark, sf).groupBy("frame").applyInPandas(run, "frame long, label long, area long, cx double, cy double")
-
-
-@query("mor11_inspection_mask")
-def mor11(spark, sf):
-    """Areas after each step of the inspection mask."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _mask(pdf)
-        return pd.DataFrame([(int(pdf["frame"].iloc[0]), *map(lambda x: int(np.sum(x)), (m, K.largest(m), K.fill_holes(m), K.closed(m, 1), K.opened(m, 1), K.erode(m, K.ellipse(1)), K.border_ring(m, 2), K.guarded_hull(K.largest(m)), K.density_support(m, 2, 0.4), K.inspection_mask(m, m))))], columns=cols)
-
-    cols = ["frame", "mask", "largest", "filled", "closed", "opened", "eroded", "ring", "hull", "dense", "inspection"]
-    return rasters(spark, sf).groupBy("frame").applyInPandas(run, ", ".join(f"{c} long" for c in cols))
-
-
-_MOR02 = """with p as (select distinct o_custkey % 40 as frame, o_orderkey % 32 as u, o_orderkey // 32 % 24 as v from orders where o_orderstatus <> 'O'),
-d as (select dx, dy from (select unnest(range(-1, 2)) as dx), (select unnest(range(-1, 2)) as dy) where dx * dx + dy * dy <= 1),
-k as (select p.frame, p.u, p.v, count(*) filter (q.u is not null or p.u + dx not between 0 and 31 or p.v + dy not between 0 and 23) as n from p cross join d left join p q on q.frame = p.frame and q.u = p.u + dx and q.v = p.v + dy group by all)
-select frame, count(*) filter (n = 5) as eroded, count(*) as mask from k group by frame"""
-
-
-@query("mor01_erode", _MOR02)
-def mor01(spark, sf):
-    """Erosion by a disc of radius 1; outside the frame counts as set."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _mask(pdf)
-        return pd.DataFrame([(int(pdf["frame"].iloc[0]), int(K.erode(m, K.ellipse(1)).sum()), int(m.sum()))], columns=["frame", "eroded", "mask"])
-
-    return rasters(spark, sf, fixed=True).groupBy("frame").applyInPandas(run, "frame long, eroded long, mask long").where("mask > 0")
-
-
 @query("mor04_workspace", "select frame, count(*) filter (u between 4 and 27 and v between 3 and 20) as pixels from (select distinct o_custkey % 40 as frame, o_orderkey % 32 as u, o_orderkey // 32 % 24 as v from orders) group by frame")
 def mor04(spark, sf):
     return rasters(spark, sf, fixed=True).groupBy("frame").agg(F.count_if(F.col("u").between(4, 27) & F.col("v").between(3, 20)).alias("pixels"))
@@ -85,16 +45,6 @@ def mor16(spark, sf):
     return load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("board")).agg(F.when(F.countDistinct(F.when(m < 4, m)) == 4, F.min(F.when(m == 0, F.col("o_orderkey")))).alias("tl"))
 
 
-@query("mor23_laplacian_variance")
-def mor23(spark, sf):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = np.zeros((H, W_))
-        g[pdf["v"], pdf["u"]] = pdf["d"] / 2000
-        return pd.DataFrame([(int(pdf["frame"].iloc[0]), K.laplacian_variance(g))], columns=["frame", "sharpness"])
-
-    return rasters(spark, sf).groupBy("frame").applyInPandas(run, "frame long, sharpness double")
-
-
 @query("mor29_candidate_mask", "select frame, count(*) filter (d < f - 1000) as pixels from (select *, median(d) over (partition by frame) as f from (select o_custkey % 40 as frame, o_orderkey % 32 as u, o_orderkey // 32 % 24 as v, max(o_totalprice) as d from orders group by all)) group by frame")
 def mor29(spark, sf):
     r = rasters(spark, sf, fixed=True)
@@ -138,27 +88,13 @@ def mth15(spark, sf):
 
     @F.pandas_udf("struct<mode:string,roll:double,pitch:double,residual:double>")
     def plan(roll: pd.Series, pitch: pd.Series) -> pd.DataFrame:
-        out = [K.align_within((r, p), ((1.0, 0.05), (0.04, 1.0)), (0.0, 0.0), (-1.5 * r, -1.5 * p)) for r, p in zip(roll, pitch, strict=True)]
-        return pd.DataFrame([(m, t[0], t[1], x) for m, t, x in out], columns=["mode", "roll", "pitch", "residual"])
+        camera = np.column_stack([roll, pitch])
+        mode, target, rest = K.align_within(camera, ((1.0, 0.05), (0.04, 1.0)), np.zeros_like(camera), -1.5 * camera)
+        return pd.DataFrame({"mode": mode, "roll": target[:, 0], "pitch": target[:, 1], "residual": rest})
 
     return load(spark, sf, "part").select("p_partkey", plan(F.col("p_size") - 25.0, (F.col("p_retailprice") - 950.0) / 4).alias("a")).select("p_partkey", "a.*")
 
 
-@query("mth36_pid_output")
-def mth36(spark, sf):
-    """A controller's output over each device's samples, in order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        state, out = (0.0, 0.0), []
-        for d in pdf["depth"]:
-            state, y = K.pid_step(state, 25.0 - d / 10)
-            out.append(y)
-        return pd.DataFrame({"device": pdf["device"], "seq": pdf["seq"], "output": out})
-
-    return frames(spark, sf).select("device", "seq", "depth").groupBy("device").applyInPandas(run, "device long, seq long, output double")
-
-
 @query("mth44_autoencoder_scores")
 def mth44(spark, sf):
     """Residual scores of patches under a small autoencoder with fixed weights."""

@@ -42,7 +42,11 @@ def stm03(spark, sf):
 
 @query("stm04_first_stable", f"with {FRAMES} select device, min(seq) filter (stable) as first_stable from frames group by device")
 def stm04(spark, sf):
-    return frames(spark, sf).groupBy("device").agg(F.min(F.when(F.col("stable"), F.col("seq"))).alias("first_stable"))
+    """A stream's first stable sample of each device; devices without one stay
+    NULL."""
+    rows = frames(spark, sf).select("device", "seq", F.col("stable").alias("ok"))
+    got = S.run_to_end(S.first_seen(recorded(spark, sf, rows)), spark, "first")
+    return rows.select("device").distinct().join(got, "device", "left").select("device", F.col("at").alias("first_stable"))
 
 
 @query("stm05_bounded_attempts", f"with {FRAMES}, s as (select *, stable and depth > 20 as ok from frames where seq <= 8), {_STREAK} select device, min(seq) as ready_at from r where streak >= 4 group by device")
@@ -59,24 +63,23 @@ def stm06(spark, sf):
 
 @query("stm07_light_ack", f"with {FRAMES} select device, min(seq) filter (kind = 'click' and seq > 3) as ack from frames where seq <= 30 group by device")
 def stm07(spark, sf):
-    """The first exact answer after the input was reset."""
-    return frames(spark, sf).where("seq <= 30").groupBy("device").agg(F.min(F.when((F.col("kind") == "click") & (F.col("seq") > 3), F.col("seq"))).alias("ack"))
+    """The first exact answer after the input was reset, from a stream."""
+    rows = frames(spark, sf).where("seq <= 30").select("device", "seq", ((F.col("kind") == "click") & (F.col("seq") > 3)).alias("ok"))
+    got = S.run_to_end(S.first_seen(recorded(spark, sf, rows)), spark, "light")
+    return rows.select("device").distinct().join(got, "device", "left").select("device", F.col("at").alias("ack"))
 
 
 @query("stm09_state_transitions", f"with {FRAMES}, t as (select device, seq, kind, lag(kind, 1, 'start') over (partition by device order by seq) as before from frames) select before, kind, count(*) as n, count(*) filter (before <> 'error' or kind = 'error') as allowed from t group by all")
 def stm09(spark, sf):
-    from pyspark.sql import Window as W
-
-    before = F.lag("kind", 1, "start").over(W.partitionBy("device").orderBy("seq"))
-    return frames(spark, sf).withColumn("before", before).groupBy("before", "kind").agg(F.count("*").alias("n"), F.count_if((F.col("before") != "error") | (F.col("kind") == "error")).alias("allowed"))
+    """Transitions of each device's state as a stream, and how many are allowed."""
+    got = S.run_to_end(S.transitions(recorded(spark, sf, frames(spark, sf).select("device", "seq", "kind")), "start"), spark, "transitions")
+    return got.groupBy("before", "kind").agg(F.count("*").alias("n"), F.count_if((F.col("before") != "error") | (F.col("kind") == "error")).alias("allowed"))
 
 
 @query("stm12_ring_buffer", f"with {FRAMES} select device, list(seq order by seq) as kept from (select device, seq, max(seq) over (partition by device) as top from frames) where seq > top - 5 group by device")
 def stm12(spark, sf):
-    from pyspark.sql import Window as W
-
-    top = F.max("seq").over(W.partitionBy("device"))
-    return frames(spark, sf).withColumn("top", top).where("seq > top - 5").groupBy("device").agg(F.array_sort(F.collect_list("seq")).alias("kept"))
+    got = S.run_to_end(S.ring_buffer(recorded(spark, sf, frames(spark, sf).select("device", "seq")), 5), spark, "ring")
+    return got.groupBy("device").agg(F.max_by("kept", F.element_at("kept", -1)).alias("kept"))
 
 
 @query("stm13_resample", "select time_bucket(interval 6 hours, ts) as start, round(avg(value), 6) as mean, count(*) as n from events group by all")

@@ -38,52 +38,113 @@ def after_boundary(rows: DataFrame, boundary, settle: str = "0 seconds", time: s
     return rows.where(F.col(time) > boundary + F.expr(f"interval {settle}"))
 
 
-def stable_streaks(rows: DataFrame, need: int, attempts: int | None = None) -> DataFrame:
+def _in_order(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
+    """A key's rows of one trigger by seq, whatever chunks they came in."""
+    parts = [pdf[columns] for pdf in batches]
+    if parts:
+        yield from pd.concat(parts).sort_values("seq", kind="stable").itertuples(index=False)
+
+
+def _per_device(rows: DataFrame, step, output: str, state: str, forget: str | None) -> DataFrame:
+    """``step(device, batches, state or None)`` gives rows and the next state
+    (None: nothing is kept).  With ``forget`` the state of a device that sends
+    nothing for so long (a processing time, e.g. "10 minutes") is dropped."""
+    names = [c.split()[0] for c in output.split(", ")]
+    wait = None if forget is None else int(pd.Timedelta(forget).total_seconds() * 1000)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        out, after = step(key[0], batches, held.get if held.exists else None)
+        if after is not None:
+            held.update(after)
+            if wait is not None:
+                held.setTimeoutDuration(wait)
+        elif held.exists:
+            held.remove()
+        yield pd.DataFrame(out, columns=names)
+
+    timeout = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("device").applyInPandasWithState(run, output, state, "append", timeout)
+
+
+def stable_streaks(rows: DataFrame, need: int, attempts: int | None = None, forget: str | None = None) -> DataFrame:
     """(device, ready_at): the sequence number at which a device's first
     streak of ``need`` passing samples ended, among its first ``attempts``.
 
-    rows: device, seq, ok, in order of arrival for each device.  The state is
-    two numbers a device, and none more once it is done.
+    rows: device, seq, ok.  Rows of one trigger are taken by seq; those of a
+    later trigger come after them.  The state is two numbers a device.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, seen, done = state.get if state.exists else (0, 0, False)
+    def step(device, batches, state):
+        run, seen, done = state or (0, 0, False)
         out = []
-        for pdf in batches:
-            for seq, ok in pdf.sort_values("seq")[["seq", "ok"]].itertuples(index=False):
-                if done or (attempts is not None and seen >= attempts):
-                    continue
-                seen += 1
-                run = run + 1 if ok else 0
-                if run >= need:
-                    done = True
-                    out.append((key[0], int(seq)))
-        state.update((run, seen, done))
-        yield pd.DataFrame(out, columns=["device", "ready_at"])
-
-    return rows.groupBy("device").applyInPandasWithState(step, "device long, ready_at long", "run long, seen long, done boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def acknowledged(rows: DataFrame) -> DataFrame:
+        for seq, ok in _in_order(batches, ["seq", "ok"]):
+            if done or (attempts is not None and seen >= attempts):
+                break
+            seen += 1
+            run = run + 1 if ok else 0
+            if run >= need:
+                done = True
+                out.append((device, int(seq)))
+        return out, (run, seen, done)
+
+    return _per_device(rows, step, "device long, ready_at long", "run long, seen long, done boolean", forget)
+
+
+def acknowledged(rows: DataFrame, forget: str | None = None) -> DataFrame:
     """(device, ack, done): a command's echo, then the first completion mark
-    after it.  rows: device, seq, is_ack, is_done."""
-
-    def step(key, batches, state):
-        ack = state.get[0] if state.exists else -1
-        out, over = [], ack == -2
-        for pdf in batches:
-            for seq, is_ack, is_done in pdf.sort_values("seq")[["seq", "is_ack", "is_done"]].itertuples(index=False):
-                if over:
-                    break
-                if ack < 0 and is_ack:
-                    ack = int(seq)
-                elif ack >= 0 and is_done and seq > ack:
-                    out.append((key[0], ack, int(seq)))
-                    over = True
-        state.update((-2 if over else ack,))
-        yield pd.DataFrame(out, columns=["device", "ack", "done"])
-
-    return rows.groupBy("device").applyInPandasWithState(step, "device long, ack long, done long", "ack long", "append", GroupStateTimeout.NoTimeout)
+    after it.  rows: device, seq, is_ack, is_done, in order as above."""
+
+    def step(device, batches, state):
+        ack = state[0] if state else -1
+        out = []
+        for seq, is_ack, is_done in _in_order(batches, ["seq", "is_ack", "is_done"]):
+            if ack == -1 and is_ack:
+                ack = int(seq)
+            elif ack >= 0 and is_done and seq > ack:
+                out.append((device, ack, int(seq)))
+                ack = -2
+        return out, (ack,)
+
+    return _per_device(rows, step, "device long, ack long, done long", "ack long", forget)
+
+
+def first_seen(rows: DataFrame, forget: str | None = None) -> DataFrame:
+    """(device, at): the first row of each device that is ``ok``."""
+
+    def step(device, batches, state):
+        if state:
+            return [], state
+        at = next((int(seq) for seq, ok in _in_order(batches, ["seq", "ok"]) if ok), None)
+        return ([], None) if at is None else ([(device, at)], (at,))
+
+    return _per_device(rows, step, "device long, at long", "at long", forget)
+
+
+def transitions(rows: DataFrame, start: str, forget: str | None = None) -> DataFrame:
+    """(device, seq, before, kind): each row's kind and that of the row before."""
+
+    def step(device, batches, state):
+        before, out = state[0] if state else start, []
+        for seq, kind in _in_order(batches, ["seq", "kind"]):
+            out.append((device, int(seq), before, kind))
+            before = kind
+        return out, (before,)
+
+    return _per_device(rows, step, "device long, seq long, before string, kind string", "kind string", forget)
+
+
+def ring_buffer(rows: DataFrame, size: int, forget: str | None = None) -> DataFrame:
+    """(device, kept): after each trigger that brought rows, the last ``size``
+    sequence numbers of the device; the newest array is the one that counts."""
+
+    def step(device, batches, state):
+        kept = [*(state[0] if state else []), *[int(seq) for (seq,) in _in_order(batches, ["seq"])]][-size:]
+        return [(device, kept)], (kept,)
+
+    return _per_device(rows, step, "device long, kept array<long>", "kept array<long>", forget)
 
 
 def resample(rows: DataFrame, every: str, late: str, time: str = "ts", value: str = "value") -> DataFrame:

@@ -3,11 +3,12 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lumenspan.functions import gates, text
-from lumenspan.operators import geometry, kernels, ordered, planes, raster
+from lumenspan.operators import control, geometry, kernels, ordered, pixels, planes, raster
 from lumenspan.sources import files, sinks
 from lumenspan.streaming import telemetry
 
@@ -85,6 +86,24 @@ def test_streak_and_its_stream(spark, tmp_path, ok, ready):
     assert [r.ready_at for r in got] == ([ready] if ready else [])
 
 
+def test_streams_take_rows_in_order_whatever_their_chunks(spark, tmp_path):
+    """A device's rows in many small chunks and out of order within a trigger."""
+    ok = [0, 1, 0, 1, 1, 1, 0, 1]
+    df = spark.createDataFrame([(1, i + 1, bool(x)) for i, x in enumerate(ok)][::-1], "device long, seq long, ok boolean")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert [r.ready_at for r in telemetry.run_to_end(telemetry.stable_streaks(read(), 3), spark, "chunks").collect()] == [6]
+        assert [r.at for r in telemetry.run_to_end(telemetry.first_seen(read()), spark, "first").collect()] == [2]
+        kept = telemetry.run_to_end(telemetry.ring_buffer(read().select("device", "seq"), 3), spark, "ring").collect()
+        assert [list(r.kept) for r in kept] == [[6, 7, 8]]
+        acks = read().select("device", "seq", (F.col("seq") == 3).alias("is_ack"), F.col("seq").isin(2, 5, 7).alias("is_done"))
+        assert [(r.ack, r.done) for r in telemetry.run_to_end(telemetry.acknowledged(acks), spark, "ack").collect()] == [(3, 5)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_stream_joins_and_watermarks(spark, tmp_path):
     import datetime as dt
 
@@ -130,6 +149,17 @@ def plane_rows(spark, rows):
     return spark.createDataFrame([(1, i, list(n), list(c)) for i, (n, c) in enumerate(rows)], "run long, idx long, normal array<double>, centre array<double>")
 
 
+def test_groups_of_long_chains_in_any_order(spark):
+    import random
+
+    for seed in range(4):
+        order = random.Random(seed).sample(range(20), 20)
+        p = spark.createDataFrame([(1, i) for i in range(20)] + [(2, 5)], "run long, idx long")
+        chain = [(1, min(a, b), max(a, b)) for a, b in zip(order, order[1:])]
+        got = planes.plane_groups(p, spark.createDataFrame(chain, "run long, a long, b long")).collect()
+        assert {(r.run, r.group) for r in got} == {(1, 0), (2, 5)} and len(got) == 21
+
+
 @pytest.mark.parametrize(("rows", "groups"), [
     ([((0.1, 0, -1), (0, 0, 500)), ((0.1, 0, -1), (10, 0, 501))], 1),
     ([((0.1, 0, -1), (0, 0, 500)), ((0.1, 0, -1), (0, 0, 520))], 2),
@@ -183,34 +213,139 @@ def test_ply(spark, tmp_path):
     assert [(r.x, r.y, r.z) for r in got] == [(1.0, 2.0, 3.0), (6.0, 7.0, 8.0)]
 
 
-def test_morphology():
+def mask_rows(spark, *masks):
+    return spark.createDataFrame([(k, int(u), int(v)) for k, m in enumerate(masks) for v, u in np.argwhere(m)], "frame long, u long, v long")
+
+
+def as_arrays(df, n, shape):
+    out = np.zeros((n, *shape), bool)
+    for r in df.collect():
+        assert not out[r.frame, r.v, r.u]  # a pixel has one row
+        out[r.frame, r.v, r.u] = True
+    return out
+
+
+def test_morphology(spark):
     m = np.zeros((9, 9), bool)
     m[2:7, 2:7] = True
     m[4, 4] = False
-    assert kernels.fill_holes(m).sum() == 25 and kernels.fill_holes(m, most=0).sum() == 24
-    assert kernels.erode(kernels.fill_holes(m), kernels.ellipse(1)).sum() == 9
-    assert kernels.border_ring(np.ones((6, 8)), 2).sum() == 48 - 2 * 4
-    assert [a for _, a, _, _ in kernels.component_stats(np.eye(4))] == [4]
-    two = np.zeros((5, 9), bool)
+    leak = m.copy()
+    leak[4, 4], leak[3, 3], leak[2, 2], leak[1, 1] = False, False, False, False  # a diagonal gap to the outside
+    shape, df = pixels.Shape(9, 9), mask_rows(spark, m, leak)
+    frames = spark.createDataFrame([(0,), (1,)], "frame long")
+    size = lambda x: [int(k.sum()) for k in as_arrays(x, 2, (9, 9))]
+    assert size(pixels.holes(df, frames, shape)) == [1, 0]
+    assert size(pixels.holes(df, frames, shape, connectivity=4)) == [1, 2]
+    assert size(pixels.holes(df, frames, shape, most=0)) == [0, 0]
+    full = df.union(pixels.holes(df, frames, shape)).distinct()
+    assert size(pixels.erode(full, pixels.ellipse(1), shape))[0] == 9
+    assert size(pixels.convex(df, shape))[0] == 25
+    two = np.zeros((9, 9), bool)
     two[1:3, 1:3] = two[1:3, 6:8] = True
-    assert kernels.components(two)[1] == 2 and kernels.largest(two)[1, 1] and not kernels.largest(two)[1, 6]
-    assert kernels.guarded_hull(m).sum() == 25
-    assert kernels.laplacian_variance(np.full((5, 5), 7)) == 0
-    assert kernels.inspection_mask(m, m).sum() > 0 and kernels.density_support(np.ones((9, 9)), 1, 1.0)[4, 4]
-
-
-def test_alignment_and_control():
-    mode, target, _ = kernels.align_within((5, -5), np.eye(2), (0, 0), (-5, 5))
-    assert mode == "FULL" and target.tolist() == [-5, 5]
-    mode, target, rest = kernels.align_within((40, 0), np.eye(2), (0, 0), (-40, 0))
-    assert mode == "PARTIAL" and target[0] == -30 and rest == pytest.approx(10, abs=0.01)
-    state, out = kernels.pid_step((0.0, 0.0), 0.05)
-    assert out == 0.0 and state == (0.0, 0.05)
-    assert kernels.pid_step((10.0, 1.0), 1.0)[0][0] == 10.0
+    got = as_arrays(pixels.largest(mask_rows(spark, two, np.eye(9)), shape), 2, (9, 9))
+    assert got[0][1, 1] and not got[0][1, 6] and got[1].sum() == 9
+    assert sorted((r.frame, r.label, r.area) for r in pixels.areas(pixels.labels(mask_rows(spark, two, np.eye(9)), shape)).collect()) == [(0, 10, 4), (0, 15, 4), (1, 0, 9)]
+    assert pixels.labels(mask_rows(spark), shape).count() == 0
+
+
+def test_morphology_equals_arrays(spark):
+    """Random frames against definitions pixel by pixel."""
+    rng = np.random.default_rng(3)
+    shape, masks = (11, 14), [rng.random((11, 14)) < d for d in (0.35, 0.6, 0.9)]
+    df, sh = mask_rows(spark, *masks), pixels.Shape(*shape)
+
+    def near(m, offsets, empty):
+        at = lambda v, u: m[v, u] if 0 <= v < shape[0] and 0 <= u < shape[1] else empty
+        return lambda fn: np.array([[fn(at(v + dv, u + du) for du, dv in offsets) for u in range(shape[1])] for v in range(shape[0])])
+
+    for offsets in (pixels.ellipse(1), pixels.ellipse(2), pixels.box(1), [(0, 0), (1, 2)]):
+        back = [(-du, -dv) for du, dv in offsets]
+        assert (as_arrays(pixels.dilate(df, offsets, sh), 3, shape) == [near(m, back, False)(any) for m in masks]).all()
+        assert (as_arrays(pixels.erode(df, offsets, sh), 3, shape) == [near(m, offsets, True)(all) for m in masks]).all()
+        assert (as_arrays(pixels.erode(df, offsets, sh, outside=False), 3, shape) == [near(m, offsets, False)(all) for m in masks]).all()
+    for r in (1, 2):
+        assert (as_arrays(pixels.erode_box(df, r, sh), 3, shape) == [near(m, pixels.box(r), True)(all) for m in masks]).all()
+        wide = [np.pad(m, r, mode="symmetric") for m in masks]
+        share = [np.array([[w[v : v + 2 * r + 1, u : u + 2 * r + 1].mean() for u in range(shape[1])] for v in range(shape[0])]) for w in wide]
+        assert (as_arrays(pixels.density(df, r, 0.5, sh), 3, shape) == [x >= 0.5 for x in share]).all()
+    assert pixels.ellipse(2)[:6] == [(0, -2), (-2, -1), (-1, -1), (0, -1), (1, -1), (2, -1)]
+
+
+def test_equalisation_and_filters():
+    flat = np.full((24, 32), 100)
+    assert (kernels.preprocess(flat) == kernels.preprocess(flat)[0, 0]).all()
+    assert (kernels.gaussian(flat, 1.0) == 100).all()
+    ramp = np.tile(np.arange(64) * 4, (64, 1))
+    got = kernels.equalize_tiles(ramp, (2, 2), 40.0)
+    assert (np.diff(got[0].astype(int)) >= 0)[:20].all() and got.shape == ramp.shape
+    assert kernels.gamma_table(0.82)[[0, 255]].tolist() == [0, 255]
+    spike = np.zeros((9, 9))
+    spike[4, 4] = 255
+    assert kernels.gaussian(spike, 1.0)[4, 4] == pytest.approx(255 * 0.39905**2, abs=1)
+
+
+def test_alignment():
+    mode, target, rest = kernels.align_within([(5, -5), (40, 0)], np.eye(2), [(0, 0)] * 2, [(-5, 5), (-40, 0)])
+    assert mode.tolist() == ["FULL", "PARTIAL"] and target[0].tolist() == [-5, 5]
+    assert target[1, 0] == -30 and rest[1] == pytest.approx(10, abs=0.01)
+    rng = np.random.default_rng(1)
+    camera, jacobian = rng.uniform(-50, 50, (20, 2)), np.array([[1.0, 0.05], [0.04, 1.0]])
+    _, target, rest = kernels.align_within(camera, jacobian, np.zeros((20, 2)), -1.5 * camera)
+    side = np.linspace(-30, 30, 241)
+    grid = np.concatenate([[(s, x), (x, s)] for s in (-30, 30) for x in side])
+    for i in np.flatnonzero((np.abs(1.5 * camera) > 30).any(axis=1)):
+        a = np.radians(camera[i] + grid @ jacobian.T)
+        assert rest[i] <= np.degrees(np.arctan(np.hypot(*np.tan(a).T))).min() + 1e-6
+
+
+def test_golden_minimum(spark):
+    at = geometry.golden_minimum(lambda x: F.pow(x - F.col("c"), 2) + 1, -60, 60)
+    assert one(spark, at, c=12.25) == pytest.approx(12.25, abs=1e-5)
+    assert one(spark, at, c=99.0) == pytest.approx(60, abs=1e-5)
+
+
+def test_autoencoder():
     w = [(np.zeros((2, 1, 4, 4)), np.zeros(2)), (np.zeros((2, 1, 4, 4)), np.zeros(1))]
     assert np.allclose(kernels.autoencode(np.ones((1, 8, 8)), w), 0.5)
 
 
+def control_rows(**columns):
+    n = len(next(iter(columns.values())))
+    base = {"err_phi": [0.0] * n, "err_theta": [0.0] * n, "rate_phi": [0.0] * n, "rate_theta": [0.0] * n, "tick": [20 * (i + 1) for i in range(n)], "mode": [0] * n, "imu": [0] * n, "z_term": [0] * n}
+    return pd.DataFrame(base | columns)
+
+
+def test_attitude_control():
+    """Inside the deadband the proportional term rests, the others do not."""
+    (out,) = control.attitude(control_rows(err_theta=[1.0]))
+    assert out == (90.0, -45.0, -45.0)
+    assert control.attitude(control_rows(err_phi=[0.05], mode=[0]))[0] == (0.0, 0.0, 0.0)
+    a, b = control.attitude(control_rows(err_phi=[0.05, 0.08], mode=[1, 1]))
+    assert b[2] == pytest.approx((0.08 - 0.05) * 12.0 * 0.866)
+    a, b = control.attitude(control_rows(err_phi=[0.05, 0.05], mode=[2, 2], tick=[100, 5000]))
+    assert b[2] == pytest.approx(0.05 * (0.020 + 0.100) * 31.0 * 0.866)
+    full = control.attitude(control_rows(err_phi=[4.0] * 200, mode=[2] * 200))
+    assert full[-1][2] == pytest.approx((4.0 * 105 + 200) * 0.866)
+    assert control.attitude(control_rows(err_phi=[1.0], rate_phi=[2.0], mode=[1], imu=[1]))[0][2] == pytest.approx((105 - 2 * 3.30) * 0.866)
+
+
+@pytest.mark.parametrize(("output", "command"), [
+    ([0.4, -0.5], [0, 0]), ([50.0, -80.5, 9999.0], [220, -250, 700]), ([40.0] * 6, [0, 0, 220, 220, 0, 220]), ([40.0, 40.0, 40.0, -60.0], [0, 0, 220, 220]), ([1.0] * 12, [0] * 9 + [220, 220, 0]),
+])
+def test_pulses(output, command):
+    assert [x for (x,) in control.pulses(pd.DataFrame({"output": output}))] == command
+
+
+def test_sleeping():
+    tick = [100 * (i + 1) for i in range(8)]
+    get = lambda **c: [x for (x,) in control.sleeping(control_rows(tick=tick, **c))]
+    assert get(err_phi=[0.1] * 8) == [False] * 3 + [True] * 5
+    assert get(err_phi=[0.1] * 5 + [0.2, 0.26, 0.1]) == [False] * 3 + [True] * 3 + [False] * 2
+    assert get(err_phi=[0.1, 0.1, 0.16] + [0.1] * 5) == [False] * 6 + [True] * 2
+    assert get(err_theta=[0.1] * 8, z_term=[0, 0, 0, 1, 1, 0, 0, 0]) == [False] * 5 + [True] * 3
+    assert get(err_phi=[0.1] * 4 + [9.0] * 4, z_term=[0] * 4 + [1] * 4) == [False] * 3 + [True] * 5
+
+
 def test_rolling_median_skips_missing(spark):
     df = spark.createDataFrame([(1, i, d) for i, d in enumerate([0.0, 5.0, float("nan"), 7.0, 9.0, -1.0, 11.0])], "k int, i int, d double")
     got = [r.m for r in ordered.rolling_median(df, "d", ["k"], ["i"], 3, "m").orderBy("i").collect()]
