@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -72,21 +73,22 @@ def attitude(rows: pd.DataFrame) -> list[tuple[float, float, float]]:
 def pulses(rows: pd.DataFrame) -> list[tuple[int]]:
     """A motor's command from its ``output``: a pulse once begun lasts its
     ticks; small outputs rest, large ones drive on, those between add up to
-    pulses."""
-    out, held, left, way = [], 0.0, 0, 0
-    for x in rows["output"]:
+    pulses.  Sums are of single precision, as the controller's are."""
+    full, least = np.float32(PULSE_FULL), np.float32(PULSE_DUTY_MIN)
+    out, held, left, way = [], np.float32(0), 0, 0
+    for x in rows["output"].to_numpy(np.float32):
         size, sign = abs(x), 1 if x > 0 else -1
         if left:
             left -= 1
             out.append((way * PWM_MIN,))
-        elif size <= OUT_MIN or size >= PULSE_FULL:
-            held = 0.0
-            out.append((0 if size <= OUT_MIN else sign * int(min(PWM_MAX, PWM_MIN + size - PULSE_FULL)),))
+        elif size <= OUT_MIN or size >= full:
+            held = np.float32(0)
+            out.append((0 if size <= OUT_MIN else sign * int(min(PWM_MAX, PWM_MIN + (size - full))),))
         else:
-            held += max(PULSE_DUTY_MIN, size / PULSE_FULL)
-            go = held >= PULSE_ON_TICKS
+            held += max(least, size / full)
+            go = bool(held >= PULSE_ON_TICKS)
             if go:
-                held, left, way = held - PULSE_ON_TICKS, PULSE_ON_TICKS - 1, sign
+                held, left, way = held - np.float32(PULSE_ON_TICKS), PULSE_ON_TICKS - 1, sign
             out.append((sign * PWM_MIN * go,))
     return out
 

@@ -68,15 +68,15 @@ def mth36(spark, sf):
 
 
 def _pulse(start: bool) -> str:
-    held, left, way = ("0.0::double", "0", "0") if start else ("s.held", "s.left", "s.way")
-    size, sign = "abs(f.output)", "case when f.output > 0 then 1 else -1 end"
+    held, left, way = ("0::real", "0", "0") if start else ("s.held", "s.left", "s.way")
+    size, sign = "abs(f.output::real)", "case when f.output > 0 then 1 else -1 end"
     rest, full = f"{size} <= {C.OUT_MIN}", f"{size} >= {C.PULSE_FULL}"
-    total = f"{held} + greatest({C.PULSE_DUTY_MIN}, {size} / {C.PULSE_FULL})"
+    total = f"({held} + greatest({C.PULSE_DUTY_MIN}::real, {size} / {C.PULSE_FULL}::real))"
     go = f"{left} = 0 and not ({rest}) and not ({full}) and {total} >= {C.PULSE_ON_TICKS}"
     return f"""f.device, f.seq,
-  case when {left} > 0 then {held} when {rest} or {full} then 0.0 when {go} then {total} - {C.PULSE_ON_TICKS} else {total} end::double,
+  case when {left} > 0 then {held} when {rest} or {full} then 0::real when {go} then {total} - {C.PULSE_ON_TICKS}::real else {total} end::real,
   case when {left} > 0 then {left} - 1 when {go} then {C.PULSE_ON_TICKS - 1} else 0 end::int, case when {go} then {sign} else {way} end::int,
-  case when {left} > 0 then {way} * {C.PWM_MIN} when {rest} then 0 when {full} then {sign} * trunc(least({C.PWM_MAX}, {C.PWM_MIN} + {size} - {C.PULSE_FULL})) when {go} then {sign} * {C.PWM_MIN} else 0 end::bigint"""
+  case when {left} > 0 then {way} * {C.PWM_MIN} when {rest} then 0 when {full} then {sign} * trunc(least({C.PWM_MAX}, {C.PWM_MIN}::real + ({size} - {C.PULSE_FULL}::real))) when {go} then {sign} * {C.PWM_MIN} else 0 end::bigint"""
 
 
 @query("mth38_pulse_modulation", _recursion("device, seq, held, left_, way, value".replace("left_", '"left"'), _pulse(True).replace("s.left", 's."left"'), _pulse(False).replace("s.left", 's."left"'), "value"))
