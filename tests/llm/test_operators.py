@@ -432,6 +432,19 @@ def test_toxicity_learns_stems_and_spares_clean_text():
     assert right >= 95
 
 
+def test_held_out_accuracy(spark):
+    """Of the queries with their production parameters, on documents that
+    neither model saw."""
+    sf = "/root/testdata/sf0.1"
+    truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").dropDuplicates(["doc_id"])
+    got = queries.op5_language_id(spark, sf).where("held_out and lang_pred <> 'und'").join(truth.where("lang is not null"), "doc_id").toPandas()
+    assert len(got) > 2000 and (got["lang_pred"] == got["lang"]).mean() > 0.98
+    toxic = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    got = queries.op4_toxicity(spark, sf).where("held_out").join(toxic, "doc_id").toPandas()
+    hit = ((got["predicted"] == 1) & (got["toxic"] == 1)).sum()
+    assert hit / (got["predicted"] == 1).sum() > 0.8 and hit / (got["toxic"] == 1).sum() > 0.7
+
+
 def test_toxicity_on_awkward_rows(spark, docs, none):
     net = toxicity.train(toxicity.sample(docs, spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (5, None)], "doc_id bigint, toxic int")))
     got = toxicity.score(docs, net)
@@ -578,6 +591,44 @@ def test_license_scan(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_scan_equals_brute_force(spark):
+    """Phrases' places and the votes by diagonal, on random texts with columns
+    of any name beside them and one very long text."""
+    rng = random.Random(12)
+    phrases, templates = license_scan.PHRASES, {"t": ["alpha beta gamma delta epsilon zeta eta theta iota kappa"]}
+    body, k = templates["t"][0].split(" "), license_scan.K
+    pool = [*phrases, "license", "mit", "apache", "cc", "by", "gnu general", *[" ".join(body[x : x + 5]) for x in range(0, 8, 2)]]
+    texts = [" ".join(rng.choice(pool + NAMES[:4]).title() + rng.choice(["", ",", "."]) for _ in range(rng.randrange(60))) for _ in range(60)] + [prose(rng, 30_000) + " MIT license"]
+    df = spark.createDataFrame([(i, x, "a", 1, "b") for i, x in enumerate(texts)], "doc_id bigint, text string, spans string, n_base int, own string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    for i, text in enumerate(texts):
+        words = "".join(c.lower() if c.isalnum() else " " for c in text).split()
+        hits = [(x, label) for p, label in phrases.items() for n in [len(p.split(" "))] for x in range(len(words)) if words[x : x + n] == p.split(" ")]
+        at = [x for x, _ in hits]
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word) == (len(words), len(at), min(at, default=None), max(at, default=None))
+        assert got[i].base_labels == ",".join(sorted({x for _, x in hits})) and set(got[i].base_labels.split(",")) - {""} <= set(got[i].labels.split(","))
+    want = {}
+    for i, text in enumerate(texts):
+        words = "".join(c.lower() if c.isalnum() else " " for c in text).split()
+        diagonals = {}
+        for a in range(len(words) - k + 1):
+            for b in range(len(body) - k + 1):
+                if words[a : a + k] == body[b : b + k]:
+                    diagonals.setdefault(a - b, []).append(a)
+        runs = []
+        for d in sorted(diagonals):
+            if runs and d - runs[-1][0] <= license_scan.NEAR:
+                runs[-1] = (d, runs[-1][1] + diagonals[d])
+            else:
+                runs.append((d, diagonals[d]))
+        for _, places in runs:
+            want.setdefault(i, []).append((min(places), max(places) + k, len(places)))
+    found = {}
+    for r in license_scan.votes(license_scan._keyed(df), templates).collect():
+        found.setdefault(r.doc_id, []).append((r.lo, r.hi, r.n))
+    assert {i: sorted(x) for i, x in found.items()} == {i: sorted(x) for i, x in want.items()} and want
+
+
 # ---- WARC ---------------------------------------------------------------------------------------------
 
 
