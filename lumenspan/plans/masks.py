@@ -251,7 +251,7 @@ def _hybrid_roi(a):
     return a.both(a.erode(a.largest(a.both(hybrid, allowed)), P.ellipse(1)), a.union(board, unknown))
 
 
-morphology("mor02_border_ring", "A workspace less its erosion by a box, 10 pixels wide at least; beyond the frame counts as set.", lambda a: (lambda w: a.minus(w, a.erode_box(w, 10)))(a.filled(a.closed(a.mask(), P.box(1)), 8)))
+morphology("mor02_border_ring", "A workspace less its erosion by a box, 10 pixels wide at least; beyond the frame counts as set.", lambda a: (lambda w: a.minus(w, a.erode_box(w, 10)))(a.where(a.filled(a.closed(a.mask(), P.box(1))), f"u between {EDGE} and {W_ - 1 - EDGE}")))
 morphology("mor03_open_close", "Opened, then closed, by ellipses.", lambda a: a.closed(a.opened(a.mask(), P.ellipse(1)), P.ellipse(2), times=2))
 morphology("mor05_polygon", "Set pixels of a convex quadrilateral, by its half planes.", lambda a: a.where(a.mask(), _QUAD))
 morphology("mor06_external_fill", "The largest component, filled to its outline, inside the workspace.", lambda a: a.where(a.external(a.mask()), _RECT))
@@ -331,10 +331,9 @@ def mor01(spark, sf):
 
 @query("mor23_laplacian_variance", """with g as (select * from (select distinct (o_orderkey // 1536) * 2 + o_custkey % 2 as frame from orders), (select unnest(range(32)) as u), (select unnest(range(24)) as v)),
 px as (select (o_orderkey // 1536) * 2 + o_custkey % 2 as frame, o_orderkey % 32 as u, o_orderkey // 32 % 24 as v, max(o_totalprice) / 2000 as d from orders group by all),
-x as materialized (select g.frame, g.u, g.v, coalesce(d, 0) as d from g left join px using (frame, u, v))
-select a.frame, round(var_pop(l.d + r.d + t.d + b.d - 4 * a.d), 4) as sharpness from x a join x l on l.frame = a.frame and l.v = a.v and l.u = case when a.u = 0 then 1 else a.u - 1 end
-join x r on r.frame = a.frame and r.v = a.v and r.u = case when a.u = 31 then 30 else a.u + 1 end join x t on t.frame = a.frame and t.u = a.u and t.v = case when a.v = 0 then 1 else a.v - 1 end
-join x b on b.frame = a.frame and b.u = a.u and b.v = case when a.v = 23 then 22 else a.v + 1 end group by a.frame""")
+x as materialized (select g.frame, g.u, g.v, coalesce(d, 0) as d from g left join px using (frame, u, v)),
+n as (select frame, d, lag(d) over a as l, lead(d) over a as r, lag(d) over b as t, lead(d) over b as o from x window a as (partition by frame, v order by u), b as (partition by frame, u order by v))
+select frame, round(var_pop(coalesce(l, r) + coalesce(r, l) + coalesce(t, o) + coalesce(o, t) - 4 * d), 4) as sharpness from n group by frame""")
 def mor23(spark, sf):
     """Variance of the Laplacian; the frame is mirrored about its edge pixels,
     and a pixel without a value is 0."""
