@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import ann, decontamination, language_id, license_scan, line_dedup, mixing, ngram_join, token_ids, toxicity, warc
+from lumenspan.llm import ann, decontamination, language_id, license_scan, line_dedup, mixing, ngram_join, periodic_runs, token_ids, toxicity, warc
 from lumenspan.llm.common import documents, fold_of, held_out, table
 
 
@@ -63,6 +63,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.plant(documents(spark, sf_dir))))
+
+
 OP3_SQL = r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
@@ -105,7 +109,7 @@ from d left join h using (doc_id) left join t using (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op4_toxicity, op5_language_id, op6_nearest, op7_token_ids, op8_decontaminate, op9_license_scan, op10_warc)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op4_toxicity, op5_language_id, op6_nearest, op7_token_ids, op8_decontaminate, op9_license_scan, op10_warc, op11_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
