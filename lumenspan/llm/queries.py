@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import ann, decontamination, language_id, license_scan, line_dedup, mixing, ngram_join, periodic_runs, quality, token_ids, toxicity, warc
+from lumenspan.llm import ann, decontamination, language_id, license_scan, line_dedup, mixing, ngram_join, periodic_runs, quality, token_alignment, token_ids, toxicity, warc
 from lumenspan.llm.common import documents, fold_of, held_out, table
 
 
@@ -67,6 +67,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.plant(documents(spark, sf_dir))))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_alignment.align(documents(spark, sf_dir))
+    return out.select("doc_id", *token_alignment.NUMBERS, F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256"))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, fold = documents(spark, sf_dir), table(spark, sf_dir, "labels"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(3)
     context = quality.context_sums(docs)
@@ -116,7 +121,7 @@ from d left join h using (doc_id) left join t using (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op4_toxicity, op5_language_id, op6_nearest, op7_token_ids, op8_decontaminate, op9_license_scan, op10_warc, op11_periodic_runs, op13_quality)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_join, op4_toxicity, op5_language_id, op6_nearest, op7_token_ids, op8_decontaminate, op9_license_scan, op10_warc, op11_periodic_runs, op12_token_alignment, op13_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
