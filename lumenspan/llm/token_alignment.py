@@ -1,9 +1,9 @@
 """Alignment of two tokenizers by the byte offsets at which both end a token.
 
 The work is relational: tokens are exploded with their positions, a window sums
-their lengths into end offsets, an equi-join on text and end finds the offsets
-that both tokenizers share, a running count of these numbers the groups, and a
-join of the two sides' groups links the tokens that end a group together.
+their lengths into end offsets, the two sides meet on text and end, a running count
+of the offsets that both share numbers the groups, and what a group holds is
+grouped by that number; its last tokens, which end together, are its link.
 
 Neither tokenizer lets a token reach over a space that leads a word, so a text
 is cut there and each distinct part of the corpus is aligned once, with the
@@ -17,20 +17,18 @@ shuffles, in which no part has more than a small share of the rows.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenspan.llm.common import bound_batches, broadcast_small, chunks, discard, lean, materialize
 
-#: Most parts that are broadcast, and the longest of them.
-FREQUENT, FREQUENT_BYTES = 1 << 17, 64
-COPARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Most parts that are broadcast, and the longest of them; parts up to this
+#: length are their own keys.
+FREQUENT, KEY_BYTES = 1 << 17, 60
 _TOGETHER = r"\x20(?![\p{L}\p{M}\p{N}\p{P}\p{S}])|▁"
 _workers: dict = {}
 
@@ -79,87 +77,82 @@ def pair(bytes_path: str, pieces_path: str) -> Pair:
     return _workers[key]
 
 
-@contextmanager
-def joined_by_some_keys(spark: SparkSession) -> Iterator[None]:
-    """Joins on text and offset take sides that are dealt by text as they are."""
-    before = spark.conf.get(COPARTITION, "true")
-    spark.conf.set(COPARTITION, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(COPARTITION, before)
-
-
 def parts_of(text: Column, split: bool) -> Column:
     whole = F.array(text)
     return F.when(F.concat(F.lit(" "), text).rlike(_TOGETHER), whole).otherwise(F.split(text, " ")) if split else whole
 
 
+def key_of(part: Column) -> Column:
+    """The part itself, or a digest longer than any part that stands for itself."""
+    return F.when(F.octet_length(part) <= KEY_BYTES, part).otherwise(F.sha2(part.cast("binary"), 256))
+
+
 def tokens_of(parts: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
-    """Per part its tokens by both tokenizers, with their lengths in bytes."""
+    """Per part its tokens, those of the first tokenizer before those of the
+    second, with their lengths in bytes; and the length of the whole."""
 
     def run(batches):
         both = pair(bytes_path, pieces_path)
         for batch, texts in chunks(batches, "part"):
-            cols = []
-            for ids, size in zip(both.encode([t.decode() for t in texts]), (both.len_a, both.len_b), strict=True):
-                flat = np.fromiter((x for row in ids for x in row), np.int32)
-                at = pa.array(np.cumsum([0] + [len(row) for row in ids], dtype=np.int32))
-                cols += [pa.ListArray.from_arrays(at, pa.array(flat)), pa.ListArray.from_arrays(at, pa.array(size[flat]))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], *cols], names=["k1", "k2", "n", "a", "a_len", "b", "b_len"])
-
-    lists = ", ".join(f"{c} array<int>" for c in ("a", "a_len", "b", "b_len"))
-    return parts.select("k1", "k2", "n", "part").mapInArrow(lean(run), f"k1 bigint, k2 bigint, n bigint, {lists}")
+            a, b = both.encode([t.decode() for t in texts])
+            ids = np.fromiter((x for rows in zip(a, b, strict=True) for row in rows for x in row), np.int32)
+            many, first = np.array([len(row) for row in a], np.int64), np.array([len(x) for rows in zip(a, b, strict=True) for x in rows], np.int64)
+            side = np.repeat(np.arange(len(first)) % 2, first)
+            size = np.where(side, both.len_b[ids * side], both.len_a[ids * (1 - side)])
+            at = pa.array(np.append(0, np.cumsum(first)[1::2]).astype(np.int32))
+            whole = pa.array([len(t) + 1 for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), whole, pa.array(many), pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(size.astype(np.int32)))], names=["k", "n", "size", "n_a", "ids", "lengths"])
 
+    return parts.select("k", "n", "part").mapInArrow(lean(run), "k string, n bigint, size bigint, n_a bigint, ids array<int>, lengths array<int>")
 
-KEY = ["k1", "k2"]
 
+def groups_of(tokens: DataFrame) -> DataFrame:
+    """(k, n, g, a, b, link): per part and group the ids of both sides in order
+    and the two that end it together.
 
-def _ends(tokens: DataFrame, side: str) -> DataFrame:
-    """(k1, k2, end, id) of every token of one side."""
-    rows = tokens.repartition(*KEY).select(*KEY, F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_len").alias("len"))).alias("pos", "token"))
-    rows = rows.select(*KEY, "pos", F.col("token.id").alias("id"), F.col("token.len").alias("len"))
-    return rows.select(*KEY, "id", F.sum("len").over(W.partitionBy(*KEY).orderBy("pos")).alias("end"))
+    All rows of a part stay where one shuffle of its arrays has dealt them.  The
+    equi-join of both sides on part and end is one grouping, for what a full
+    outer join returns would have to be dealt anew.
+    """
+    rows = tokens.repartition("k").select("k", "n", "n_a", "size", F.posexplode(F.arrays_zip("ids", "lengths")).alias("pos", "token"))
+    rows = rows.select("k", "n", "pos", "n_a", "size", F.col("token.ids").alias("id"), F.sum("token.lengths").over(W.partitionBy("k").orderBy("pos")).alias("end"))
+    second = F.col("pos") >= F.col("n_a")
+    ends = rows.select("k", "n", F.when(second, F.col("end") - F.col("size")).otherwise(F.col("end")).alias("end"), F.when(~second, F.col("id")).alias("a"), F.when(second, F.col("id")).alias("b"))
+    met = ends.groupBy("k", "n", "end").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
+    before = W.partitionBy("k").orderBy("end").rowsBetween(W.unboundedPreceding, -1)
+    told = met.withColumn("g", F.coalesce(F.sum(cut.cast("int")).over(before), F.lit(0)))
 
+    def listed(side: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side)))).getField(side)
 
-def _grouped(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
-    """(k1, k2, g, ids): g counts the shared ends before a token's own."""
-    cut = own.join(other.select(*KEY, "end", F.lit(1).alias("cut")), [*KEY, "end"], "left")
-    before = W.partitionBy(*KEY).orderBy("end").rowsBetween(W.unboundedPreceding, -1)
-    numbered = cut.withColumn("g", F.coalesce(F.sum("cut").over(before), F.lit(0)))
-    return numbered.groupBy(*KEY, "g").agg(F.array_sort(F.collect_list(F.struct("end", "id"))).getField("id").alias(name))
+    return told.groupBy("k", "n", "g").agg(listed("a").alias("a"), listed("b").alias("b"), F.max(F.when(cut, F.struct("a", "b"))).alias("link"))
 
 
-def groups_of(tokens: DataFrame) -> DataFrame:
-    """(k1, k2, g, a, b): per part and group the ids of both sides in order.
-    The last tokens of a group end together: they are its link."""
-    a, b = _ends(tokens, "a"), _ends(tokens, "b")
-    return _grouped(a, b, "a").join(_grouped(b, a, "b"), [*KEY, "g"])
+def aligned_parts(groups: DataFrame) -> DataFrame:
+    """Per part: n, n_a, n_b, links (pairs of ids) and groups
+    (``a1,a2|b1;a3|b2,b3``); rows of ``groups_of`` are not dealt anew."""
+    text = F.concat_ws("|", F.array_join(F.col("a").cast("array<string>"), ","), F.array_join(F.col("b").cast("array<string>"), ","))
+    ordered = F.array_sort(F.collect_list(F.struct("g", text.alias("text")))).getField("text")
+    return groups.groupBy("k", "n").agg(F.sum(F.size("a")).alias("n_a"), F.sum(F.size("b")).alias("n_b"), F.collect_list("link").alias("links"), F.array_join(ordered, ";").alias("groups"))
 
 
-def pair_counts(groups: DataFrame, parts: DataFrame) -> DataFrame:
+def pair_counts(parts: DataFrame) -> DataFrame:
     """(a, b, count, best): places in the corpus at which a and b are linked,
     and whether no id of the first tokenizer is linked with b at more."""
-    linked = groups.select(*KEY, F.element_at("a", -1).alias("a"), F.element_at("b", -1).alias("b"))
-    counts = linked.join(parts.select(*KEY, "n"), KEY).groupBy("a", "b").agg(F.sum("n").alias("count"))
+    counts = parts.select("n", F.explode("links").alias("link")).groupBy("link.a", "link.b").agg(F.sum("n").alias("count"))
     return counts.withColumn("best", F.col("count") == F.max("count").over(W.partitionBy("b")))
 
 
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def part_results(groups: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per part the six numbers and its groups as ``a1,a2|b1;a3|b2,b3``."""
-    size = F.lit(40)
-    rows = groups.withColumn("la", F.element_at("a", -1)).withColumn("lb", F.element_at("b", -1))
-    pairs = broadcast_small(counts.select(F.col("a").alias("la"), F.col("b").alias("lb"), "count", "best"), size)
-    text = F.concat_ws("|", F.array_join(F.col("a").cast("array<string>"), ","), F.array_join(F.col("b").cast("array<string>"), ","))
-    told = rows.join(pairs, ["la", "lb"]).select(*KEY, "g", F.size("a").alias("x"), F.size("b").alias("y"), "count", "best", text.alias("text"))
-    listed = F.array_sort(F.collect_list(F.struct("g", "text"))).getField("text")
-    return told.groupBy(*KEY).agg(
-        F.sum("x").alias("n_a"), F.sum("y").alias("n_b"), F.count("*").alias("n_groups"), F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"),
-        F.array_join(listed, ";").alias("groups"),
-    )
+def part_results(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per part n, the six numbers and its groups."""
+    links = parts.select("k", F.explode("links").alias("link")).select("k", "link.*")
+    told = links.join(broadcast_small(counts, F.lit(40)), ["a", "b"]).groupBy("k").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    size = F.size("links").cast("long")
+    return parts.select("k", "n", "n_a", "n_b", size.alias("n_groups"), size.alias("n_links"), "groups").join(told, "k").select("k", "n", *NUMBERS, "groups")
 
 
 def frequent_from(parts: DataFrame, most: int) -> int:
@@ -198,29 +191,26 @@ def align(docs: DataFrame, *, bytes_path: str | None = None, pieces_path: str |
 
     places = named.select(F.explode(parts_of(F.col("text"), split)).alias("part"))
     counted = places.groupBy("part").agg(F.count("*").alias("n"))
-    parts = materialize(counted.select(F.xxhash64("part").alias("k1"), F.xxhash64(F.lit(1), "part").alias("k2"), "n", "part"), "parts")
+    parts = materialize(counted.select(key_of(F.col("part")).alias("k"), "n", "part"), "parts")
     tokens = materialize(tokens_of(parts, bytes_path, pieces_path), "tokens")
-    if split and (broken := tokens.where("size(a) = 0").join(parts.where(~F.concat(F.lit(" "), F.col("part")).rlike(_TOGETHER)), KEY, "left_semi").first()):
+    if split and (broken := tokens.where("size(ids) = 0").join(parts.where(~F.concat(F.lit(" "), F.col("part")).rlike(_TOGETHER)), "k", "left_semi").first()):
         raise ValueError(f"a part is not given back by its tokens ({broken}); align whole texts with split=False")
-    with joined_by_some_keys(spark):
-        groups = materialize(groups_of(tokens), "groups")
-    discard(tokens)
-    counts = materialize(pair_counts(groups, parts), "pairs")
-    results = part_results(groups, counts).join(parts, KEY).select("part", "n", *NUMBERS, "groups")
-    results = materialize(results, "aligned")
-    for done in (groups, counts):
+    aligned = materialize(aligned_parts(groups_of(tokens)), "aligned")
+    counts = materialize(pair_counts(aligned), "pairs")
+    results = materialize(part_results(aligned, counts), "results")
+    for done in (parts, tokens, aligned, counts):
         discard(done)
 
-    least = frequent_from(parts, frequent)
-    is_hot = (F.col("n") >= least) & (F.octet_length("part") <= FREQUENT_BYTES)
+    least = frequent_from(results, frequent)
+    is_hot = (F.col("n") >= least) & (F.octet_length("k") <= KEY_BYTES)
     hot, rest = results.where(is_hot).drop("n"), results.where(~is_hot).drop("n")  # ``frequent`` rows of bounded size at most
     texts = named.select("h1", "h2", "text").dropDuplicates(["h1", "h2"])
-    at = texts.select("h1", "h2", F.posexplode(parts_of(F.col("text"), split)).alias("pos", "part"))
-    both = at.join(F.broadcast(hot), "part", "left")
+    at = texts.select("h1", "h2", F.posexplode(parts_of(F.col("text"), split)).alias("pos", "part")).select("h1", "h2", "pos", key_of(F.col("part")).alias("k"))
+    both = at.join(F.broadcast(hot), "k", "left")
     sums = [F.sum(c).alias(c) for c in NUMBERS]
     listed = F.collect_list(F.struct("pos", "groups")).alias("list")
     known = both.where("groups is not null").groupBy("h1", "h2").agg(*sums, listed)
-    more = both.where("groups is null").select("h1", "h2", "pos", "part").join(rest, "part").groupBy("h1", "h2").agg(*sums, listed)
+    more = both.where("groups is null").select("h1", "h2", "pos", "k").join(rest, "k").groupBy("h1", "h2").agg(*sums, listed)
     more = more.select("h1", "h2", *[F.col(c).alias(f"{c}_") for c in [*NUMBERS, "list"]])
     none = F.array().cast("array<struct<pos:int,groups:string>>")
     added = [(F.coalesce(c, F.lit(0)) + F.coalesce(f"{c}_", F.lit(0))).alias(c) for c in NUMBERS]

@@ -87,7 +87,6 @@ def test_equals_brute_force(spark, tmp_path, monkeypatch, frequent):
     got = queries.op12_token_alignment(spark, str(tmp_path))
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(brute(rows()), key=repr)
-    assert spark.conf.get(token_alignment.COPARTITION) == "true"
 
 
 def test_whole_texts_and_nothing(spark):
