@@ -101,12 +101,13 @@ def _grams(docs: DataFrame, k: int) -> DataFrame:
 
 
 def votes(docs: DataFrame, templates: dict[str, list[str]], k: int = K) -> DataFrame:
-    """Candidate spans: (doc_id, dkey, template, lo, hi, n), hi exclusive."""
+    """Candidate spans: (doc_id, dkey, template, lo, hi, n), hi exclusive.  A
+    place votes once for a diagonal, however often its row repeats."""
     spark = docs.sparkSession
     rows = [(int(g), no, i) for no, (_, words) in enumerate(template_words(templates)) for i, g in enumerate(gram_hashes(word_hashes(words), k).astype(np.int64).tolist())]
     places = spark.createDataFrame(rows, "gram bigint, template int, tpos int")
     hits = _grams(docs, k).join(F.broadcast(places), "gram")  # as many rows as the templates in the code have k-grams
-    by = hits.groupBy("doc_id", "dkey", "template", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    by = hits.groupBy("doc_id", "dkey", "template", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.count_distinct("pos").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     order = W.partitionBy("doc_id", "dkey", "template").orderBy("diag")
     fresh = F.coalesce((F.col("diag") - F.lag("diag").over(order) > NEAR).cast("int"), F.lit(1))
     merged = by.withColumn("new", fresh).withColumn("run", F.sum("new").over(order))
