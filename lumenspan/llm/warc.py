@@ -14,9 +14,11 @@ the number of records.  Columns and SQL functions only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,6 +27,10 @@ from lumenspan.llm.common import broadcast_small, discard, materialize, scratch_
 MARK, END = "WARC/1.0\r\n", "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 MIN_BYTES = 0
+#: Bytes of a file, about; a larger task writes several.
+FILE_BYTES = 256 << 20
+#: Without it Spark cuts files by the number of cores that it has just then.
+SPLITS = "spark.sql.files.minPartitionNum"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -67,20 +73,42 @@ def record(page_id: Column, url: Column, payload: Column, digest: Column, refers
     )
 
 
-def write(pages: DataFrame, out: str, *, min_bytes: int = MIN_BYTES, records_per_file: int = 0) -> None:
+def write(pages: DataFrame, out: str, *, min_bytes: int = MIN_BYTES, records_per_file: int | None = None) -> None:
     """Archives of (page_id, url, html) at ``out``.  Of equal payloads of at
     least ``min_bytes`` the one with the largest page_id is stored.  A task
-    writes one file, or files of ``records_per_file`` if that is not 0."""
+    writes files of ``records_per_file`` (one file if 0); None means as many as
+    make about FILE_BYTES at the table's mean."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     src = src.withColumn("digest", digest_of(F.col("html").cast("binary")))
-    kept = src.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("digest", "keeper")
+    seen = Observation()
+    measured = src.observe(seen, F.count("*").alias("n"), F.sum(F.octet_length("html").cast("long")).alias("bytes"))
+    kept = measured.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("digest", "keeper")
     kept = materialize(kept, "repeated")
+    if records_per_file is None and src.isEmpty():
+        records_per_file = 0
+    elif records_per_file is None:
+        records_per_file = max(1, FILE_BYTES * (seen.get["n"] or 0) // max(1, (seen.get["bytes"] or 0) + 500 * (seen.get["n"] or 0)))
     rows = src.join(broadcast_small(kept, F.lit(100)), "digest", "left")
     refers = F.when(~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper"))
     rows.select(record(F.col("page_id"), F.col("url"), F.col("html"), F.col("digest"), refers).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(out)
     discard(kept)
 
 
+@contextmanager
+def same_splits(spark: SparkSession) -> Iterator[None]:
+    """Two scans of the same files inside cut them at the same places, whatever
+    executors come or go meanwhile, so that their rows have the same numbers."""
+    before = spark.conf.get(SPLITS, None)
+    spark.conf.set(SPLITS, before or str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SPLITS)
+        else:
+            spark.conf.set(SPLITS, before)
+
+
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """What stands between record marks, in byte ranges of the archives:
     (file, split, row, value); split and row give the order in a file."""
@@ -149,7 +177,7 @@ def reachable(chain: DataFrame) -> DataFrame:
 
 
 def _spanning(pieces: DataFrame, found: DataFrame, real: DataFrame) -> DataFrame:
-    """(file, at, payload_bytes, payload_digest) of records whose payload holds
+    """(file, at, found, whole_bytes, whole_digest) of records whose payload holds
     marks: their pieces are read again and put together.  The rows of a scan of
     the same files keep their numbers; a piece of another size is an error."""
     own = real.where("ends > size").select("file", "at", F.struct(F.col("at").alias("owner"), F.col("next").alias("until"), "head", "length", "record_type").alias("own"))
@@ -162,7 +190,8 @@ def _spanning(pieces: DataFrame, found: DataFrame, real: DataFrame) -> DataFrame
     whole = parts.groupBy("file", "owner", "head", "length", "record_type").agg(F.sort_array(F.collect_list("part")).alias("parts"))
     body = _payload(F.array_join(F.col("parts.value"), MARK), F.col("head"), F.col("length"), F.col("record_type"))
     whole = whole.select("file", F.col("owner").alias("at"), body.alias("body"))
-    return whole.select("file", "at", F.octet_length("body").cast("long").alias("whole_bytes"), F.when(F.col("body").isNotNull(), digest_of(F.col("body"))).alias("whole_digest"))
+    out = whole.select("file", "at", F.lit(True).alias("found"), F.octet_length("body").cast("long").alias("whole_bytes"), F.when(F.col("body").isNotNull(), digest_of(F.col("body"))).alias("whole_digest"))
+    return materialize(out, "spanning")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -173,16 +202,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     are those that its header states of the full payload.  A file may hold any
     number of records; after a damaged record its chain ends.
     """
-    pieces = _pieces(spark, path)
-    found = materialize(places(pieces), "places")
-    reached = materialize(reachable(found), "runs")
-    real = found.join(broadcast_small(reached, F.lit(200)), ["file", "run"]).where("at >= entry and next is not null")
-    if real.where("ends > size").limit(1).count():
-        real = real.join(_spanning(pieces, found, real), ["file", "at"], "left").withColumns({"payload_bytes": F.coalesce("whole_bytes", "payload_bytes"), "payload_digest": F.coalesce("whole_digest", "payload_digest")})
+    with same_splits(spark):
+        pieces = _pieces(spark, path)
+        found = materialize(places(pieces), "places")
+        reached = materialize(reachable(found), "runs")
+        real = found.join(broadcast_small(reached, F.lit(200)), ["file", "run"]).where("at >= entry and next is not null")
+        spanning = _spanning(pieces, found, real) if real.where("ends > size").limit(1).count() else None
+    if spanning is not None:
+        lost = F.when((F.col("ends") > F.col("size")) & (F.col("record_type") == "response") & F.col("found").isNull(), F.raise_error(F.lit("a record's payload was not found again")))
+        real = real.join(spanning, ["file", "at"], "left").withColumns({"payload_bytes": F.coalesce(lost.cast("long"), "whole_bytes", "payload_bytes"), "payload_digest": F.coalesce("whole_digest", "payload_digest")})
     return real.select("page_id", F.coalesce("payload_bytes", "stated_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "stated_digest").alias("payload_digest"), "record_type", "refers_to")
 
 
-def roundtrip(pages: DataFrame, *, min_bytes: int = MIN_BYTES, records_per_file: int = 0) -> DataFrame:
+def roundtrip(pages: DataFrame, *, min_bytes: int = MIN_BYTES, records_per_file: int | None = None) -> DataFrame:
     """write() to the shared folder, then read().
 
     NULL html is an empty payload; a NULL or odd url is left out or escaped; a
