@@ -43,17 +43,19 @@ def per_device(rows: DataFrame, fold: Callable[[pd.DataFrame], list[tuple]], col
 
 def attitude(rows: pd.DataFrame) -> list[tuple[float, float, float]]:
     """Outputs of the three motors from err_phi, err_theta, rate_phi,
-    rate_theta, tick (ms), mode (0 proportional, 1 damped, 2 with integral) and
-    imu (are the rates measured).
+    rate_theta, tick (ms), mode (0 proportional, 1 damped, 2 with integral), imu
+    (are the rates measured) and command (does a command arrive).
 
     The proportional term rests inside the deadband, damping and integral do
     not; the integral is bounded by what its term may give, and forgotten in
-    other modes; damping takes measured rates, else the error's difference.
+    other modes and, with the time of the row before, on a command; damping takes measured rates, else the error's difference.
     """
     out, last = [], None
     before, held = [0.0, 0.0], [0.0, 0.0]
     kp, kdr, kd, ki = (KP_PHI, KP_THETA), (KDR_PHI, KDR_THETA), (KD_PHI, KD_THETA), (KI_PHI, KI_THETA)
     for row in rows.itertuples(index=False):
+        if row.command:
+            held, last = [0.0, 0.0], None
         dt = FIRST_DT if not last else min(MOST_DT, (row.tick - last) / 1000)
         last = row.tick
         fix = []
@@ -95,10 +97,13 @@ def pulses(rows: pd.DataFrame) -> list[tuple[int]]:
 
 def sleeping(rows: pd.DataFrame) -> list[tuple[bool]]:
     """Asleep after both errors were small for the holding time, awake once one
-    is large; while ``z_term`` moves nothing changes."""
+    is large; a command and a move along Z wake the loop and begin the time
+    anew, and while Z moves it cannot fall asleep."""
     out, asleep, since = [], False, 0
-    for err_phi, err_theta, z_term, tick in rows[["err_phi", "err_theta", "z_term", "tick"]].itertuples(index=False):
+    for err_phi, err_theta, z_term, tick, command in rows[["err_phi", "err_theta", "z_term", "tick", "command"]].itertuples(index=False):
         worst = max(abs(err_phi), abs(err_theta))
+        if command or z_term:
+            asleep, since = False, 0
         if z_term == 0:
             if asleep:
                 asleep, since = (True, since) if worst <= SLEEP_EXIT else (False, 0)

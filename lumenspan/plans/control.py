@@ -18,7 +18,8 @@ _INPUT = {
     "mode": "case when seq % 11 = 0 then device % 3 else 2 end",
     "imu": "device % 2",
     "output": "depth / 4 - 61",
-    "z_term": "case when seq % 7 = 0 then 1 else 0 end",
+    "z_term": "case when seq % 61 < 3 then 1 else 0 end",
+    "command": "case when seq % 97 = 50 then 1 else 0 end",
     "small_phi": "case when seq % 40 < 25 then depth % 0.15 else depth % 0.4 end",
     "small_theta": "case when seq % 40 < 27 then -(depth % 0.14) else depth % 0.3 end",
 }
@@ -40,8 +41,8 @@ select device, seq, {out} from s"""
 def _axis(axis: str, kp: float, kdr: float, kd: float, ki: float, start: bool) -> tuple[str, str]:
     """SQL of an axis's integral and output."""
     e, most = f"f.err_{axis}", C.INTEG_LIMIT / ki
-    before, held = ("0.0", "0.0") if start else (f"s.err_{axis}", f"s.held_{axis}")
-    dt = f"{C.FIRST_DT}" if start else f"least({C.MOST_DT}, (f.tick - s.tick) / 1000)"
+    before, held = ("0.0", "0.0") if start else (f"s.err_{axis}", f"case when f.command = 1 then 0.0::double else s.held_{axis} end")
+    dt = f"{C.FIRST_DT}" if start else f"case when f.command = 1 then {C.FIRST_DT} else least({C.MOST_DT}, (f.tick - s.tick) / 1000) end"
     total = f"case when f.mode = 2 then greatest({-most!r}::double, least({most!r}::double, {held} + {e} * {dt})) else 0.0::double end"
     y = f"case when abs({e}) > {C.ERR_DEADBAND} then {e} * {kp} else 0 end + case when f.mode = 0 then 0 when f.imu = 1 then -f.rate_{axis} * {kdr} else ({e} - {before}) * {kd} end + ({total}) * {ki}"
     return total, y
@@ -62,7 +63,7 @@ _PID = _recursion(
 @query("mth36_pid_output", _PID)
 def mth36(spark, sf):
     """Outputs of three motors over each device's samples, in order."""
-    rows = samples(spark, sf, "tick", "err_phi", "err_theta", "rate_phi", "rate_theta", "mode", "imu")
+    rows = samples(spark, sf, "tick", "err_phi", "err_theta", "rate_phi", "rate_theta", "mode", "imu", "command")
     got = C.per_device(rows, C.attitude, "out1 double, out2 double, out3 double")
     return got.select("device", "seq", *[F.round(c, 6).alias(c) for c in ("out1", "out2", "out3")])
 
@@ -86,16 +87,17 @@ def mth38(spark, sf):
 
 
 def _sleep(start: bool) -> str:
-    asleep, since = ("false", "0") if start else ("s.asleep", "s.since")
+    woken = "f.command = 1 or f.z_term <> 0"
+    asleep, since = ("false", "0") if start else (f"(s.asleep and not ({woken}))", f"case when {woken} then 0 else s.since end")
     worst = "greatest(abs(f.small_phi), abs(f.small_theta))"
-    begun = f"case when {since} = 0 then f.tick else {since} end"
+    begun = f"case when ({since}) = 0 then f.tick else {since} end"
     return f"""f.device, f.seq,
-  case when f.z_term <> 0 then {asleep} when {asleep} then {worst} <= {C.SLEEP_EXIT} else {worst} <= {C.SLEEP_ENTER} and f.tick - ({begun}) >= {C.SLEEP_HOLD_MS} end,
-  case when f.z_term <> 0 then {since} when {asleep} then case when {worst} <= {C.SLEEP_EXIT} then {since} else 0 end when {worst} <= {C.SLEEP_ENTER} then {begun} else 0 end::bigint"""
+  case when f.z_term <> 0 then false when {asleep} then {worst} <= {C.SLEEP_EXIT} else {worst} <= {C.SLEEP_ENTER} and f.tick - ({begun}) >= {C.SLEEP_HOLD_MS} end,
+  case when f.z_term <> 0 then 0 when {asleep} then case when {worst} <= {C.SLEEP_EXIT} then {since} else 0 end when {worst} <= {C.SLEEP_ENTER} then {begun} else 0 end::bigint"""
 
 
 @query("mth40_sleep_hysteresis", _recursion("device, seq, asleep, since", _sleep(True), _sleep(False), "asleep"))
 def mth40(spark, sf):
     """Is each device's loop asleep, sample by sample."""
-    rows = samples(spark, sf, "tick", "z_term", "small_phi", "small_theta").withColumnsRenamed({"small_phi": "err_phi", "small_theta": "err_theta"})
+    rows = samples(spark, sf, "tick", "z_term", "small_phi", "small_theta", "command").withColumnsRenamed({"small_phi": "err_phi", "small_theta": "err_theta"})
     return C.per_device(rows, C.sleeping, "asleep boolean")

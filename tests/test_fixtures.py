@@ -311,7 +311,7 @@ def test_autoencoder():
 
 def control_rows(**columns):
     n = len(next(iter(columns.values())))
-    base = {"err_phi": [0.0] * n, "err_theta": [0.0] * n, "rate_phi": [0.0] * n, "rate_theta": [0.0] * n, "tick": [20 * (i + 1) for i in range(n)], "mode": [0] * n, "imu": [0] * n, "z_term": [0] * n}
+    base = {"err_phi": [0.0] * n, "err_theta": [0.0] * n, "rate_phi": [0.0] * n, "rate_theta": [0.0] * n, "tick": [20 * (i + 1) for i in range(n)], "mode": [0] * n, "imu": [0] * n, "z_term": [0] * n, "command": [0] * n}
     return pd.DataFrame(base | columns)
 
 
@@ -324,6 +324,8 @@ def test_attitude_control():
     assert b[2] == pytest.approx((0.08 - 0.05) * 12.0 * 0.866)
     a, b = control.attitude(control_rows(err_phi=[0.05, 0.05], mode=[2, 2], tick=[100, 5000]))
     assert b[2] == pytest.approx(0.05 * (0.020 + 0.100) * 31.0 * 0.866)
+    a, b = control.attitude(control_rows(err_phi=[0.05, 0.05], mode=[2, 2], tick=[100, 5000], command=[0, 1]))
+    assert b[2] == pytest.approx(0.05 * 0.020 * 31.0 * 0.866)  # a command forgets the integral and the time
     full = control.attitude(control_rows(err_phi=[4.0] * 200, mode=[2] * 200))
     assert full[-1][2] == pytest.approx((4.0 * 105 + 200) * 0.866)
     assert control.attitude(control_rows(err_phi=[1.0], rate_phi=[2.0], mode=[1], imu=[1]))[0][2] == pytest.approx((105 - 2 * 3.30) * 0.866)
@@ -342,8 +344,10 @@ def test_sleeping():
     assert get(err_phi=[0.1] * 8) == [False] * 3 + [True] * 5
     assert get(err_phi=[0.1] * 5 + [0.2, 0.26, 0.1]) == [False] * 3 + [True] * 3 + [False] * 2
     assert get(err_phi=[0.1, 0.1, 0.16] + [0.1] * 5) == [False] * 6 + [True] * 2
-    assert get(err_theta=[0.1] * 8, z_term=[0, 0, 0, 1, 1, 0, 0, 0]) == [False] * 5 + [True] * 3
-    assert get(err_phi=[0.1] * 4 + [9.0] * 4, z_term=[0] * 4 + [1] * 4) == [False] * 3 + [True] * 5
+    assert get(err_theta=[0.1] * 8, z_term=[0, 0, 0, 0, 1, 0, 0, 0]) == [False] * 3 + [True] + [False] * 4  # a move wakes and begins anew
+    assert get(err_theta=[0.1] * 8, z_term=[0, 1] + [0] * 6) == [False] * 5 + [True] * 3
+    assert get(err_phi=[0.1] * 8, z_term=[-1] * 8) == [False] * 8
+    assert get(err_phi=[0.1] * 8, command=[0, 0, 0, 0, 1, 0, 0, 0]) == [False] * 3 + [True] + [False] * 3 + [True]
 
 
 def test_rolling_median_skips_missing(spark):
