@@ -38,13 +38,13 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 def digest_of(payload: Column) -> Column:
     """SHA-1 in base 32: each five digits of the hexadecimal form are four."""
-    digits = F.sha1(payload)
 
-    def one(i: Column) -> Column:
-        group = F.conv(F.substr(digits, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.substr(F.lit(BASE32), F.call_function("shiftright", group, 15 - 5 * (i % 4)).bitwiseAND(F.lit(31)) + 1, F.lit(1))
+    def four(digits: Column, i: int) -> Column:
+        group = F.conv(F.substr(digits, F.lit(5 * i + 1), F.lit(5)), 16, 10).cast("int")
+        return F.transform(F.array(group), lambda g: F.concat(*[F.substr(F.lit(BASE32), F.call_function("shiftright", g, F.lit(x)).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for x in (15, 10, 5, 0)]))[0]
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), one), "")
+    # a name bound by a function of an array is worked out once, and not for every digit
+    return F.transform(F.array(F.sha1(payload)), lambda d: F.concat(*[four(d, i) for i in range(8)]))[0]
 
 
 def _uri(url: Column) -> Column:
