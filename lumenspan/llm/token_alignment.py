@@ -208,13 +208,13 @@ def align(docs: DataFrame, *, bytes_path: str | None = None, pieces_path: str |
     at = texts.select("h1", "h2", F.posexplode(parts_of(F.col("text"), split)).alias("pos", "part")).select("h1", "h2", "pos", key_of(F.col("part")).alias("k"))
     both = at.join(F.broadcast(hot), "k", "left")
     sums = [F.sum(c).alias(c) for c in NUMBERS]
-    listed = F.collect_list(F.struct("pos", "groups")).alias("list")
-    known = both.where("groups is not null").groupBy("h1", "h2").agg(*sums, listed)
+    listed = F.collect_list(F.when(F.col("groups").isNotNull(), F.struct("pos", "groups"))).alias("list")
+    known = both.groupBy("h1", "h2").agg(*sums, listed)  # every text, dealt as its distinct texts are
     more = both.where("groups is null").select("h1", "h2", "pos", "k").join(rest, "k").groupBy("h1", "h2").agg(*sums, listed)
     more = more.select("h1", "h2", *[F.col(c).alias(f"{c}_") for c in [*NUMBERS, "list"]])
     none = F.array().cast("array<struct<pos:int,groups:string>>")
     added = [(F.coalesce(c, F.lit(0)) + F.coalesce(f"{c}_", F.lit(0))).alias(c) for c in NUMBERS]
     whole = F.array_join(F.array_sort(F.concat(F.coalesce("list", none), F.coalesce("list_", none))).getField("groups"), ";")
-    told = known.join(more, ["h1", "h2"], "full").select("h1", "h2", *added, whole.alias("groups"))
+    told = known.join(more, ["h1", "h2"], "left").select("h1", "h2", *added, whole.alias("groups"))
     out = rows.select("doc_id", "h1", "h2").join(told, ["h1", "h2"], "left")
     return out.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in NUMBERS], F.coalesce("groups", F.lit("")).alias("groups"))
