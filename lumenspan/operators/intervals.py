@@ -86,8 +86,8 @@ def dilate(runs: DataFrame, offsets: list[tuple[int, int]], shape: Shape) -> Dat
 
 def dilate_by(runs: DataFrame, radius: Column, elements: list[list[tuple[int, int]]], shape: Shape) -> DataFrame:
     """Dilation by ``elements[radius]``, where radius is a number a run."""
-    steps = F.get(F.array(*[_steps(rows_of(e)) for e in elements]), radius.cast("int"))
-    return sweep(_spread(runs, steps, shape), F.col("n") > 0)
+    steps = F.get(F.array(*[_steps(rows_of(e)) for e in elements]), F.col("_r"))
+    return sweep(_spread(runs.withColumn("_r", radius.cast("int")), steps, shape), F.col("n") > 0)
 
 
 def erode(runs: DataFrame, offsets: list[tuple[int, int]], shape: Shape) -> DataFrame:

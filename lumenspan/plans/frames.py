@@ -9,22 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenspan.operators import hypotheses as V
 from lumenspan.operators import kernels as K
 from lumenspan.operators.geometry import golden_minimum
-from lumenspan.plans.kernels import H, W_, _mask, rasters
+from lumenspan.plans.kernels import H, PIXELS, W_, _mask, points, points_sql, rasters
 from lumenspan.plans.proxies import frames, load
 from lumenspan.registry import query
 from lumenspan.session import scratch
 from lumenspan.sources import files, sinks
 
 
-def _depth(pdf: pd.DataFrame) -> np.ndarray:
-    """A board at 500 with what lies on it."""
-    d = np.zeros((H, W_))
-    d[pdf["v"], pdf["u"]] = 500 + 0.2 * pdf["u"] - 30 * ((pdf["u"].between(10, 20)) & (pdf["v"].between(8, 15)))
-    return d
-
-
 def _grey(pdf: pd.DataFrame) -> np.ndarray:
     g = np.zeros((H, W_))
     g[pdf["v"], pdf["u"]] = (pdf["d"] // 100) % 256
@@ -59,27 +53,42 @@ def mth14(spark, sf):
     return load(spark, sf, "part").select("p_partkey", F.round(at, 5).alias("at"))
 
 
-@query("mth23_metric_pose")
+#: Back-projected places of a tilted board with something on it, and what a
+#: frame needs for a pose.
+_BACK = {"x": "(u - 15.5) * (500 + 0.2 * u + d % 1.5) / 500", "y": "(v - 11.5) * (500 + 0.2 * u + d % 1.5) / 500", "z": "500 + 0.2 * u + d % 1.5 - case when u between 10 and 20 and v between 8 and 15 then 30 else 0 end"}
+_POSE, LEAST_POINTS = {"tolerance": 2.5, "least": 15}, 20
+_STATUS = f"case when points < {LEAST_POINTS} then 'INSUFFICIENT' when n is null then 'REJECTED' else 'METRIC_VALID' end"
+
+
+def _pose_sql(where: str = "true") -> str:
+    return f"""with {PIXELS}, {points_sql(_BACK, where)}, {", ".join(V.planes_sql("pt", V.METRIC, "t", **_POSE))},
+s as (select key as frame, count(*) as points from pt group by key)
+select frame, {_STATUS} as status, round(degrees(atan2(a, -c)), 4) as roll, round(degrees(atan2(b, -c)), 4) as pitch, round(inliers / n, 6) as inlier_ratio, round(residual, 6) as residual from s left join tplanes on key = frame"""
+
+
+def _pose(spark, sf, where: str = "true"):
+    at = points(rasters(spark, sf), _BACK, where)
+    got = at.groupBy("key").agg(F.count("*").alias("points")).join(V.planes(at, V.METRIC, **_POSE), "key", "left")
+    tilt = lambda c: F.round(F.degrees(F.atan2(c, -F.col("c"))), 4)
+    return got.select(F.col("key").alias("frame"), F.expr(_STATUS).alias("status"), tilt("a").alias("roll"), tilt("b").alias("pitch"), F.round(F.col("inliers") / F.col("n"), 6).alias("inlier_ratio"), F.round("residual", 6).alias("residual"))
+
+
+@query("mth23_metric_pose", _pose_sql())
 def mth23(spark, sf):
-    """Back-projection, plane, tilt, coverage and status of each frame."""
+    """Back-projection, plane, tilts, coverage and status of each frame."""
+    return _pose(spark, sf)
 
-    def fn(pdf):
-        d = pdf.assign(z=500 + 0.2 * pdf["u"])
-        if len(d) < 20:
-            return {"status": "INSUFFICIENT", "roll": None}
-        got = K.metric_plane(np.stack([(d["u"] - 15.5) * d["z"] / 500, (d["v"] - 11.5) * d["z"] / 500, d["z"]], axis=1), least=15)
-        return {"status": "REJECTED", "roll": None} if got is None else {"status": "METRIC_VALID", "roll": float(np.degrees(np.arctan2(got[0][0], -got[0][2])))}
 
-    return per_frame(spark, sf, fn, "status string, roll double")
+_LEVELS = {"x": "u * 5.0", "y": "v * 5.0", "z": "case when `set` then 500.0 when u < 16 then 600.0 else 640.0 end + d % 1"}
 
 
-@query("mth24_sequential_planes")
+@query("mth24_sequential_planes", f"""with {PIXELS}, {points_sql(_LEVELS).replace("`", '"')}, {", ".join(V.sequential_sql("pt", V.METRIC, "t", 3, tolerance=2.5, least=10))}
+select key as frame, no, inliers, round(residual, 6) as residual, round(d / c, 3) as depth from tall""")
 def mth24(spark, sf):
-    def fn(pdf):
-        z = np.where(pdf["set"], 500.0, 600.0)
-        return {"planes": len(K.sequential_planes(np.stack([pdf["u"] * 5.0, pdf["v"] * 5.0, z], axis=1), least=10))}
-
-    return per_frame(spark, sf, fn, "planes long")
+    """Up to three planes of each frame, each among what the others left: its
+    voters, their median distance, and the depth over the origin."""
+    got = V.sequential(points(rasters(spark, sf), _LEVELS), V.METRIC, 3, tolerance=2.5, least=10)
+    return got.select(F.col("key").alias("frame"), "no", "inliers", F.round("residual", 6).alias("residual"), F.round(F.col("d") / F.col("c"), 3).alias("depth"))
 
 
 @query("ext01_frame_evaluator", "select o_orderkey, round(o_totalprice / 700001, 6) as score, o_totalprice > 60000 as accepted from orders")
@@ -137,9 +146,16 @@ def aux16(spark, sf):
     return ext08(spark, sf).where("x between 8 and 16").select("frame", "x", "y", F.length("pixels").alias("size"))
 
 
-@query("aux20_depth_plane_measurement")
+#: The part of a frame in which the aligned board is measured.
+_CENTRE = f"u between 4 and {W_ - 5} and v between 3 and {H - 4} and not (u between 10 and 20 and v between 8 and 15)"
+
+
+@query("aux20_depth_plane_measurement", f"select frame, roll, pitch, round(sqrt(roll * roll + pitch * pitch), 3) as tilt, residual from ({_pose_sql(_CENTRE)}) where status = 'METRIC_VALID'")
 def aux20(spark, sf):
-    return mth23(spark, sf).where("status = 'METRIC_VALID'").select("frame", F.round("roll", 6).alias("roll"))
+    """Tilts of the board measured in the middle of each frame, beside what lies
+    on it; frames without a valid plane have no row."""
+    tilt = F.round(F.sqrt(F.col("roll") * F.col("roll") + F.col("pitch") * F.col("pitch")), 3)
+    return _pose(spark, sf, _CENTRE).where("status = 'METRIC_VALID'").select("frame", "roll", "pitch", tilt.alias("tilt"), "residual")
 
 
 @query("aux21_masked_scores")

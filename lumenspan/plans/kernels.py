@@ -6,9 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lumenspan.operators import hypotheses as V
 from lumenspan.operators import kernels as K
 from lumenspan.plans.proxies import load
 from lumenspan.registry import query
+from lumenspan.session import written
 
 H, W_ = 24, 32
 
@@ -52,34 +54,43 @@ def mor29(spark, sf):
     return r.join(floor, "frame").groupBy("frame").agg(F.count_if(F.col("d") < F.col("f") - 1000).alias("pixels"))
 
 
-@query("mth21_inverse_depth_plane")
+#: The same frames in SQL.
+PIXELS = "px as materialized (select (o_orderkey // 1536) * 2 + o_custkey % 2 as frame, o_orderkey % 32 as u, o_orderkey // 32 % 24 as v, max(o_totalprice) as d, bool_or(o_orderstatus <> 'O') as \"set\" from orders group by all)"
+#: Places scaled to -1 to 1, and a depth over a tilted board.
+_SCALED = {"x": f"u / {W_ - 1}e0 * 2 - 1", "y": f"v / {H - 1}e0 * 2 - 1", "z": "500 + 0.5 * u + d % 3"}
+_INVERSE = {"tolerance": 2.5, "least": 50}
+
+
+def points_sql(columns: dict[str, str], where: str = "true") -> str:
+    return f"pt as materialized (select frame as key, v * {W_} + u as id, {', '.join(f'{e} as {c}' for c, e in columns.items())} from px where {where})"
+
+
+def points(px, columns: dict[str, str], where: str = "true"):
+    at = px.where(where).select(F.col("frame").alias("key"), (F.col("v") * W_ + F.col("u")).alias("id"), *[F.expr(e).cast("double").alias(c) for c, e in columns.items()])
+    return written(at, "points")
+
+
+@query("mth21_inverse_depth_plane", f"""with {PIXELS}, {points_sql(_SCALED)}, {", ".join(V.planes_sql("pt", V.INVERSE, "t", **_INVERSE))}
+select key as frame, round(inliers / n, 6) as inlier_ratio, round(residual, 6) as residual, round(1 / c, 4) as centre from tplanes""")
 def mth21(spark, sf):
-    """Plane of each frame by sampling; pixels go in row by row."""
+    """Plane of each frame in inverse depth: share of its voters, their median
+    distance, and the depth in the middle."""
+    got = V.planes(points(rasters(spark, sf), _SCALED), V.INVERSE, **_INVERSE)
+    return got.select(F.col("key").alias("frame"), F.round(F.col("inliers") / F.col("n"), 6).alias("inlier_ratio"), F.round("residual", 6).alias("residual"), F.round(1 / F.col("c"), 4).alias("centre"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = np.zeros((H, W_))
-        d[pdf["v"], pdf["u"]] = 500 + 0.5 * pdf["u"] + (pdf["d"] % 3)
-        _, ratio, residual = K.inverse_depth_plane(d, d > 0, least=50)
-        return pd.DataFrame([(int(pdf["frame"].iloc[0]), ratio, residual)], columns=["frame", "inlier_ratio", "residual"])
 
-    return rasters(spark, sf).groupBy("frame").applyInPandas(run, "frame long, inlier_ratio double, residual double")
+_METRIC = {"tolerance": 2.5, "least": 50}
 
 
-@query("mth22_metric_plane")
+@query("mth22_metric_plane", f"""with pt as materialized (select l_suppkey as key, concat_ws('-', l_orderkey, l_linenumber, l_partkey) as id, l_quantity::double as x, l_linenumber * 10.0::double as y, 500 + 0.1::double * l_quantity + 60 * l_tax::double as z from lineitem),
+{", ".join(V.planes_sql("pt", V.METRIC, "t", **_METRIC))}
+select key as cloud, round(degrees(atan2(a, -c)), 4) as camera_roll, round(residual, 6) as residual, round(inliers / t.n, 6) as inlier_ratio from (select distinct key from pt) left join tplanes t using (key)""")
 def mth22(spark, sf):
-    """Metric plane of each cloud, its tilt and quality."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["l_orderkey", "l_linenumber", "l_partkey"])
-        got = K.metric_plane(np.stack([pdf["l_quantity"], pdf["l_linenumber"] * 10.0, 500 + 0.1 * pdf["l_quantity"] + pdf["l_tax"]], axis=1))
-        if got is None:
-            return pd.DataFrame([(int(pdf["l_suppkey"].iloc[0]), None, None, None)], columns=cols)
-        n, _, residual, ratio = got
-        return pd.DataFrame([(int(pdf["l_suppkey"].iloc[0]), float(np.degrees(np.arctan2(n[0], -n[2]))), residual, ratio)], columns=cols)
-
-    cols = ["cloud", "camera_roll", "residual", "inlier_ratio"]
-    rows = load(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax")
-    return rows.groupBy("l_suppkey").applyInPandas(run, "cloud long, camera_roll double, residual double, inlier_ratio double")
+    """Metric plane of each cloud, its tilt and quality; NULLs without one."""
+    rows = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("key"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_linenumber") * 10.0).alias("y"), (500 + 0.1 * F.col("l_quantity").cast("double") + 60 * F.col("l_tax").cast("double")).alias("z"))
+    rows = written(rows, "points")
+    got = rows.select("key").distinct().join(V.planes(rows, V.METRIC, **_METRIC), "key", "left")
+    return got.select(F.col("key").alias("cloud"), F.round(F.degrees(F.atan2("a", -F.col("c"))), 4).alias("camera_roll"), F.round("residual", 6).alias("residual"), F.round(F.col("inliers") / F.col("n"), 6).alias("inlier_ratio"))
 
 
 @query("mth15_alignment")

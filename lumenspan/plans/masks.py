@@ -7,14 +7,13 @@ are set-based definitions of their own.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenspan.operators import kernels as K
+from lumenspan.operators import hypotheses as V
+from lumenspan.operators import intervals as I
 from lumenspan.operators import pixels as P
-from lumenspan.plans.kernels import H, W_, rasters
+from lumenspan.plans.kernels import H, W_, points, points_sql, rasters
 from lumenspan.registry import query
 from lumenspan.session import written
 
@@ -50,61 +49,83 @@ class Steps:
 
 
 class Tables(Steps):
+    """Masks as runs of pixels, dealt by frame once."""
+
     def __init__(self, spark, sf):
         self.px = written(rasters(spark, sf), "pixels")
         self.frames = self.px.select("frame").distinct()
 
+    def runs(self, pixels):
+        return I.from_pixels(I.dealt(pixels.select(*P.PIXEL)))
+
     def mask(self, where="`set`"):
-        return self.px.where(where.replace('"set"', "`set`")).select(*P.PIXEL)
+        return self.runs(self.px.where(where.replace('"set"', "`set`")))
+
+    def keep(self, x):
+        return written(x, "runs")
 
     def dilate(self, x, offsets):
-        return P.dilate(x, offsets, SHAPE)
+        return I.dilate(x, offsets, SHAPE)
 
     def erode(self, x, offsets):
-        return P.erode(x, offsets, SHAPE)
+        return I.erode(x, offsets, SHAPE)
 
     def erode_box(self, x, radius):
-        return P.erode_box(x, radius, SHAPE)
+        return I.erode(x, P.box(radius), SHAPE)
 
     def union(self, x, y):
-        return x.union(y).distinct()
+        return I.union(x, y)
 
     def minus(self, x, y):
-        return x.join(y, P.PIXEL, "left_anti")
+        return I.minus(x, y)
 
     def both(self, x, y):
-        return x.join(y, P.PIXEL, "left_semi")
+        return I.both(x, y)
 
     def where(self, x, condition):
-        return x.where(condition)
-
-    def largest(self, x):
-        return P.largest(x, SHAPE)
+        return I.from_pixels(I.to_pixels(x).where(condition))
 
     def best(self, x, score, allowed="true"):
-        return P.best(P.labels(x, SHAPE), F.expr(score), F.expr(allowed))
+        return I.best(x, SHAPE, F.expr(score), F.expr(allowed))
+
+    def largest(self, x):
+        return I.largest(x, SHAPE)
 
     def holes(self, x, connectivity, most):
-        return P.holes(x, self.frames, SHAPE, connectivity, most)
+        return I.holes(x, SHAPE, connectivity, most)
+
+    def filled(self, x, connectivity=8, most=None):
+        return I.filled(x, SHAPE, connectivity, most)
 
     def density(self, x, radius, least):
-        return P.density(x, radius, least, SHAPE)
+        return self.runs(P.density(I.to_pixels(x), radius, least, SHAPE))
 
     def convex(self, x):
-        return P.convex(x, SHAPE)
+        return I.convex(x)
 
     def guarded(self, x, y, condition):
         """The rows of y in frames whose areas a (of x) and b (of y), and edge
         (does y touch the frame's edge zone), meet the condition."""
-        a, b = x.groupBy("frame").agg(F.count("*").alias("a")), y.groupBy("frame").agg(F.count("*").alias("b"), F.bool_or(SHAPE.border(EDGE)).alias("edge"))
+        edge = (F.col("u0") <= EDGE) | (F.col("u1") >= W_ - EDGE - 1) | ~F.col("v").between(EDGE + 1, H - EDGE - 2)
+        a, b = x.groupBy("frame").agg(F.sum(I.length()).alias("a")), y.groupBy("frame").agg(F.sum(I.length()).alias("b"), F.bool_or(edge).alias("edge"))
         return y.join(a.join(b, "frame").where(condition), "frame", "left_semi")
 
     def dilate_by_area(self, x, scale, low, high):
-        r = x.groupBy("frame").agg(F.least(F.greatest((F.sqrt(F.count("*")) * scale).cast("int"), F.lit(low)), F.lit(high)).alias("r"))
-        return P.dilate_by(x, r, SHAPE, high)
+        area = F.sum(I.length()).over(W.partitionBy("frame"))
+        return I.dilate_by(x, F.least(F.greatest((F.sqrt(area) * scale).cast("int"), F.lit(low)), F.lit(high)), [P.ellipse(r) for r in range(high + 1)], SHAPE)
+
+    def polygons(self, x, corners):
+        """The part of x inside each frame's polygon, given by its corners
+        (expressions of the frame's number)."""
+        at = F.array(*[F.struct(F.expr(u).cast("long").alias("u"), F.expr(v).cast("long").alias("v")) for u, v in corners])
+        edge = lambda i: F.struct(F.get("at", i).alias("a"), F.get("at", (i + 1) % len(corners)).alias("b"))
+        edges = self.frames.select("frame", at.alias("at")).select("frame", F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(corners) - 1)), edge)).alias("e"))
+        return I.both(x, I.polygons(edges.select("frame", *[F.col(f"e.{c[0]}.{c[1]}").alias(c) for c in ("au", "av", "bu", "bv")]), SHAPE))
 
     def counts(self, x):
-        return P.counts(x, self.frames)
+        n, span = I.length(), F.col("u1") - F.col("u0") + 1
+        got = x.groupBy("frame").agg(F.sum(n).alias("pixels"), F.sum(((F.col("u0") + F.col("u1")) * span / 2).cast("long")).alias("u"), F.sum(F.col("v") * span).alias("v"))
+        return self.frames.join(got, "frame", "left").select("frame", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pixels", "u", "v")])
 
 
 class Sql(Steps):
@@ -122,6 +143,16 @@ class Sql(Steps):
         self.parts.append(f"{name}{head} as {'' if head else 'materialized '}({body})")
         return name
 
+    def keep(self, x):
+        return x
+
+    def polygons(self, x, corners):
+        edges = self.add(" union all ".join(f"select frame, {a[0]} as au, {a[1]} as av, {b[0]} as bu, {b[1]} as bv from fr" for a, b in zip(corners, [*corners[1:], corners[0]], strict=True)))
+        cross = "((bu - au) * (v - av) - (bv - av) * (u - au))"
+        on = f"{cross} = 0 and u between least(au, bu) and greatest(au, bu) and v between least(av, bv) and greatest(av, bv)"
+        right = f"(av <= v) <> (bv <= v) and ({cross} > 0) = (bv > av)"
+        return self.add(f"select frame, u, v from {x} join {edges} using (frame) group by all having bool_or({on}) or count(*) filter ({right}) % 2 = 1")
+
     def mask(self, where='"set"'):
         return self.add(f"select frame, u, v from px where {where.replace('`', chr(34))}")
 
@@ -219,20 +250,21 @@ def hull_guard(share: float, growth: float = 1.5) -> str:
 
 
 _RECT = f"u between {EDGE} and {W_ - 1 - EDGE} and v between {EDGE} and {H - 1 - EDGE}"
-_QUAD = "u * 1 - 2 >= 0 and (v - 2) * 26 - (u - 2) >= 0 and (u - 28) * 17 + 2 * (v - 3) <= 0 and (v - 20) * 22 + (26 - u) <= 0"
+#: Corners of a concave polygon whose places differ from frame to frame.
+_CORNERS = [("2 + frame % 3", "2"), ("28", "3 + frame % 5"), ("12 + frame % 7", "9"), ("26", "20"), ("4", "18 - frame % 4"), ("9", "10")]
 _CENTRAL = f"area - 20 * sqrt((cx - {(W_ - 1) / 2}) * (cx - {(W_ - 1) / 2}) + (cy - {(H - 1) / 2}) * (cy - {(H - 1) / 2}))"
 
 
 def _blob(a):
     """A part of each frame that does not reach its edge."""
-    return a.where(a.largest(a.where(a.mask(), "u between 6 and 25 and v between 5 and 18")), "(u - 16) * (u - 16) + (v - 12) * (v - 12) <= 60")
+    return a.keep(a.where(a.largest(a.where(a.mask(), "u between 6 and 25 and v between 5 and 18")), "(u - 16) * (u - 16) + (v - 12) * (v - 12) <= 60"))
 
 
 def _contour_roi(a):
     views = [a.mask(), a.mask("d > 50000"), a.mask("d < 170000 and `set`")]
     agreed = a.union(a.union(a.both(views[0], views[1]), a.both(views[1], views[2])), a.both(views[0], views[2]))
     main = a.best(a.where(agreed, "u between 5 and 26 and v between 5 and 18"), _CENTRAL, f"area >= 8 and area <= {0.75 * H * W_}")
-    full = a.filled(a.where(a.closed(main, P.ellipse(1)), _RECT), 4)
+    full = a.keep(a.filled(a.where(a.closed(main, P.ellipse(1)), _RECT), 4))
     return a.union(full, a.guarded(full, a.where(a.convex(full), _RECT), hull_guard(0.75)))
 
 
@@ -240,10 +272,10 @@ def _hybrid_roi(a):
     """A board of known and unknown pixels: those with a price are measured, and
     those of some height over the board's plane are the object's."""
     board = a.where(a.mask("true"), _RECT)
-    unknown = a.where(a.holes(a.mask("true"), 4, None), _RECT)
+    unknown = a.keep(a.where(a.holes(a.mask("true"), 4, None), _RECT))
     objects = a.where(a.mask("`set` and d > 40000"), _RECT)
-    main = a.largest(objects)
-    enclosed = a.both(a.holes(main, 8, None), unknown)
+    main = a.keep(a.largest(objects))
+    enclosed = a.keep(a.both(a.holes(main, 8, None), unknown))
     around = a.minus(a.both(a.dilate(main, P.ellipse(2)), unknown), enclosed)
     toned = a.where(around, "(u + v) % 3 <> 0")  # unknown pixels whose colour is the object's
     hybrid = a.closed(a.union(a.union(main, enclosed), toned), P.ellipse(1))
@@ -253,9 +285,9 @@ def _hybrid_roi(a):
 
 morphology("mor02_border_ring", "A workspace less its erosion by a box, 10 pixels wide at least; beyond the frame counts as set.", lambda a: (lambda w: a.minus(w, a.erode_box(w, 10)))(a.where(a.filled(a.closed(a.mask(), P.box(1))), f"u between {EDGE} and {W_ - 1 - EDGE}")))
 morphology("mor03_open_close", "Opened, then closed, by ellipses.", lambda a: a.closed(a.opened(a.mask(), P.ellipse(1)), P.ellipse(2), times=2))
-morphology("mor05_polygon", "Set pixels of a convex quadrilateral, by its half planes.", lambda a: a.where(a.mask(), _QUAD))
+morphology("mor05_polygon", "Set pixels in a concave polygon of each frame, its outline included.", lambda a: a.polygons(a.mask(), _CORNERS))
 morphology("mor06_external_fill", "The largest component, filled to its outline, inside the workspace.", lambda a: a.where(a.external(a.mask()), _RECT))
-morphology("mor07_guarded_hull", "The hull of a part, nothing where it grows or covers too much or comes near the edge.", lambda a: (lambda x: a.guarded(x, a.where(a.convex(x), _RECT), hull_guard(0.75)))(a.closed(_blob(a), P.ellipse(1))))
+morphology("mor07_guarded_hull", "The hull of a part, nothing where it grows or covers too much or comes near the edge.", lambda a: (lambda x: a.guarded(x, a.where(a.convex(x), _RECT), hull_guard(0.75)))(a.keep(a.closed(_blob(a), P.ellipse(1)))))
 morphology("mor08_fill_holes", "All enclosed holes; a diagonal gap opens one.", lambda a: a.filled(a.mask()))
 morphology("mor09_fill_small_holes", "Enclosed holes of at most three pixels.", lambda a: a.filled(a.mask(), most=3))
 morphology("mor13_contour_roi", "Pixels that two of three views agree on: main component by area and place, closed, filled, its hull if guarded, else itself.", _contour_roi)
@@ -295,7 +327,7 @@ def mor11(spark, sf):
     t = Tables(spark, sf)
     n = t.frames
     for name, m in zip(("object_px", "surface_px", "pixels"), _inspected(t), strict=True):
-        n = n.join(m.groupBy("frame").agg(F.count("*").alias(name)), "frame", "left")
+        n = n.join(m.groupBy("frame").agg(F.sum(I.length()).alias(name)), "frame", "left")
     n = n.fillna(0)
     whole = H * W_
     status = F.when((F.col("object_px") == 0) | (F.col("surface_px") == 0), "EMPTY_INPUT").when(F.col("object_px") == whole, "FULL_FRAME_OBJECT").when(F.col("pixels") == 0, "EMPTY_AFTER_EROSION").when(F.col("pixels") == whole, "FULL_FRAME").otherwise("OK")
@@ -312,7 +344,7 @@ def _components_sql() -> str:
 @query("mor10_components", _components_sql())
 def mor10(spark, sf):
     """Labels, areas and centres of the 8-connected components of each frame."""
-    found = P.areas(P.labels(rasters(spark, sf).where("`set`"), SHAPE))
+    found = I.areas(I.labelled(I.from_pixels(I.dealt(rasters(spark, sf).where("`set`"))), SHAPE))
     return found.select("frame", "label", "area", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
@@ -370,7 +402,7 @@ def mor20(spark, sf):
     """A mask seen through a homography, nearest pixels, and back through its
     inverse; outside the frame nothing is set."""
     t = Tables(spark, sf)
-    out = P.warp(t.mask(), HOMOGRAPHY, SHAPE)
+    out = P.warp(t.px.where("`set`").select(*P.PIXEL), HOMOGRAPHY, SHAPE)
     back = P.warp(out, P.inverse(HOMOGRAPHY), SHAPE)
     n = [m.groupBy("frame").agg(F.count("*").alias(c)) for m, c in ((out, "pixels"), (back, "back"))]
     return t.frames.join(n[0], "frame", "left").join(n[1], "frame", "left").fillna(0)
@@ -381,7 +413,7 @@ def mor20(spark, sf):
 PLANE, HEIGHT = (0.0001, 0.00005, 0.002), 30.0
 LOW, HIGH, LEAST_VALID, LEAST_INLIERS, MOST_RESIDUAL, LEAST_AREA = 4.0, 250.0, 0.25, 0.25, 2.0, 6
 PATCH, STRIDE = 4, 2
-_X, _Y = f"(u / {W_ - 1.0} * 2 - 1)", f"(v / {H - 1.0} * 2 - 1)"
+_X, _Y = f"(u / {W_ - 1}e0 * 2 - 1)", f"(v / {H - 1}e0 * 2 - 1)"
 _BOARD = f"1.0 / ({PLANE[0]!r} * {_X} + {PLANE[1]!r} * {_Y} + {PLANE[2]!r})"
 _ON_BOARD = "d > 130000 and u between 6 and 25 and v between 5 and 18"
 
@@ -391,49 +423,49 @@ def _surface(a, candidate):
     place, filled to its outline, and eroded by the margin."""
     x = a.closed(a.opened(a.where(candidate, _RECT), P.ellipse(0)), P.ellipse(1), times=2)
     main = a.best(a.where(x, _RECT), _CENTRAL, f"area >= {LEAST_AREA} and area <= {0.75 * (H - 2 * EDGE) * (W_ - 2 * EDGE)}")
-    obj = a.where(a.filled(main, 4), _RECT)
+    obj = a.keep(a.where(a.filled(main, 4), _RECT))
     return obj, a.erode(obj, P.ellipse(MARGIN))
 
 
+#: Measured depth: the board with noise and what lies on it; every fifth frame
+#: is scattered, so that no plane is found there.
+_NEAR = f"case when frame % 5 = 4 then 100 + d % 700 else {_BOARD} + d % 1.5 - case when {_ON_BOARD} then {HEIGHT} else 0.0 end end"
+_POINT = {"x": _X, "y": _Y, "z": _NEAR}
+_PLANE = {"tolerance": 2.5, "least": 50}
+_WORK = (H - 2 * EDGE) * (W_ - 2 * EDGE)
+_GOOD = f"coalesce(valid >= {LEAST_VALID} and inliers / n >= {LEAST_INLIERS} and residual <= {MOST_RESIDUAL}, false)"
+_UP = f"1.0 / (a * {_X} + b * {_Y} + c) - ({_NEAR}) between {LOW} and {HIGH}"
+
+
 def _surface_sql() -> str:
     sql = Sql()
-    obj, surface = _surface(sql, sql.mask(_ON_BOARD))
+    sql.parts += [points_sql(_POINT, f"{_RECT} and ({_NEAR}) between 80 and 2000"), *V.planes_sql("pt", V.INVERSE, "p", **_PLANE)]
+    sql.parts.append(f"gate as materialized (select frame, round(coalesce(valid, 0), 6) as depth_valid, {_GOOD} as good, a, b, c from fr left join (select key as frame, count(*) / {_WORK} as valid from pt group by key) using (frame) left join pplanes on key = frame)")
+    obj, surface = _surface(sql, sql.add(f"select frame, u, v from px join gate using (frame) where good and {_RECT} and {_UP}"))
     patch = f"select frame, x, y from {surface} m join (select u as x, v as y from grid where u % {STRIDE} = 0 and v % {STRIDE} = 0) on m.u between x and x + {PATCH - 1} and m.v between y and y + {PATCH - 1} group by all having count(*) = {PATCH * PATCH}"
-    work, valid = (H - 2 * EDGE) * (W_ - 2 * EDGE), f"(select count(*) from px where px.frame = fr.frame and {_RECT})"
-    n = lambda m: f"(select count(*) from ({m}) m where m.frame = fr.frame)"
-    return f"""with recursive {", ".join(sql.parts)},
-b as (select frame, round({valid} / {work}, 6) as depth_valid, {n(f"select * from {obj}")} as object_px, {n(f"select * from {surface}")} as surface_px, {n(patch)} as patches from fr)
-select frame, depth_valid, depth_valid >= {LEAST_VALID} as plane, case when depth_valid >= {LEAST_VALID} then object_px else 0 end as object_px, case when depth_valid >= {LEAST_VALID} then surface_px else 0 end as surface_px, case when depth_valid >= {LEAST_VALID} then patches else 0 end as patches from b"""
+    n = lambda m: f"(select count(*) from ({m}) m where m.frame = gate.frame)"
+    return f"""with recursive {", ".join(sql.parts)}
+select frame, depth_valid, good as plane, {n(f"select * from {obj}")} as object_px, {n(f"select * from {surface}")} as surface_px, {n(patch)} as patches from gate"""
 
 
 @query("mor12_surface_geometry", _surface_sql())
 def mor12(spark, sf):
-    """Workspace, plane of its ring by sampling, gates on it, heights over it,
-    main component, surface and whole patches of each frame."""
+    """Valid depth of each frame's workspace, its plane by votes, gates on share
+    of voters and residual, heights over it, main component, surface and whole
+    patches; a frame that fails a gate has nothing on it."""
     t = Tables(spark, sf)
-    near = F.expr(_BOARD) - F.when(F.expr(_ON_BOARD), HEIGHT).otherwise(0.0)
-    px = written(t.px.where(_RECT).select(*P.PIXEL, near.alias("z")), "depth")
-    fits = written(px.groupBy("frame").applyInPandas(_fit, "frame long, a double, b double, c double, inliers double, residual double"), "planes")
-    gate = px.groupBy("frame").agg((F.count_if(F.col("z").between(80, 2000)) / ((H - 2 * EDGE) * (W_ - 2 * EDGE))).alias("valid")).join(fits, "frame", "left")
-    gate = gate.select("frame", "valid", "a", "b", "c", F.coalesce((F.col("valid") >= LEAST_VALID) & (F.col("inliers") >= LEAST_INLIERS) & (F.col("residual") <= MOST_RESIDUAL), F.lit(False)).alias("good"))
-    up = F.expr(f"1.0 / (a * {_X} + b * {_Y} + c)") - F.col("z")
-    obj, surface = _surface(t, px.join(gate.where("good"), "frame").where(up.between(LOW, HIGH)).select(*P.PIXEL))
-    obj, surface = written(obj, "object"), written(surface, "surface")
+    at = points(t.px, _POINT, f"{_RECT} and ({_NEAR}) between 80 and 2000")
+    valid = at.groupBy("key").agg((F.count("*") / _WORK).alias("valid"))
+    gate = t.frames.join(valid.join(V.planes(at, V.INVERSE, **_PLANE), "key", "left").withColumnRenamed("key", "frame"), "frame", "left")
+    gate = written(gate.select("frame", F.round(F.coalesce("valid", F.lit(0.0)), 6).alias("depth_valid"), F.expr(_GOOD).alias("plane"), "a", "b", "c"), "gate")
+    obj, surface = _surface(t, t.runs(t.px.where(_RECT).join(gate.where("plane"), "frame").where(_UP)))
+    obj, surface = written(I.to_pixels(obj), "object"), written(I.to_pixels(surface), "surface")
     start = lambda c: F.explode(F.expr(f"filter(transform(sequence(0, {PATCH - 1}), i -> {c} - i), x -> x >= 0 and x % {STRIDE} = 0)"))
     patches = surface.select("frame", "u", start("v").alias("y")).select("frame", "y", start("u").alias("x")).groupBy("frame", "x", "y").agg(F.count("*").alias("n")).where(F.col("n") == PATCH * PATCH)
-    out = t.frames.join(gate, "frame", "left")
+    out = gate.select("frame", "depth_valid", "plane")
     for name, m in (("object_px", obj), ("surface_px", surface), ("patches", patches)):
         out = out.join(m.groupBy("frame").agg(F.count("*").alias(name)), "frame", "left")
-    return out.select("frame", F.round(F.coalesce("valid", F.lit(0.0)), 6).alias("depth_valid"), F.coalesce("good", F.lit(False)).alias("plane"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("object_px", "surface_px", "patches")])
-
-
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The plane of one frame's pixels; no row if none is found."""
-    z = np.zeros((H, W_))
-    z[pdf["v"], pdf["u"]] = pdf["z"]
-    c, ratio, residual = K.inverse_depth_plane(z, z > 0, least=50)
-    rows = [] if c is None else [(int(pdf["frame"].iloc[0]), *map(float, c), ratio, residual)]
-    return pd.DataFrame(rows, columns=["frame", "a", "b", "c", "inliers", "residual"])
+    return out.fillna(0, ["object_px", "surface_px", "patches"])
 
 
 _DARK = "d < 120000"
@@ -451,7 +483,7 @@ def mor26(spark, sf):
     """The largest dark part of each frame and its four corners, the extreme
     places by u + v and v - u; the same corner may stand twice."""
     t = Tables(spark, sf)
-    x = t.largest(t.closed(t.mask(_DARK), P.ellipse(1)))
+    x = I.to_pixels(t.largest(t.closed(t.mask(_DARK), P.ellipse(1))))
     out = [F.count("*").alias("area")]
     for i, key in enumerate(("u + v", "v - u", "-u - v", "u - v")):
         out += [F.min_by(c, F.struct(F.expr(key).alias("k"), "v", "u")).alias(f"{n}{i}") for c, n in (("u", "x"), ("v", "y"))]
@@ -473,7 +505,7 @@ def ext07(spark, sf):
     threshold from the scores of the frames kept for validation."""
     t = Tables(spark, sf)
     _, surface = _surface(t, t.mask(_ON_BOARD))
-    px = surface.join(t.px.select(*P.PIXEL, (F.col("d") / 250000).alias("x_")), P.PIXEL)
+    px = I.to_pixels(surface).join(t.px.select(*P.PIXEL, (F.col("d") / 250000).alias("x_")), P.PIXEL)
     start = lambda c: F.explode(F.expr(f"filter(transform(sequence(0, {PATCH - 1}), i -> {c} - i), x -> x >= 0 and x % {STRIDE} = 0)"))
     scores = px.select("frame", "u", "x_", start("v").alias("y")).select("frame", "y", "x_", start("u").alias("x")).groupBy("frame", "x", "y").agg(F.var_pop("x_").alias("score"), F.count("*").alias("n")).where(F.col("n") >= PATCH * PATCH // 2)
     scores = written(scores.select("frame", "score"), "scores")
