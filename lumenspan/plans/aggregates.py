@@ -8,8 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenspan.operators.ordered import missing_as_null
+from lumenspan.operators.selection import percentile
 from lumenspan.plans.proxies import CANDIDATES, FRAMES, MANIFEST, RESIDUALS, candidates, frames, load, manifest, residuals
 from lumenspan.registry import query
+from lumenspan.session import written
 
 FRACTIONS = {"top1": 0.01, "top5": 0.05, "top10": 0.10}
 
@@ -37,7 +39,7 @@ def long_scores(spark, sf):
 
 def thresholds(df):
     """99th percentile, exact and interpolated, of each method's validation scores."""
-    return df.where("label < 5").groupBy("method").agg(F.percentile("score", 0.99).alias("threshold"))
+    return percentile(df.where("label < 5"), "score", 0.99, ["method"], "threshold")
 
 
 @query("agg01_patch_mean", f"with {SCORES} select vec_id, round(mean, 6) as score from sc")
@@ -52,12 +54,13 @@ def agg02(spark, sf):
 
 @query("agg03_percentile_threshold", f"with {SCORES} select round(quantile_cont(mean, 0.99), 6) as threshold from sc where label < 5")
 def agg03(spark, sf):
-    return scores(residuals(spark, sf)).where("label < 5").agg(F.round(F.percentile("mean", 0.99), 6).alias("threshold"))
+    s = written(scores(residuals(spark, sf)).where("label < 5").select("mean"), "scores")
+    return percentile(s, "mean", 0.99).select(F.round("percentile", 6).alias("threshold"))
 
 
 @query("agg04_method_thresholds", f"with {LONG} select method, round(quantile_cont(score, 0.99), 6) as threshold from lg where label < 5 group by method")
 def agg04(spark, sf):
-    return thresholds(long_scores(spark, sf)).select("method", F.round("threshold", 6).alias("threshold"))
+    return thresholds(written(long_scores(spark, sf), "scores")).select("method", F.round("threshold", 6).alias("threshold"))
 
 
 @query("agg05_image_score", f"""with {SCORES}, t as (select quantile_cont(top5, 0.99) as thr from sc where label < 5)
@@ -66,8 +69,8 @@ select label as image, round(max(top5), 6) as score, count(*) as patches, count(
 def agg05(spark, sf):
     """Score, threshold, flag and judge: an image's score is its largest patch
     score, and it is a defect if any patch lies above the threshold."""
-    s = scores(residuals(spark, sf)).select("label", "top5")
-    t = s.where("label < 5").agg(F.percentile("top5", 0.99).alias("thr"))
+    s = written(scores(residuals(spark, sf)).select("label", "top5"), "scores")
+    t = percentile(s.where("label < 5"), "top5", 0.99, name="thr")
     over = F.col("top5") > F.col("thr")
     return s.where("label >= 5").crossJoin(F.broadcast(t)).groupBy(F.col("label").alias("image")).agg(
         F.round(F.max("top5"), 6).alias("score"), F.count("*").alias("patches"), F.count_if(over).alias("hits"),
@@ -78,7 +81,7 @@ def agg05(spark, sf):
 @query("agg06_anomaly_summary", f"""with {LONG}, t as (select method, quantile_cont(score, 0.99) as thr from lg where label < 5 group by method)
 select method, round(avg(score), 6) as mean, round(max(score), 6) as top, count(*) filter (score > thr) as over from lg join t using (method) where label >= 5 group by method""")
 def agg06(spark, sf):
-    s = long_scores(spark, sf)
+    s = written(long_scores(spark, sf), "scores")
     return s.where("label >= 5").join(F.broadcast(thresholds(s)), "method").groupBy("method").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("top"), F.count_if(F.col("score") > F.col("threshold")).alias("over"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.operators.geometry import max_tilt
 from lumenspan.operators.planes import plane_groups, same_plane
+from lumenspan.operators.selection import percentile
 from lumenspan.plans.proxies import CANDIDATES, FRAMES, MANIFEST, candidates, frames, load, manifest
 from lumenspan.registry import query
 
@@ -80,7 +81,7 @@ def join07(spark, sf):
 @query("join08_score_threshold", "with t as (select l_returnflag as method, quantile_cont(l_extendedprice, 0.99) as thr from lineitem where l_linestatus = 'F' group by all) select l_returnflag as method, count(*) as patches, count(*) filter (l_extendedprice > thr) as over from lineitem join t on method = l_returnflag where l_linestatus = 'O' group by all")
 def join08(spark, sf):
     l = load(spark, sf, "lineitem").select(F.col("l_returnflag").alias("method"), "l_linestatus", "l_extendedprice")
-    t = l.where("l_linestatus = 'F'").groupBy("method").agg(F.percentile("l_extendedprice", 0.99).alias("thr"))
+    t = percentile(l.where("l_linestatus = 'F'"), "l_extendedprice", 0.99, ["method"], "thr")
     return l.where("l_linestatus = 'O'").join(t, "method").groupBy("method").agg(F.count("*").alias("patches"), F.count_if(F.col("l_extendedprice") > F.col("thr")).alias("over"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumenspan.operators import hypotheses as V
 from lumenspan.operators import intervals as I
 from lumenspan.operators import pixels as P
+from lumenspan.operators.selection import percentile
 from lumenspan.plans.kernels import H, W_, points, points_sql, rasters
 from lumenspan.registry import query
 from lumenspan.session import written
@@ -509,7 +510,7 @@ def ext07(spark, sf):
     start = lambda c: F.explode(F.expr(f"filter(transform(sequence(0, {PATCH - 1}), i -> {c} - i), x -> x >= 0 and x % {STRIDE} = 0)"))
     scores = px.select("frame", "u", "x_", start("v").alias("y")).select("frame", "y", "x_", start("u").alias("x")).groupBy("frame", "x", "y").agg(F.var_pop("x_").alias("score"), F.count("*").alias("n")).where(F.col("n") >= PATCH * PATCH // 2)
     scores = written(scores.select("frame", "score"), "scores")
-    threshold = scores.where("frame % 4 = 0").agg(F.percentile("score", 0.5)).first()[0]
+    threshold = percentile(scores.where("frame % 4 = 0"), "score", 0.5).first()
     best = t.frames.join(scores, "frame", "left").groupBy("frame").agg(F.count("score").alias("patches"), F.max("score").alias("score"))
     judged = F.when(F.col("patches") == 0, "RECHECK").when(F.col("score") > F.lit(threshold), "NG").otherwise("OK")
     return best.select("frame", "patches", F.round("score", 6).alias("score"), judged.alias("judgement"))
