@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenspan.llm.common import bound_batches, broadcast_small, chunks, discard, lean, materialize
+from lumenspan.llm.common import bound_batches, broadcast_small, chunks, discard, lean, materialize, release_shuffles
 
 #: Most parts that are broadcast, and the longest of them; parts up to this
 #: length are their own keys.
-FREQUENT, KEY_BYTES = 1 << 17, 60
+FREQUENT, KEY_BYTES = 1 << 18, 60
 _TOGETHER = r"\x20(?![\p{L}\p{M}\p{N}\p{P}\p{S}])|▁"
 _workers: dict = {}
 
@@ -101,9 +101,9 @@ def tokens_of(parts: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
             size = np.where(side, both.len_b[ids * side], both.len_a[ids * (1 - side)])
             at = pa.array(np.append(0, np.cumsum(first)[1::2]).astype(np.int32))
             whole = pa.array([len(t) + 1 for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), whole, pa.array(many), pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(size.astype(np.int32)))], names=["k", "n", "size", "n_a", "ids", "lengths"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), whole, pa.array(many), pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(size.astype(np.int16)))], names=["k", "n", "size", "n_a", "ids", "lengths"])
 
-    return parts.select("k", "n", "part").mapInArrow(lean(run), "k string, n bigint, size bigint, n_a bigint, ids array<int>, lengths array<int>")
+    return parts.select("k", "n", "part").mapInArrow(lean(run), "k string, n bigint, size bigint, n_a bigint, ids array<int>, lengths array<smallint>")
 
 
 def groups_of(tokens: DataFrame) -> DataFrame:
@@ -196,10 +196,12 @@ def align(docs: DataFrame, *, bytes_path: str | None = None, pieces_path: str |
     if split and (broken := tokens.where("size(ids) = 0").join(parts.where(~F.concat(F.lit(" "), F.col("part")).rlike(_TOGETHER)), "k", "left_semi").first()):
         raise ValueError(f"a part is not given back by its tokens ({broken}); align whole texts with split=False")
     aligned = materialize(aligned_parts(groups_of(tokens)), "aligned")
+    release_shuffles(spark)
     counts = materialize(pair_counts(aligned), "pairs")
     results = materialize(part_results(aligned, counts), "results")
     for done in (parts, tokens, aligned, counts):
         discard(done)
+    release_shuffles(spark)
 
     least = frequent_from(results, frequent)
     is_hot = (F.col("n") >= least) & (F.octet_length("k") <= KEY_BYTES)
