@@ -512,5 +512,5 @@ def ext07(spark, sf):
     scores = written(scores.select("frame", "score"), "scores")
     threshold = percentile(scores.where("frame % 4 = 0"), "score", 0.5).first()
     best = t.frames.join(scores, "frame", "left").groupBy("frame").agg(F.count("score").alias("patches"), F.max("score").alias("score"))
-    judged = F.when(F.col("patches") == 0, "RECHECK").when(F.col("score") > F.lit(threshold), "NG").otherwise("OK")
+    judged = F.when(F.col("patches") == 0, "RECHECK").when(F.col("score") > F.lit(threshold and threshold[0]), "NG").otherwise("OK")
     return best.select("frame", "patches", F.round("score", 6).alias("score"), judged.alias("judgement"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenspan.plans.proxies import FRAMES, frames
 from lumenspan.registry import query
 from lumenspan.session import scratch
+from lumenspan.streaming import motion as M
 from lumenspan.streaming import telemetry as S
 
 _STREAK = """i as (select *, sum(case when ok then 0 else 1 end) over (partition by device order by seq) as island from s),
@@ -84,14 +85,38 @@ def stm12(spark, sf):
 
 @query("stm13_resample", "select time_bucket(interval 6 hours, ts) as start, round(avg(value), 6) as mean, count(*) as n from events group by all")
 def stm13(spark, sf):
-    """Tumbling means of a stream with a watermark; complete output here, so
-    that the last windows show too."""
+    """Tumbling means of a stream; each trigger's complete result, so that the
+    last windows show too, takes the place of the one before in the shared
+    folder."""
     rows = spark.read.parquet(f"{sf}/events.parquet").select("ts", "value")
     w = recorded(spark, sf, rows).groupBy(F.window("ts", "6 hours")).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
-    name = "stm13_" + scratch(spark, "q").rsplit("-", 1)[1]
-    q = w.select(F.col("window.start").alias("start"), F.round("mean", 6).alias("mean"), "n").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    w = w.select(F.col("window.start").alias("start"), F.round("mean", 6).alias("mean"), "n")
+    out = scratch(spark, "resampled")
+    q = w.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/data")).option("checkpointLocation", f"{out}/state").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(w.schema).parquet(f"{out}/data")
+
+
+#: Recorded events are hours apart, and so are the times of the wait.
+_HOUR = 3_600_000
+WAIT = M.Wait(timeout=60 * _HOUR, guard=_HOUR, observe=12 * _HOUR, samples=3)
+
+
+@query("stm03_motion_deadlines", f"""with {FRAMES}, f as (select device, seq, epoch_ms(ts) as ms, kind = 'signup' as command, stable from frames),
+c as (select *, lead(seq) over w as next_seq, lead(ms) over w as next_ms from f where command window w as (partition by device order by seq)),
+j as (select c.device, c.seq as command, c.ms as sent, f.seq, f.ms, f.stable from c join f on f.device = c.device and f.seq > c.seq and f.seq < coalesce(c.next_seq, 1000000000000) and f.ms < c.ms + {WAIT.timeout}),
+b as (select *, sum(case when stable then 0 else 1 end) over (partition by device, command order by seq) as breaks from j where ms >= sent + {WAIT.guard}),
+s as (select *, count(*) filter (stable) over (partition by device, command, breaks order by seq) as streak from b),
+d as (select device, command, min(seq) as done from s where stable and streak >= {WAIT.samples} and (breaks > 0 or ms >= sent + {WAIT.guard + WAIT.observe}) group by all),
+l as (select device, command, max(seq) as last from j group by all),
+o as (select c.device, c.seq as command, case when done is not null then 'STABLE' when next_ms < ms + {WAIT.timeout} then 'REPLACED' when ms + {WAIT.timeout} <= (select max(ms) from f) then 'TIMEOUT' end as outcome, done, next_seq, last
+  from c left join d on d.device = c.device and d.command = c.seq left join l on l.device = c.device and l.command = c.seq)
+select device, command, outcome, case outcome when 'STABLE' then done when 'REPLACED' then next_seq else last end as at from o where outcome is not null""")
+def stm03_deadlines(spark, sf):
+    """How each command of a stream ends: completed by stable samples after the
+    motion was seen or is no longer expected, timed out, or replaced."""
+    rows = frames(spark, sf).select("device", "seq", F.col("ts").cast("timestamp").alias("ts"), (F.col("kind") == "signup").alias("command"), F.lit(None).cast("double").alias("target"), F.col("depth").alias("z"), "stable")
+    return M.run(M.completions(recorded(spark, sf, rows), WAIT), scratch(spark, "motion"))
 
 
 @query("stm15_replay_timeline", "select (i - 1)::bigint as step, round(12.0 * i / 7, 6) as elapsed from (select unnest(range(1, 8)) as i)")
