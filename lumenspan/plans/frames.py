@@ -16,7 +16,7 @@ from lumenspan.plans.kernels import H, PIXELS, W_, _mask, points, points_sql, ra
 from lumenspan.plans.proxies import frames, load
 from lumenspan.registry import query
 from lumenspan.session import scratch
-from lumenspan.sources import files, sinks
+from lumenspan.sources import files
 
 
 def _grey(pdf: pd.DataFrame) -> np.ndarray:
@@ -186,7 +186,7 @@ def images(spark, sf):
 
 @query("src05_image_decode")
 def src05(spark, sf):
-    return files.decode_images(images(spark, sf)).select("path", "height", "width", "channels", F.md5("pixels").alias("digest"))
+    return files.decode_images(images(spark, sf)).select("path", "height", "width", "channels", F.md5("pixels").alias("digest"), "error")
 
 
 @query("src18_arrays")
@@ -210,14 +210,3 @@ def src30(spark, sf):
     rows = [(f"layer{i}", [4, 1, 4, 4], rng.normal(0, 0.3, 64).tolist()) for i in range(4)]
     spark.createDataFrame(rows, "name string, shape array<int>, data array<double>").write.parquet(out)
     return spark.read.parquet(out).select("name", F.size("data").alias("n"))
-
-
-for _name in ("snk15_geometry_artifacts", "snk16_rgb_artifacts", "snk19_roi_evidence", "snk20_hybrid_evidence"):
-
-    def _sink(spark, sf, name=_name):
-        """Image bytes written by folder and read back."""
-        out = scratch(spark, name)
-        sinks.write_artifacts(images(spark, sf).withColumn("kind", F.lit(name)), out, "kind")
-        return spark.read.schema("path string, content binary, kind string").parquet(out).select("path", "kind", F.length("content").alias("size"))
-
-    query(_name)(_sink)

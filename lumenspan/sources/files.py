@@ -90,12 +90,20 @@ def png_bytes(pixels: np.ndarray) -> bytes:
 
 
 def decode_images(files: DataFrame) -> DataFrame:
-    """path, height, width, channels and pixels (row by row) of PNG files."""
+    """path, height, width, channels, pixels (row by row) and error of PNG
+    files: a file that cannot be read is a row with an error and no pixels."""
 
-    @F.pandas_udf("struct<height:int,width:int,channels:int,pixels:binary>")
+    def one(content: bytes | None) -> tuple:
+        try:
+            got = png_pixels(bytes(content or b""))
+        except (ValueError, TypeError, IndexError, struct.error, zlib.error) as e:
+            return None, None, None, None, f"{type(e).__name__}: {e}"
+        return *got.shape, np.ascontiguousarray(got).tobytes(), None
+
+    @F.pandas_udf("struct<height:int,width:int,channels:int,pixels:binary,error:string>")
     def decode(content: pd.Series) -> pd.DataFrame:
-        got = [png_pixels(x) for x in content]
-        return pd.DataFrame([(*g.shape, np.ascontiguousarray(g).tobytes()) for g in got], columns=["height", "width", "channels", "pixels"])
+        out = pd.DataFrame([one(x) for x in content], columns=["height", "width", "channels", "pixels", "error"])
+        return out.astype({c: "Int32" for c in ("height", "width", "channels")})
 
     return files.select("path", decode("content").alias("image")).select("path", "image.*")
 

@@ -40,5 +40,5 @@ def write_sweep(rows: DataFrame, path: str, numbers: list[str], digits: int = 6)
 
 
 def write_artifacts(rows: DataFrame, path: str, by: str) -> None:
-    """Binary payloads, a folder for each value of ``by``."""
+    """Rows as Parquet, a folder for each value of ``by``."""
     rows.write.mode("overwrite").partitionBy(by).parquet(path)
