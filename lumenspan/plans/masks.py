@@ -292,7 +292,6 @@ morphology("mor07_guarded_hull", "The hull of a part, nothing where it grows or
 morphology("mor08_fill_holes", "All enclosed holes; a diagonal gap opens one.", lambda a: a.filled(a.mask()))
 morphology("mor09_fill_small_holes", "Enclosed holes of at most three pixels.", lambda a: a.filled(a.mask(), most=3))
 morphology("mor13_contour_roi", "Pixels that two of three views agree on: main component by area and place, closed, filled, its hull if guarded, else itself.", _contour_roi)
-morphology("mor14_hybrid_roi", "Object above the board with enclosed and with near unknown pixels of its tone, closed, kept off the board, largest, eroded.", _hybrid_roi)
 morphology("mor15_local_band", "Bands about markers, without the markers and their surroundings.", lambda a: (lambda m: a.minus(a.dilate(m, P.ellipse(4)), a.dilate(m, P.ellipse(1))))(a.mask("d > 160000")))
 morphology("mor21_density_support", "Known pixels in dense surroundings, closed, opened, and the central part.", lambda a: a.best(a.opened(a.closed(a.both(a.density(a.mask(), 2, 0.5), a.mask("true")), P.ellipse(2)), P.ellipse(1)), _CENTRAL, "area >= 4"))
 morphology("mor24_silhouette", "Points as discs, closed, the largest part filled.", lambda a: a.external(a.closed(a.dilate(a.mask("u % 5 = 0 and v % 4 < 2 and d > 150000"), P.ellipse(1)), P.ellipse(2))))
@@ -469,6 +468,102 @@ def mor12(spark, sf):
     return out.fillna(0, ["object_px", "surface_px", "patches"])
 
 
+#: A board with holes in its depth: the board's corners, markers on it, depth
+#: (0: invalid), places in space, and Lab values of the colour image.
+_BOARD_QUAD = [("2 + frame % 2", "2"), ("29", "2 + frame % 3"), ("28", "21"), ("3", "20 - frame % 2")]
+_MARKER = "(u between 3 and 5 and v between 3 and 5 or u between 25 and 27 and v between 17 and 19)"
+_THING = "u between 9 and 21 and v between 7 and 16 and (u - 15) * (u - 15) + (v - 12) * (v - 12) <= 38"
+_RAW = f"case when frame % 7 = 6 then 100 + d % 700 when frame % 11 = 5 or d % 11 < 0.8 then 0 else 500 + 0.4 * u - 0.2 * v + d % 1.5 - case when frame % 13 <> 12 and {_THING} then 30 else 0 end end"
+_VALID = "z between 80 and 2000"
+_SPACE = {"x": "(u - 15.5) * z / 500", "y": "(v - 11.5) * z / 500", "z": "z"}
+_LAB = ("coalesce(d, 50000) / 1000 % 60", "(u * 3 + v) % 40 - 20", "(u + 2 * v) % 30 - 15")
+RING, NEAR_UNKNOWN, TONE = 3, 2, 45
+HEIGHT_LOW, HEIGHT_HIGH, ON_PLANE = 10, 120, 4.0
+LEAST_RATIO, MOST_SPREAD, MOST_FRAME = 0.6, 2.0, 0.75
+_RING_PLANE = {"tolerance": 2.5, "least": 30}
+_SIGNED = "a * (u - 15.5) * z / 500 + b * (v - 11.5) * z / 500 + c * z - d_plane"
+_FAULT = f"""case when coalesce(valid_px, 0) = 0 then 'NO_DEPTH' when ratio is null then 'PLANE_FIT_FAILED' when not (ratio >= {LEAST_RATIO} and residual <= {MOST_SPREAD}) then 'PLANE_REJECTED' end"""
+_STATE = f"""coalesce(fault, case when coalesce(object_px, 0) = 0 then 'NO_OBJECT' when coalesce(pixels, 0) = 0 then 'EMPTY' when pixels >= {MOST_FRAME * H * W_} then 'NEARLY_FULL' else 'OK' end)"""
+
+
+def _ring(a, board):
+    """The board's border without the markers and what is near them."""
+    return a.minus(a.minus(board, a.erode_box(board, RING)), a.dilate(a.where(board, _MARKER), P.ellipse(1)))
+
+
+def _joined(a, board, objects, unknown, toned):
+    """Main object, and the region: with enclosed and near unknown pixels of its
+    tone, closed, never on measured board, largest, eroded, on the board."""
+    main = a.keep(a.largest(objects))
+    enclosed = a.keep(a.both(a.holes(main, 8, None), unknown))
+    near = a.minus(a.both(a.dilate(main, P.ellipse(NEAR_UNKNOWN)), unknown), enclosed)
+    hybrid = a.closed(a.union(a.union(main, enclosed), toned(main, near)), P.ellipse(1))
+    return main, a.both(a.erode(a.largest(a.both(hybrid, a.union(objects, unknown))), P.ellipse(1)), board)
+
+
+def _hybrid_sql() -> str:
+    sql = Sql()
+    board = sql.polygons(sql.add("select frame, u, v from fr, grid"), _BOARD_QUAD)
+    dz = sql.add(f"select frame, u, v, d, z from (select *, {_RAW} as z from px) where {_VALID}")
+    known = sql.both(sql.add(f"select frame, u, v from {dz}"), board)
+    ring = _ring(sql, board)
+    sql.parts += [f"pt as materialized (select frame as key, v * {W_} + u as id, {', '.join(f'({e})::double as {c}' for c, e in _SPACE.items())} from {ring} join {dz} using (frame, u, v))", *V.planes_sql("pt", V.METRIC, "p", **_RING_PLANE)]
+    n = lambda m, c: f"(select frame, count(*) as {c} from {m} group by frame)"
+    sql.parts.append(f"gate as materialized (select *, {_FAULT} as fault from (select frame, board_px, valid_px, inliers / n as ratio, residual, a, b, c, d as d_plane from fr left join {n(board, 'board_px')} using (frame) left join {n(known, 'valid_px')} using (frame) left join pplanes on key = frame))")
+    high = sql.add(f"select frame, u, v, {_SIGNED} as up from {known} join {dz} using (frame, u, v) join gate using (frame) where fault is null")
+    objects, unknown = sql.add(f"select frame, u, v from {high} where up between {HEIGHT_LOW} and {HEIGHT_HIGH}"), sql.minus(board, known)
+
+    def toned(main, near):
+        lab = ", ".join(f"{e} as c{i}" for i, e in enumerate(_LAB))
+        tone = sql.add(f"select frame, u, v, {lab} from (select * from fr, grid) left join px using (frame, u, v)")
+        mid = sql.add(f"select frame, {', '.join(f'median(c{i}) as m{i}' for i in range(3))} from {main} join {tone} using (frame, u, v) group by frame")
+        return sql.add(f"select frame, u, v from {near} join {tone} using (frame, u, v) join {mid} using (frame) where sqrt({' + '.join(f'(c{i} - m{i}) * (c{i} - m{i})' for i in range(3))}) <= {TONE}")
+
+    main, out = _joined(sql, board, objects, unknown, toned)
+    flat = sql.add(f"select frame, u, v from {high} where abs(up) <= {ON_PLANE}")
+    return f"""with recursive {", ".join(sql.parts)},
+t as (select * from gate left join {n(main, 'object_px')} using (frame) left join {n(flat, 'background_px')} using (frame) left join {n(unknown, 'unknown_px')} using (frame) left join {n(out, 'pixels')} using (frame)),
+e as (select *, {_STATE} as status from t)
+select frame, status, coalesce(board_px, 0) as board_px, coalesce(valid_px, 0) as valid_px, round(ratio, 6) as inlier_ratio, round(residual, 6) as residual, case when status = 'OK' then background_px end as background_px, case when status = 'OK' then object_px end as object_px, case when status = 'OK' then coalesce(unknown_px, 0) end as unknown_px, case when status = 'OK' then pixels end as pixels, case when status = 'OK' then round(pixels / object_px, 6) end as to_object from e"""
+
+
+@query("mor14_hybrid_roi", _hybrid_sql())
+def mor14(spark, sf):
+    """Region of each frame's board pose: a metric plane voted for by the
+    board's ring without its markers, heights over it, unknown depth kept apart
+    until what the object encloses or what is near and of its tone is taken in,
+    closed, kept off the measured board; a frame that fails has a named fault
+    and no figures."""
+    t = Tables(spark, sf)
+    whole = t.frames.select("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(H - 1).cast("long"))).alias("v")).select("frame", "v", F.lit(0).cast("long").alias("u0"), F.lit(W_ - 1).cast("long").alias("u1"))
+    board = t.keep(t.polygons(whole, _BOARD_QUAD))
+    dz = written(t.px.withColumn("z", F.expr(_RAW)).where(_VALID).select(*P.PIXEL, "d", "z"), "depths")
+    known = t.keep(t.both(t.runs(dz), board))
+    at = I.to_pixels(_ring(t, board)).join(dz, P.PIXEL)
+    at = written(at.select(F.col("frame").alias("key"), (F.col("v") * W_ + F.col("u")).alias("id"), *[F.expr(e).cast("double").alias(c) for c, e in _SPACE.items()]), "points")
+    found = V.planes(at, V.METRIC, **_RING_PLANE).select(F.col("key").alias("frame"), (F.col("inliers") / F.col("n")).alias("ratio"), "residual", "a", "b", "c", F.col("d").alias("d_plane"))
+    many = lambda m, c: m.groupBy("frame").agg(F.sum(I.length()).alias(c))
+    gate = t.frames.join(many(board, "board_px"), "frame", "left").join(many(known, "valid_px"), "frame", "left").join(found, "frame", "left")
+    gate = written(gate.withColumn("fault", F.expr(_FAULT)), "gate")
+    high = written(I.to_pixels(known).join(dz, P.PIXEL).join(gate.where("fault is null").drop("ratio", "residual"), "frame").select(*P.PIXEL, F.expr(_SIGNED).alias("up")), "heights")
+    objects, unknown = t.keep(t.runs(high.where(F.col("up").between(HEIGHT_LOW, HEIGHT_HIGH)))), t.keep(t.minus(board, known))
+
+    def toned(main, near):
+        colour = lambda m: I.to_pixels(m).join(t.px.select(*P.PIXEL, "d"), P.PIXEL, "left").select(*P.PIXEL, *[F.expr(e).alias(f"c{i}") for i, e in enumerate(_LAB)])
+        mid = colour(main).groupBy("frame").agg(*[F.median(f"c{i}").alias(f"m{i}") for i in range(3)])
+        apart = F.sqrt(sum((F.col(f"c{i}") - F.col(f"m{i}")) * (F.col(f"c{i}") - F.col(f"m{i}")) for i in range(3)))
+        return t.runs(colour(near).join(mid, "frame").where(apart <= TONE))
+
+    main, out = _joined(t, board, objects, unknown, toned)
+    flat = high.where(F.abs("up") <= ON_PLANE).groupBy("frame").agg(F.count("*").alias("background_px"))
+    told = gate
+    for m in (many(main, "object_px"), flat, many(unknown, "unknown_px"), many(out, "pixels")):
+        told = told.join(m, "frame", "left")
+    told = told.withColumn("status", F.expr(_STATE))
+    good = lambda c, n: F.when(F.col("status") == "OK", c).alias(n)
+    return told.select("frame", "status", F.coalesce("board_px", F.lit(0)).alias("board_px"), F.coalesce("valid_px", F.lit(0)).alias("valid_px"), F.round("ratio", 6).alias("inlier_ratio"), F.round("residual", 6).alias("residual"), good(F.col("background_px"), "background_px"), good(F.col("object_px"), "object_px"), good(F.coalesce("unknown_px", F.lit(0)), "unknown_px"), good(F.col("pixels"), "pixels"), good(F.round(F.col("pixels") / F.col("object_px"), 6), "to_object"))
+
+
 _DARK = "d < 120000"
 
 
