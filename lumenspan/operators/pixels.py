@@ -2,9 +2,10 @@
 frames, and its operators are joins, groupings and windows on them.
 
 Frames are as high and wide as ``shape`` says.  Each operator deals rows by
-frame and pixel, so a table of many frames is as well spread as one of large
-frames; only the labels of components are found frame by frame, by a kernel
-that holds one frame's set pixels.  An empty mask stays empty; pixels outside
+frame and pixel; only the labels of components are found frame by frame, by a
+kernel that holds one frame's set pixels.  The same operators on runs of pixels
+(``intervals``) need far fewer rows and shuffles: queries use those, tests hold
+the two against each other; density and warping work on pixels.  An empty mask stays empty; pixels outside
 the frame are never made; frames without a set pixel have no row.
 """
 
@@ -158,27 +159,6 @@ def density(mask: DataFrame, radius: int, least: float, shape: Shape) -> DataFra
     return out.where(F.col("n") >= least * (2 * radius + 1) ** 2).select(*PIXEL)
 
 
-def dilate_by(mask: DataFrame, radius: DataFrame, shape: Shape, most: int) -> DataFrame:
-    """Dilation by an ellipse whose radius is each frame's own (frame, r), from
-    0 to ``most``."""
-    steps = F.array(*[F.array(*[F.struct(F.lit(du).alias("du"), F.lit(dv).alias("dv")) for du, dv in ellipse(r)]) for r in range(most + 1)])
-    rows = mask.join(radius.select("frame", "r"), "frame").select("frame", "u", "v", F.explode(F.get(steps, F.col("r").cast("int"))).alias("o"))
-    return rows.select("frame", (F.col("u") + F.col("o.du")).alias("u"), (F.col("v") + F.col("o.dv")).alias("v")).where(shape.holds(F.col("u"), F.col("v"))).distinct()
-
-
-def convex(mask: DataFrame, shape: Shape) -> DataFrame:
-    """Pixels inside or on the convex hull of each frame's set pixels.  Only the
-    ends of rows can be corners; a pixel is inside if it lies on one side of
-    every edge, so hulls need no kernel: edges are pairs of row ends of a frame
-    (two a row) with all other ends on one side."""
-    ends = mask.groupBy("frame", "v").agg(F.min("u").alias("a"), F.max("u").alias("b"))
-    ends = ends.groupBy("frame").agg(F.array_distinct(F.flatten(F.collect_list(F.array(F.struct(F.col("a").alias("u"), "v"), F.struct(F.col("b").alias("u"), "v"))))).alias("p"), F.min("a").alias("u0"), F.max("b").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"))
-    side = lambda a, b, p: (b["u"] - a["u"]) * (p["v"] - a["v"]) - (b["v"] - a["v"]) * (p["u"] - a["u"])
-    edges = F.flatten(F.transform("p", lambda a: F.transform(F.filter("p", lambda b: (b != a) & F.forall("p", lambda c: side(a, b, c) >= 0)), lambda b: F.named_struct(F.lit("a"), a, F.lit("b"), b))))
-    rows = ends.select("frame", edges.alias("edges"), "u0", "u1", F.explode(F.sequence("v0", "v1")).alias("v")).select("frame", "edges", F.explode(F.sequence("u0", "u1")).alias("u"), "v")
-    return rows.where(F.forall("edges", lambda e: side(e["a"], e["b"], F.struct("u", "v")) >= 0)).select(*PIXEL)
-
-
 def inverse(matrix) -> tuple:
     """The inverse of a homography, up to its scale (the adjugate)."""
     m = np.asarray(matrix, float)
@@ -193,9 +173,3 @@ def warp(mask: DataFrame, matrix, shape: Shape) -> DataFrame:
     at = [sum((F.lit(float(k)) * c for k, c in zip(row, (F.col("x"), F.col("y"), F.lit(1.0)), strict=True)), F.lit(0.0)) for row in matrix]
     grid = grid.select("x", "y", F.rint(at[0] / at[2]).cast("long").alias("u"), F.rint(at[1] / at[2]).cast("long").alias("v"))
     return mask.join(F.broadcast(grid), ["u", "v"]).select("frame", F.col("x").alias("u"), F.col("y").alias("v"))  # one row a pixel of a frame
-
-
-def counts(mask: DataFrame, frames: DataFrame) -> DataFrame:
-    """(frame, pixels, u, v): how many are set, and the sums of their places."""
-    got = mask.groupBy("frame").agg(F.count("*").alias("pixels"), F.sum("u").alias("u"), F.sum("v").alias("v"))
-    return frames.select("frame").join(got, "frame", "left").select("frame", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pixels", "u", "v")])

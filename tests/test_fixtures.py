@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenspan.functions import gates, text
-from lumenspan.operators import control, geometry, kernels, ordered, pixels, planes, raster
+from lumenspan.operators import control, geometry, hypotheses, intervals, kernels, ordered, pixels, planes, raster
 from lumenspan.sources import files, sinks
 from lumenspan.streaming import telemetry
 
@@ -125,24 +125,22 @@ def test_strict_telemetry_fails(spark):
         telemetry.telemetry(lines, strict=True).collect()
 
 
-def test_metric_plane_recovers_tilt():
+def test_metric_plane_recovers_tilt(spark):
     u, v = np.meshgrid(np.arange(100), np.arange(80))
-    for roll in (0.0, 12.0):
+    groups = {}
+    for roll in (0, 12):
         n = np.array([math.tan(math.radians(roll)), 0.0, -1.0])
         ray = np.stack([(u - 49.5) / 500, (v - 39.5) / 500, np.ones_like(u, float)], axis=-1)
-        z = -500 / (ray @ n)
-        got = kernels.metric_plane((ray * z[..., None]).reshape(-1, 3))
-        assert math.degrees(math.atan2(got[0][0], -got[0][2])) == pytest.approx(roll, abs=0.01)
-    assert kernels.metric_plane(np.zeros((3, 3))) is None
-    assert len(kernels.sequential_planes(np.concatenate([np.c_[np.random.default_rng(0).random((200, 2)) * 100, np.full(200, z)] for z in (500.0, 600.0)]))) == 2
+        groups[roll] = (ray * (-500 / (ray @ n))[..., None]).reshape(-1, 3)
+    rows = [(k, i, *map(float, p)) for k, ps in groups.items() for i, p in enumerate(ps)]
+    got = hypotheses.planes(spark.createDataFrame(rows, "key long, id long, x double, y double, z double"), hypotheses.METRIC, tolerance=2.5, least=50).collect()
+    assert {r.key: round(math.degrees(math.atan2(r.a, -r.c)), 2) for r in got} == {0: 0.0, 12: 12.0}
 
 
-def test_inverse_depth_plane():
-    v, u = np.mgrid[:60, :80]
-    d = 500.0 + 0.3 * u + 0.1 * v
-    c, ratio, residual = kernels.inverse_depth_plane(d, np.ones_like(d))
-    assert ratio > 0.95 and residual < 1.5 and c is not None
-    assert kernels.inverse_depth_plane(d, np.zeros_like(d)) == (None, 0.0, float("inf"))
+def test_inverse_depth_plane(spark):
+    rows = [(1, v * 80 + u, u / 79 * 2 - 1, v / 59 * 2 - 1, 500.0 + 0.3 * u + 0.1 * v) for v in range(60) for u in range(80)]
+    (r,) = hypotheses.planes(spark.createDataFrame(rows, "key long, id long, x double, y double, z double"), hypotheses.INVERSE, tolerance=2.5, least=500).collect()
+    assert r.inliers / r.n > 0.95 and r.residual < 1.5
 
 
 def plane_rows(spark, rows):
@@ -239,7 +237,7 @@ def test_morphology(spark):
     assert size(pixels.holes(df, frames, shape, most=0)) == [0, 0]
     full = df.union(pixels.holes(df, frames, shape)).distinct()
     assert size(pixels.erode(full, pixels.ellipse(1), shape))[0] == 9
-    assert size(pixels.convex(df, shape))[0] == 25
+    assert intervals.to_pixels(intervals.convex(intervals.from_pixels(df))).where("frame = 0").count() == 25
     two = np.zeros((9, 9), bool)
     two[1:3, 1:3] = two[1:3, 6:8] = True
     got = as_arrays(pixels.largest(mask_rows(spark, two, np.eye(9)), shape), 2, (9, 9))
