@@ -32,27 +32,34 @@ def bound(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-#: A line of items, each with a key and a value; its keys; a whole and a decimal number.
-_LINE = "^TLM:(?: *[^=, ][^=,]*=[^,]*)(?:, *[^=, ][^=,]*=[^,]*)*$"
-_KEYS = "(?:^TLM:|,) *([^=,]*?) *="
+#: A whole and a decimal number.
 _WHOLE = "^[-+]?[0-9]{1,18}$"
 _NUMBER = "^[-+]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][-+]?[0-9]+)?$"
 
 
 def parse_telemetry(line: Column) -> Column:
     """Strict: a struct, or NULL if the prefix, an item, a required key or a
-    number is missing, or a key stands twice.  Each value is searched and read
-    once; what is no number is told by a pattern, before any cast can fail."""
-    text = F.trim(line)
-    # "=" and the value, or nothing where the key is absent
-    found = F.struct(*[F.regexp_extract(text, f"(?:^TLM:|,) *{k} *(=[^,]*)", 1).alias(k) for k in INTS + FLOATS], text.rlike(_LINE).alias("whole"), F.regexp_extract_all(text, F.lit(_KEYS), 1).alias("keys"))
+    number is missing, or a key stands twice.  The line is parted once at its
+    commas and each item at its first equals sign; what is no number is told by
+    a pattern, before any cast can fail."""
+
+    def items(text: Column) -> Column:
+        return F.when(text.startswith("TLM:"), F.split(F.substr(text, F.lit(5)), ",")).otherwise(F.array(F.lit("")))
+
+    def parted(parts: Column) -> Column:
+        keys = F.transform(parts, lambda x: F.trim(F.substring_index(x, "=", 1)))
+        values = F.transform(parts, lambda x: F.trim(F.substr(x, F.instr(x, "=") + 1)))
+        return F.struct(keys.alias("k"), values.alias("v"), F.forall(parts, lambda x: F.instr(F.ltrim(x), "=") > 1).alias("whole"))
 
     def read(t: Column) -> Column:
-        value = {k: F.trim(F.substring(t[k], 2, 1 << 20)) for k in INTS + FLOATS}
-        value = {k: F.when(v.rlike(_WHOLE), v.cast("long")) if k in INTS else F.when(v.rlike(_NUMBER), v.cast("double")) for k, v in value.items()}
-        whole = t["whole"] & (F.size(t["keys"]) == F.size(F.array_distinct(t["keys"])))
-        parts = [(k, v) for k, v in value.items()] + [(f"no_{k}", t[k] == "") for k in value] + [("whole", whole)]
-        return F.named_struct(*[x for k, v in parts for x in (F.lit(k), v)])
+        # the first value of a key; NULL where it is absent
+        at = {k: F.get(t["v"], F.nullif(F.array_position(t["k"], k), F.lit(0)).cast("int") - 1) for k in INTS + FLOATS}
+        whole = t["whole"] & (F.size(t["k"]) == F.size(F.array_distinct(t["k"])))
+        return F.struct(*[v.alias(k) for k, v in at.items()], whole.alias("whole"))
+
+    def numbers(t: Column) -> Column:
+        value = {k: F.when(t[k].rlike(_WHOLE), t[k].cast("long")) if k in INTS else F.when(t[k].rlike(_NUMBER), t[k].cast("double")) for k in INTS + FLOATS}
+        return F.struct(*[v.alias(k) for k, v in value.items()], *[t[k].isNull().alias(f"no_{k}") for k in value], t["whole"].alias("whole"))
 
     def checked(t: Column) -> Column:
         ok = t["whole"]
@@ -61,7 +68,10 @@ def parse_telemetry(line: Column) -> Column:
             ok = ok & (good if k in REQUIRED else good | t[f"no_{k}"])
         return F.when(ok, F.struct(t["Z"].alias("z"), t["R"].alias("roll"), t["P"].alias("pitch"), (t["S"] == 1).alias("stable"), F.coalesce(t["H"] == 1, F.lit(False)).alias("homing"), t["VR"].alias("vr"), t["VP"].alias("vp")))
 
-    return bound(bound(found, read), checked)
+    out = F.trim(line)
+    for step in (items, parted, read, numbers, checked):
+        out = bound(out, step)
+    return out
 
 
 def parse_lenient(line: Column) -> Column:
