@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenspan.operators import evaluators as E
 from lumenspan.operators import hypotheses as V
 from lumenspan.operators import kernels as K
 from lumenspan.operators.geometry import golden_minimum
 from lumenspan.plans.kernels import H, PIXELS, W_, _mask, points, points_sql, rasters
-from lumenspan.plans.proxies import frames, load
+from lumenspan.plans.proxies import FRAMES, frames, load
 from lumenspan.registry import query
 from lumenspan.session import scratch
 from lumenspan.sources import files
@@ -91,25 +92,24 @@ def mth24(spark, sf):
     return got.select(F.col("key").alias("frame"), "no", "inliers", F.round("residual", 6).alias("residual"), F.round(F.col("d") / F.col("c"), 3).alias("depth"))
 
 
-@query("ext01_frame_evaluator", "select o_orderkey, round(o_totalprice / 700001, 6) as score, o_totalprice > 60000 as accepted from orders")
+@query("ext01_frame_evaluator", f"with {FRAMES} select event_id, round(case when stable then 100 - abs(depth - 60) else 0 end, 6) as score, stable and depth between 20 and 100 as accepted, case when not stable then 'UNSTABLE' when depth < 20 then 'NEAR' when depth > 100 then 'FAR' end as reason from frames")
 def ext01(spark, sf):
-    """Row to result: any function of a frame's columns can stand here."""
+    """Frames with the score, verdict and reason of an evaluator's columns."""
+    depth = F.col("depth")
 
-    @F.pandas_udf("struct<score:double,accepted:boolean>")
-    def evaluate(d: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"score": (d / 700001).round(6), "accepted": d > 60000})
+    def evaluator():
+        reason = F.when(~F.col("stable"), "UNSTABLE").when(depth < 20, "NEAR").when(depth > 100, "FAR")
+        return {"score": F.round(F.when(F.col("stable"), 100 - F.abs(depth - 60)).otherwise(0), 6), "accepted": F.col("stable") & depth.between(20, 100), "reason": reason}
 
-    return load(spark, sf, "orders").select("o_orderkey", evaluate("o_totalprice").alias("r")).select("o_orderkey", "r.*")
+    return E.evaluate(frames(spark, sf).select("event_id", "depth", "stable"), evaluator).drop("depth", "stable")
 
 
-@query("ext02_candidate_evaluator", "select user_id as device, count(*) as n, round(avg(value), 6) as mean from events group by all")
+@query("ext02_candidate_evaluator", f"with {FRAMES} select device, count(*) as frames, round(avg(depth), 6) as score, count(*) filter (stable) * 10 >= count(*) * 9 and stddev_pop(depth) < 60 as accepted, max_by(seq, (depth, -seq)) as best from frames group by device")
 def ext02(spark, sf):
-    """Many frames to one row."""
-
-    def run(pdf):
-        return pd.DataFrame([(int(pdf["device"].iloc[0]), len(pdf), round(float(pdf["depth"].mean()), 6))], columns=["device", "n", "mean"])
-
-    return frames(spark, sf).select("device", "depth").groupBy("device").applyInPandas(run, "device long, n long, mean double")
+    """Candidates, each by an evaluator's aggregates over its frames."""
+    depth = F.col("depth")
+    rows = frames(spark, sf).select("device", "seq", "depth", "stable")
+    return E.evaluate_groups(rows, ["device"], lambda: {"frames": F.count("*"), "score": F.round(F.avg("depth"), 6), "accepted": (F.count_if("stable") * 10 >= F.count("*") * 9) & (F.stddev_pop(depth) < 60), "best": F.max_by("seq", F.struct(depth, -F.col("seq")))})
 
 
 @query("ext08_patch_dataset")

@@ -151,11 +151,23 @@ def snk09(spark, sf):
     return spark.read.text(out).select(F.from_json("value", "pose_id bigint, seq bigint, median double, depth_median_mm double").alias("r")).select("r.*")
 
 
-@query("snk12_plane_result", "select o_orderkey, o_orderstatus as status from orders")
+@query("snk12_plane_result", f"""with {CANDIDATES}, p as (select pose_id, count(*) as n, bool_or(gate) as ok, max_by(z, (inlier, -seq)) filter (gate) as z, round(max(inlier) filter (gate), 6) as score, max_by(area, (inlier, -seq)) filter (gate) as area,
+  case when bool_or(flag = 'R') then 'NG' when bool_or(flag = 'N') then 'RECHECK' else 'OK' end as judged from cand group by pose_id)
+select pose_id as plane_index, {len(sinks.PLANE_KEYS)} as keys, case when ok then 'COMPLETED' else 'FAILED' end as status, case when ok then judged else 'RECHECK' end as quality_judgement, case when not ok then 'NO_ACCEPTED_CANDIDATE' end as failure_reason,
+  ok as automatic_z_success, z as best_z, score as plane_inlier_ratio, n as final_capture_attempts, coalesce(area, 0) as final_capture_object_area_px from p""")
 def snk12(spark, sf):
-    out = scratch(spark, "planes")
-    sinks.write_json(load(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status")), out)
-    return spark.read.text(out).select(F.from_json("value", "o_orderkey bigint, status string").alias("r")).select("r.*")
+    """A document for each plane with all keys of its result, read back: its
+    best accepted height, and what failed where there is none."""
+    out, best = scratch(spark, "planes"), F.when(F.col("gate"), F.struct("inlier", (-F.col("seq")).alias("s")))
+    judged = F.when(F.bool_or(F.col("flag") == "R"), "NG").when(F.bool_or(F.col("flag") == "N"), "RECHECK").otherwise("OK")
+    p = candidates(spark, sf).groupBy("pose_id").agg(F.count("*").alias("n"), F.bool_or("gate").alias("ok"), F.max_by("z", best).alias("z"), F.round(F.max(F.when(F.col("gate"), F.col("inlier"))), 6).alias("score"), F.max_by("area", best).alias("area"), judged.alias("judged"))
+    rows = p.select(
+        F.col("pose_id").alias("plane_index"), F.when(F.col("ok"), "COMPLETED").otherwise("FAILED").alias("status"), F.when(F.col("ok"), F.col("judged")).alias("quality_judgement"), F.when(~F.col("ok"), "NO_ACCEPTED_CANDIDATE").alias("failure_reason"), F.col("ok").alias("automatic_z_success"),
+        F.when(F.col("ok"), F.col("z")).alias("best_z"), F.col("score").alias("plane_inlier_ratio"), F.col("n").alias("final_capture_attempts"), F.when(F.col("ok"), F.col("area")).alias("final_capture_object_area_px"),
+    )
+    sinks.write_json(sinks.plane_documents(rows), out, nulls=True)
+    kept = "plane_index bigint, status string, quality_judgement string, failure_reason string, automatic_z_success boolean, best_z double, plane_inlier_ratio double, final_capture_attempts bigint, final_capture_object_area_px bigint"
+    return spark.read.text(out).select(F.size(F.json_object_keys("value")).alias("keys"), F.from_json("value", kept).alias("r")).select("keys", "r.*")
 
 
 @query("snk13_run_manifest", f"with {_LIST} select regexp_extract(path, '/data/([^/]+)/', 1) as run, max_by(path, (mtime, path)) filter (path like '%.jpg') as jpg, max_by(path, (mtime, path)) filter (path like '%.tif') as tif from ls group by run")

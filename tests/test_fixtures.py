@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenspan.functions import gates, text
-from lumenspan.operators import control, geometry, hypotheses, intervals, kernels, ordered, pixels, planes, raster
+from lumenspan.operators import control, evaluators, geometry, hypotheses, intervals, kernels, ordered, pixels, planes, raster
 from lumenspan.sources import files, sinks
 from lumenspan.streaming import telemetry
 
@@ -352,3 +352,24 @@ def test_rolling_median_skips_missing(spark):
     df = spark.createDataFrame([(1, i, d) for i, d in enumerate([0.0, 5.0, float("nan"), 7.0, 9.0, -1.0, 11.0])], "k int, i int, d double")
     got = [r.m for r in ordered.rolling_median(df, "d", ["k"], ["i"], 3, "m").orderBy("i").collect()]
     assert got == [0.0, 5.0, 5.0, 6.0, 8.0, 8.0, 10.0]
+
+
+def test_plane_documents_hold_every_key(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([(1, "COMPLETED", None, 17.5), (2, None, "NG", None)], "plane_index long, status string, quality_judgement string, best_z double")
+    sinks.write_json(sinks.plane_documents(rows), str(tmp_path / "out"), nulls=True)
+    got = sorted((json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()), key=lambda d: d["plane_index"])
+    assert all(list(d) == sinks.PLANE_KEYS for d in got)
+    assert (got[0]["status"], got[0]["quality_judgement"], got[0]["best_z"], got[0]["final_depth_path"]) == ("COMPLETED", "RECHECK", 17.5, None)
+    assert (got[1]["status"], got[1]["quality_judgement"], got[1]["aruco_marker_ids"], got[1]["pose_metadata"], got[1]["final_capture_attempts"]) == ("PENDING", "NG", [], {}, 0)
+    with pytest.raises(ValueError, match="no keys"):
+        sinks.plane_documents(rows.withColumnRenamed("status", "state"))
+
+
+def test_evaluators_must_name_their_result(spark):
+    rows = spark.createDataFrame([(1, 2.0)], "id int, depth double")
+    for bad, match in (({"score": F.lit(1)}, "must name"), ({"score": F.lit(1), "accepted": F.lit(True), "depth": F.lit(0)}, "may not replace")):
+        with pytest.raises(ValueError, match=match):
+            evaluators.evaluate(rows, lambda bad=bad: bad)
+    assert evaluators.evaluate_groups(rows, ["id"], lambda: {"score": F.sum("depth"), "accepted": F.lit(True)}).collect() == [(1, 2.0, True)]
