@@ -15,15 +15,14 @@ from lumenspan.session import written
 H, W_ = 24, 32
 
 
-def rasters(spark, sf, fixed=False):
+def rasters(spark, sf):
     """Small masks and depths: orders as pixels of frames.
 
     Each block of 2 * H * W_ order keys makes two frames, one for even and one
     for odd customers: frames grow in number with the table, and about a
-    quarter of each has no pixel.  ``fixed`` folds all orders into 40 frames
-    instead, for the queries whose SQL says so.
+    quarter of each has no pixel.
     """
-    key = F.col("o_custkey") % 40 if fixed else F.floor(F.col("o_orderkey") / (2 * H * W_)) * 2 + F.col("o_custkey") % 2
+    key = F.floor(F.col("o_orderkey") / (2 * H * W_)) * 2 + F.col("o_custkey") % 2
     p = load(spark, sf, "orders").select(key.alias("frame"), (F.col("o_orderkey") % W_).alias("u"), (F.floor(F.col("o_orderkey") / W_) % H).alias("v"), F.col("o_totalprice").alias("d"), (F.col("o_orderstatus") != "O").alias("set"))
     return p.groupBy("frame", "u", "v").agg(F.max("d").alias("d"), F.bool_or("set").alias("set"))
 
@@ -35,11 +34,6 @@ def _mask(pdf: pd.DataFrame) -> np.ndarray:
     return m
 
 
-@query("mor04_workspace", "select frame, count(*) filter (u between 4 and 27 and v between 3 and 20) as pixels from (select distinct o_custkey % 40 as frame, o_orderkey % 32 as u, o_orderkey // 32 % 24 as v from orders) group by frame")
-def mor04(spark, sf):
-    return rasters(spark, sf, fixed=True).groupBy("frame").agg(F.count_if(F.col("u").between(4, 27) & F.col("v").between(3, 20)).alias("pixels"))
-
-
 @query("mor16_board_quad", "select o_custkey as board, case when count(distinct o_orderkey % 8) filter (o_orderkey % 8 < 4) = 4 then min(o_orderkey) filter (o_orderkey % 8 = 0) end as tl from orders group by all")
 def mor16(spark, sf):
     """Corners by four required markers, NULL if one is missing."""
@@ -47,15 +41,23 @@ def mor16(spark, sf):
     return load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("board")).agg(F.when(F.countDistinct(F.when(m < 4, m)) == 4, F.min(F.when(m == 0, F.col("o_orderkey")))).alias("tl"))
 
 
-@query("mor29_candidate_mask", "select frame, count(*) filter (d < f - 1000) as pixels from (select *, median(d) over (partition by frame) as f from (select o_custkey % 40 as frame, o_orderkey % 32 as u, o_orderkey // 32 % 24 as v, max(o_totalprice) as d from orders group by all)) group by frame")
+#: The same frames in SQL.
+PIXELS = "px as materialized (select (o_orderkey // 1536) * 2 + o_custkey % 2 as frame, o_orderkey % 32 as u, o_orderkey // 32 % 24 as v, max(o_totalprice) as d, bool_or(o_orderstatus <> 'O') as \"set\" from orders group by all)"
+
+@query("mor04_workspace", f"with {PIXELS} select frame, count(*) filter (u between 4 and 27 and v between 3 and 20) as pixels from px group by frame")
+def mor04(spark, sf):
+    """Pixels inside the workspace rectangle of each frame."""
+    return rasters(spark, sf).groupBy("frame").agg(F.count_if(F.col("u").between(4, 27) & F.col("v").between(3, 20)).alias("pixels"))
+
+
+@query("mor29_candidate_mask", f"with {PIXELS} select frame, count(*) filter (d < f - 1000) as pixels from (select *, median(d) over (partition by frame) as f from px) group by frame")
 def mor29(spark, sf):
-    r = rasters(spark, sf, fixed=True)
+    """Pixels nearer than the floor of their frame, the median of its depths."""
+    r = written(rasters(spark, sf), "pixels")
     floor = r.groupBy("frame").agg(F.median("d").alias("f"))
     return r.join(floor, "frame").groupBy("frame").agg(F.count_if(F.col("d") < F.col("f") - 1000).alias("pixels"))
 
 
-#: The same frames in SQL.
-PIXELS = "px as materialized (select (o_orderkey // 1536) * 2 + o_custkey % 2 as frame, o_orderkey % 32 as u, o_orderkey // 32 % 24 as v, max(o_totalprice) as d, bool_or(o_orderstatus <> 'O') as \"set\" from orders group by all)"
 #: Places scaled to -1 to 1, and a depth over a tilted board.
 _SCALED = {"x": f"u / {W_ - 1}e0 * 2 - 1", "y": f"v / {H - 1}e0 * 2 - 1", "z": "500 + 0.5 * u + d % 3"}
 _INVERSE = {"tolerance": 2.5, "least": 50}

@@ -14,7 +14,7 @@ from lumenspan.operators import hypotheses as V
 from lumenspan.operators import intervals as I
 from lumenspan.operators import pixels as P
 from lumenspan.operators.selection import percentile
-from lumenspan.plans.kernels import H, W_, points, points_sql, rasters
+from lumenspan.plans.kernels import H, PIXELS, W_, points, points_sql, rasters
 from lumenspan.registry import query
 from lumenspan.session import written
 
@@ -351,12 +351,12 @@ def mor10(spark, sf):
 _DISC = "(values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(du, dv)"
 
 
-@query("mor01_erode", f"""with m as (select distinct o_custkey % 40 as frame, o_orderkey % 32 as u, o_orderkey // 32 % 24 as v from orders where o_orderstatus <> 'O'),
+@query("mor01_erode", f"""with {PIXELS}, m as (select frame, u, v from px where "set"),
 k as (select m.frame, m.u, m.v, count(*) filter (q.u is not null or m.u + du not between 0 and 31 or m.v + dv not between 0 and 23) as n from m cross join {_DISC} left join m q on q.frame = m.frame and q.u = m.u + du and q.v = m.v + dv group by all)
 select frame, count(*) filter (n = 5) as eroded, count(*) as mask from k group by frame""")
 def mor01(spark, sf):
     """Erosion by a disc of radius 1; outside the frame counts as set."""
-    m = rasters(spark, sf, fixed=True).where("`set`").select(*P.PIXEL)
+    m = rasters(spark, sf).where("`set`").select(*P.PIXEL)
     kept = P.erode(m, P.ellipse(1), SHAPE).withColumn("on", F.lit(1))
     return m.join(kept, P.PIXEL, "left").groupBy("frame").agg(F.count("on").alias("eroded"), F.count("*").alias("mask"))
 
