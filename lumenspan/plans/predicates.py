@@ -186,9 +186,10 @@ select device, seq, before is null or (depth / before between 0.5 and case kind
 def flt24(spark, sf):
     """A mask may grow only so much, by confidence, and must overlap the last."""
     p = frames(spark, sf).withColumn("before", F.lag("depth").over(W.partitionBy("device").orderBy("seq")))
-    ratio = F.col("depth") / F.col("before")
-    ok = ratio.between(0.5, 2.0) & (ratio <= F.when(F.col("kind") == "purchase", 1.2).otherwise(2.0)) & (F.least("depth", "before") / F.greatest("depth", "before") >= 0.3)
-    return p.select("device", "seq", F.coalesce(ok, F.lit(True)).alias("accepted"))
+    ratio, overlap = F.try_divide("depth", "before"), F.try_divide(F.least("depth", "before"), F.greatest("depth", "before"))
+    ok = ratio.between(0.5, 2.0) & (ratio <= F.when(F.col("kind") == "purchase", 1.2).otherwise(2.0)) & (overlap >= 0.3)
+    from_nothing = (F.col("before") == 0) & F.col("depth").isNotNull()
+    return p.select("device", "seq", F.when(F.col("before").isNull(), True).when(from_nothing, False).otherwise(ok).alias("accepted"))
 
 
 @query("flt25_sensor_confidence", f"with {CANDIDATES} select pose_id, seq, case when depth_valid >= 0.7 and inlier >= 0.7 then 'HIGH' when depth_valid >= 0.4 then 'MEDIUM' else 'LOW' end as confidence from cand")
