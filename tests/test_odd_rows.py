@@ -32,3 +32,22 @@ def events(values):
 
 def test_tracking_guard_after_zero_and_missing(agree):
     agree("flt24_tracking_guard", events=events([(5, "view"), (0, "view"), (0, "view"), (4, "purchase"), ("null", "view"), (3, "view"), (-2, "view"), (0, "view"), ("null", "view"), (2, "view"), (2.2, "purchase"), (3, "purchase")]))
+
+
+@pytest.mark.parametrize("name", ["join06_same_plane", "set06_plane_groups", "join07_group_representative"])
+def test_planes_of_small_and_large_runs(agree, name):
+    """A run of 150 planes is met by cells, those of three are compared whole."""
+    agree(name, orders="select i::bigint as o_orderkey, (case when i < 150 then 0 else i // 3 end)::bigint as o_custkey from range(300) t(i)")
+
+
+def test_plane_pairs_are_never_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from lumenspan.operators.planes import same_plane
+
+    k = F.col("id")
+    p = spark.range(90).select((k % 2).alias("run"), k.alias("idx"), F.array(k % 3 * 0.02, k % 5 * 0.01, F.lit(-1.0)).alias("normal"), F.array(k % 5 * 10.0, k % 7 * 10.0, 500 + k % 4 * 3.0).alias("centre"))
+    by_cells, whole = same_plane(p, few=1), same_plane(p, few=100)
+    assert "Broadcast" not in by_cells._jdf.queryExecution().executedPlan().toString()
+    found = sorted(map(tuple, by_cells.collect()))
+    assert len(found) > 100 and found == sorted(map(tuple, whole.collect()))
