@@ -11,9 +11,14 @@ FLOATS = ("Z", "R", "P", "VR", "VP")
 REQUIRED = ("Z", "R", "P", "S")
 
 
+def round_even(x: Column, digits: int) -> Column:
+    """Rounded to decimals; a half, told by the scaled double, goes to even."""
+    return F.rint(x * 10.0**digits) / 10.0**digits
+
+
 def fixed(x: Column, digits: int = 2) -> Column:
     """Fixed decimals, halves to even as the writers of the lines round."""
-    return F.format_string(f"%.{digits}f", F.bround(x, digits))
+    return F.format_string(f"%.{digits}f", round_even(x, digits))
 
 
 def telemetry_items(line: Column) -> Column:

@@ -55,3 +55,8 @@ def test_plane_pairs_are_never_broadcast(spark):
 
 def test_stable_zeros_are_depths(agree):
     agree("agg16_nan_median", events=events([(0, "view"), (5, "view"), (7, "error"), (0, "click"), (9, "view")]))
+
+
+def test_halves_of_commands(agree):
+    """Every half of a hundredth up to 100, and what lies beside it."""
+    agree("str03_pose_command", orders="select i::bigint as o_orderkey, (i * 50 + case i % 5 when 3 then 0.01 when 4 then -0.01 else 0 end)::double as o_totalprice from range(-20000, 20000) t(i)")
