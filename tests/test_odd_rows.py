@@ -68,3 +68,12 @@ def test_more_than_a_hundred_runs_of_a_day(agree):
 
 def test_patches_beyond_four_digits(agree):
     agree("snk18_patch_names", embeddings="select i::bigint as vec_id from range(9990, 123456, 7) t(i)")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_golden_search_is_one_of_a_size(agree, spark, tmp_path):
+    agree("mth14_golden_minimum", part="select i::bigint as p_partkey, case when i % 9 < 8 then i % 9 * 10 end::int as p_size from range(100) t(i)")
+    assert "HashAggregate(keys=[size" in plan(catalog.QUERIES["mth14_golden_minimum"](spark, str(tmp_path)))
