@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.operators import geometry as G
 from lumenspan.operators.raster import grid_positions, position_array
+from lumenspan.operators.selection import percentile
 from lumenspan.plans.proxies import CANDIDATES, FRAMES, candidates, frames, load
 from lumenspan.registry import query
 
@@ -198,8 +199,9 @@ def mth33(spark, sf):
 @query("mth34_heatmap_normalise", "with q as (select quantile_cont(l_extendedprice, 0.01) filter (l_linestatus = 'F') as lo, greatest(quantile_cont(l_extendedprice, 0.99) filter (l_linestatus = 'O'), quantile_cont(l_extendedprice, 0.99) filter (l_linestatus = 'F')) as hi from lineitem) select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(0, least(1, (l_extendedprice - lo) / greatest(hi - lo, 1e-12))), 6) as heat from lineitem, q where l_linestatus = 'O'")
 def mth34(spark, sf):
     l = load(spark, sf, "lineitem")
-    p = lambda s, q: F.percentile(F.when(F.col("l_linestatus") == s, F.col("l_extendedprice")), q)
-    q = l.agg(p("F", 0.01).alias("lo"), F.greatest(p("O", 0.99), p("F", 0.99)).alias("hi"))
+    hi = percentile(l.where("l_linestatus in ('F', 'O')"), "l_extendedprice", 0.99, ["l_linestatus"], "hi").agg(F.max("hi").alias("hi"))
+    lo = percentile(l.where("l_linestatus = 'F'"), "l_extendedprice", 0.01, name="lo").agg(F.max("lo").alias("lo"))
+    q = lo.crossJoin(hi)
     heat = (F.col("l_extendedprice") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))
     return l.where("l_linestatus = 'O'").crossJoin(F.broadcast(q)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), heat)), 6).alias("heat"))
 

@@ -77,3 +77,9 @@ def plan(df):
 def test_golden_search_is_one_of_a_size(agree, spark, tmp_path):
     agree("mth14_golden_minimum", part="select i::bigint as p_partkey, case when i % 9 < 8 then i % 9 * 10 end::int as p_size from range(100) t(i)")
     assert "HashAggregate(keys=[size" in plan(catalog.QUERIES["mth14_golden_minimum"](spark, str(tmp_path)))
+
+
+@pytest.mark.parametrize("states", ["F", "O", "FO"])
+def test_heatmap_limits_are_counted(agree, spark, tmp_path, states):
+    agree("mth34_heatmap_normalise", lineitem=f"select i::bigint as l_orderkey, 1 as l_linenumber, i::bigint as l_partkey, i::bigint as l_suppkey, substr('O{states}', 1 + (i % {1 + len(states)})::int, 1) as l_linestatus, case when i % 50 > 0 then i * 1.25 end::double as l_extendedprice from range(700) t(i)")
+    assert "percentile(" not in plan(catalog.QUERIES["mth34_heatmap_normalise"](spark, str(tmp_path)))
