@@ -30,10 +30,10 @@ def append_log(rows: DataFrame, path: str, form: str = "csv") -> None:
     writer.csv(path, header=True) if form == "csv" else writer.format(form).save(path)
 
 
-def write_json(rows: DataFrame, path: str, nulls: bool = False) -> None:
+def write_json(rows: DataFrame, path: str, nulls: bool = False, compression: str | None = None) -> None:
     """One document a row; keys without a value are left out, or kept with
     ``nulls``."""
-    rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": str(not nulls).lower()}).alias("value")).write.mode("overwrite").text(path)
+    rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": str(not nulls).lower()}).alias("value")).write.mode("overwrite").text(path, compression=compression)
 
 
 #: Keys of a plane's result, in order (fixed values): those without a value yet

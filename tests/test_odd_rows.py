@@ -83,3 +83,16 @@ def test_golden_search_is_one_of_a_size(agree, spark, tmp_path):
 def test_heatmap_limits_are_counted(agree, spark, tmp_path, states):
     agree("mth34_heatmap_normalise", lineitem=f"select i::bigint as l_orderkey, 1 as l_linenumber, i::bigint as l_partkey, i::bigint as l_suppkey, substr('O{states}', 1 + (i % {1 + len(states)})::int, 1) as l_linestatus, case when i % 50 > 0 then i * 1.25 end::double as l_extendedprice from range(700) t(i)")
     assert "percentile(" not in plan(catalog.QUERIES["mth34_heatmap_normalise"](spark, str(tmp_path)))
+
+
+def test_plane_documents_are_written_small(spark, tmp_path):
+    import glob
+    import os
+
+    from lumenspan.session import shared_dir
+
+    folders = f"{shared_dir(spark)}/lumenspan/planes-*"
+    known = set(glob.glob(folders))
+    n = catalog.QUERIES["snk12_plane_result"](spark, "/root/testdata/sf0.001").count()
+    (folder,) = set(glob.glob(folders)) - known
+    assert n > 1000 and sum(os.path.getsize(f) for f in glob.glob(f"{folder}/part-*")) < 100 * n
