@@ -96,3 +96,7 @@ def test_plane_documents_are_written_small(spark, tmp_path):
     n = catalog.QUERIES["snk12_plane_result"](spark, "/root/testdata/sf0.001").count()
     (folder,) = set(glob.glob(folders)) - known
     assert n > 1000 and sum(os.path.getsize(f) for f in glob.glob(f"{folder}/part-*")) < 100 * n
+
+
+def test_heights_twice_and_missing(agree):
+    agree("flt11_z_config", lineitem="select (i // 5)::bigint as l_orderkey, (i % 7 * case when i % 11 = 0 then null else 1 end)::int as l_linenumber, i::bigint as l_partkey, 1::bigint as l_suppkey, 5.0::double as l_quantity, 0.0::double as l_discount, 0.0::double as l_tax, 1.0::double as l_extendedprice, 'A' as l_returnflag from range(400) t(i)")
