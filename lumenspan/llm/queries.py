@@ -31,7 +31,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     seen = docs.where(fold_of(F.col("doc_id")) != 2)
-    net = toxicity.train(toxicity.sample(seen, table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id")) != 2)))
+    net = toxicity.fit(seen, table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id")) != 2))
     return toxicity.score(docs, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "threshold", "flagged")
 
 
