@@ -10,7 +10,9 @@ takes the stripes in parallel.
 from __future__ import annotations
 
 import os
+import string
 import zlib
+from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,12 @@ from pyspark.sql import functions as F
 from lumenspan.llm.common import bound_batches, lean, materialize, scratch_path
 
 END_ID, MAX_CACHE, CHUNK = 2, 330_000, 2 << 20
-#: How a byte-level vocabulary writes a space.
-SPACE = "\u0120"
-#: Stands for the ids of a part whose text must be encoded whole.
-ALONE = False
+#: How a byte-level vocabulary writes a space and a line's end.
+SPACE, LINE_END = "\u0120", "\u010a"
+#: Stands for the ids of a part whose text must be encoded whole; no other part has none.
+ALONE = b""
 #: Marks that the splitting rule parts from the letters before them.
-STOPS = ".,;:!?"
+STOPS = string.punctuation
 
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
@@ -51,61 +53,92 @@ class Encoder:
 
     A byte-level BPE never joins what stands before a space that leads a word
     with that word, so a text's ids are those of its parts, each but the first
-    a space and what follows up to the next.  Unknown parts are encoded many
-    at a time; a token that begins with the space begins a part.  A text in
-    which white space follows a space, or which may hold a special token, is
-    encoded whole.
+    a space and what follows up to the next.  Nor does it join a line's end that
+    stands alone with what is beside it, or letters with marks after them: such
+    parts are put together from a word, marks, a word that a line's end leads,
+    and marks.  Unknown words are encoded many at a time; a token that begins
+    with what leads a word begins a word.  A text in which white space follows a
+    space, or which may hold a special token, is encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.stops = dict(zip(STOPS, [x.tobytes() for x in self._encode(list(STOPS))], strict=True))
+        self.tokenizer = Tokenizer.from_file(path)
+        #: Ids of words by what leads them, and of marks.
+        self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}, "": {}}
         vocab = self.tokenizer.get_vocab()
-        self.leads = np.zeros(max(vocab.values()) + 1, bool)
-        self.leads[[i for token, i in vocab.items() if token.startswith(SPACE)]] = True
+        self.leads = {x: np.zeros(max(vocab.values()) + 1, bool) for x in (" ", "\n")}
+        self.leads[" "][[i for token, i in vocab.items() if token.startswith(SPACE)]] = True
+        self.leads["\n"][[i for token, i in vocab.items() if token.startswith(LINE_END)]] = True
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _look_up(self, words: list[str]) -> list:
+    def _learn(self, lead: str, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words that ``lead`` leads, and those known before.
+        The memory holds the first words met."""
+        got: dict[str, bytes] = {}
+        for lo in range(0, len(words), 2000):
+            part = words[lo : lo + 2000]
+            if lead:
+                ids = self._encode([lead + lead.join(part)])[0]
+                cuts = np.flatnonzero(self.leads[lead][ids]) * 4
+                if len(cuts) == len(part):
+                    flat, cuts = ids.tobytes(), cuts.tolist()
+                    got.update(zip(part, map(flat.__getitem__, map(slice, cuts, [*cuts[1:], len(flat)])), strict=True))
+                    continue
+            got.update(zip(part, [x.tobytes() for x in self._encode([lead + x for x in part])], strict=True))
+        known = self.known[lead]
+        if len(known) < MAX_CACHE:
+            known.update(got)
+            return known
+        return ChainMap(got, known) if got else known
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words that a space leads; ALONE where that cannot
-        be told without the text.  The memory holds the first words met."""
-        known, stops = self.known, self.stops
-        out = list(map(known.get, words))
-        new: dict[str, list[int]] = {}
-        ended: list[tuple[int, str, str]] = []
-        for i, x in enumerate(out):
-            if x is not None:
-                continue
+        be told without the text."""
+        spaced, lined, marks = self.known[" "], self.known["\n"], self.known[""]
+        out = list(map(spaced.get, words))
+        new: dict[str, dict[str, None]] = {" ": {}, "\n": {}, "": {}}
+        new_spaced, new_lined, new_marks = new.values()
+        parted: list[tuple[int, str, str, str, str]] = []
+        for i in [i for i, x in enumerate(out) if x is None]:
             p = words[i]
             if not p or p[0].isspace() or "<|" in p:
                 out[i] = ALONE
-            elif p[-1] in stops and p[:-1].isalpha():  # letters and a stop are parted
-                ended.append((i, p[:-1], p[-1]))
-                if p[:-1] not in known:
-                    new.setdefault(p[:-1], [])
-            else:
-                new.setdefault(p, []).append(i)
-        fresh, got = list(new), {}
-        for lo in range(0, len(fresh), 2000):
-            part = fresh[lo : lo + 2000]
-            ids = self._encode([" " + " ".join(part)])[0]
-            cuts = np.flatnonzero(self.leads[ids]) * 4
-            if len(cuts) == len(part):
-                flat, cuts = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
-                got.update(zip(part, [flat[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
-            else:
-                got.update(zip(part, [x.tobytes() for x in self._encode([" " + x for x in part])], strict=True))
-        for p, at in new.items():
-            for i in at:
-                out[i] = got[p]
-        for i, p, stop in ended:
-            out[i] = (got[p] if p in got else known[p]) + stops[stop]
-        if len(known) < MAX_CACHE:
-            known.update(got)
+                continue
+            word, second, after = p, "", ""
+            if "\n" in p:
+                before, _, rest = p.partition("\n")
+                if rest and "\n" not in rest and not (before[-1].isspace() or rest[0].isspace() or rest[-1].isspace()):
+                    word, second = before, rest
+                    if not rest.isalpha() and (stem := rest.rstrip(STOPS)).isalpha():
+                        second, after = stem, rest[len(stem) :]
+            mark = ""
+            if not word.isalpha() and (stem := word.rstrip(STOPS)).isalpha():
+                word, mark = stem, word[len(stem) :]
+            parted.append((i, word, mark, second, after))
+            if word not in spaced:
+                new_spaced[word] = None
+            if mark and mark not in marks:
+                new_marks[mark] = None
+            if second:
+                if second not in lined:
+                    new_lined[second] = None
+                if after and after not in marks:
+                    new_marks[after] = None
+        spaced, lined, marks = (self._learn(lead, list(fresh)) for lead, fresh in new.items())
+        for i, word, mark, second, after in parted:
+            ids = spaced[word]
+            if mark:
+                ids += marks[mark]
+            if second:
+                ids += lined[second]
+                if after:
+                    ids += marks[after]
+            out[i] = ids
         return out
 
     def encode(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -116,14 +149,15 @@ class Encoder:
         values, offsets = parts.flatten(), parts.offsets.to_numpy()
         offsets = (offsets - offsets[0]).astype(np.int64)
         numbered = values.dictionary_encode()
-        words = numbered.dictionary.to_pylist()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist() takes ten times as long
         ids = self._look_up(words)
-        alone = np.array([x is ALONE for x in ids] + [False] * (len(texts) + 1))
-        first = values.take(pa.array(offsets[:-1])).to_pylist()
+        first = values.take(pa.array(offsets[:-1])).to_numpy(zero_copy_only=False).tolist()
         ids += [x.tobytes() for x in self._encode(first)]
         ids.append(b"" if end is None else np.array([end], "<u4").tobytes())
-        table = np.frombuffer(b"".join([x or b"" for x in ids]), "<u4").astype(np.int32)
-        size = np.array([len(x or b"") // 4 for x in ids], np.int32)
+        table = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        alone = size == 0
+        alone[len(words) :] = False
         begin = (np.cumsum(size) - size).astype(np.int32)
         number = numbered.indices.to_numpy().astype(np.int32)
         number[offsets[:-1]] = len(words) + np.arange(len(texts))  # no space leads a text's first word

@@ -265,6 +265,26 @@ def test_encoder_on_odd_white_space():
         assert ids.tolist() == [*enc.tokenizer.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_encoder_puts_parts_together_from_known_words():
+    """Marks and a line's end are parted from words, as the vocabulary does."""
+    import pyarrow as pa
+
+    enc = token_ids.Encoder(token_ids.vocabulary())
+    enc.encode(pa.array(["a Alpha b\nBeta c*** d."], pa.string()))
+    asked, encode = [], enc._encode
+    enc._encode = lambda texts: asked.extend(texts) or encode(texts)
+    text = "a Alpha***\nBeta. Alpha.\nBeta Alpha***"
+    assert enc.encode(pa.array([text], pa.string()))[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert asked == ["a"]  # the word that no space leads
+
+    draw = np.random.default_rng(5)
+    some = [*"aéZ中2².,!\n\n   \t\r\u00a0'-_#\"…\u0301ʰİ", "'s", "'ll", "<|", "|>", "The", "<|endoftext|>"]
+    texts = ["".join(draw.choice(some, draw.integers(0, 14))) for _ in range(3000)]
+    flat, size = enc.encode(pa.array(texts, pa.string()))
+    for text, ids in zip(texts, np.split(flat, np.cumsum(size)[:-1]), strict=True):
+        assert ids.tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_orc_reader_skips_by_id(spark, docs):
     from lumenspan.llm.common import scratch_path
 
