@@ -12,6 +12,7 @@ alike.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -109,11 +110,11 @@ def planes(points: DataFrame, model: Model, *, tolerance: float, least: int, rou
     seeded = points.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(SEED)), "key", "id").cast("binary")))
     chosen = seeded.join(many, "key").where(F.expr(_UNIT) < pool / F.col("n"))
     # about ``pool`` points of a group
-    pooled = chosen.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("h", "id", "x", "y", "z"))).alias("pool"), F.first("n").alias("n"))
-    rows = pooled.withColumn("m", F.size("pool")).where("m >= 3").select("key", "pool", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("k"))
-    rows = rows.withColumns({"i": F.expr(FIRST), "j": F.expr(SECOND)})
-    at = lambda e: F.get("pool", F.expr(e).cast("int"))
-    rows = rows.select("key", "k", at("i").alias("p"), at("j").alias("q"), at(THIRD).alias("r")).where(model.real)
+    pooled = chosen.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("h", "id", "x", "y", "z"))).alias("pool"), F.first("n").alias("n"))
+    # three of the pool are picked inside the group's row, so no row of a round carries the pool
+    drawn = pooled.withColumn("m", F.size("pool")).where("m >= 3").withColumn("drawn", F.expr(f"transform(sequence(0L, {rounds - 1}L), k -> named_struct('k', k, 'i', {FIRST}, 'j', {SECOND}))"))
+    picked = ", ".join(f"'{p}', get(pool, cast({e} as int))" for p, e in (("p", "w.i"), ("q", "w.j"), ("r", re.sub(r"\b([ijk])\b", r"w.\1", THIRD))))
+    rows = drawn.select("key", F.explode(F.expr(f"transform(drawn, w -> named_struct('k', w.k, {picked}))")).alias("w")).select("key", "w.*").where(model.real)
     tried = written(rows.select("key", "k", *[F.expr(e).cast("double").alias(c) for c, e in model.through.items()]), "hypotheses")
     near = F.expr(model.off) <= tolerance
     votes = points.join(tried, "key").where(near).groupBy("key", "k").agg(F.count("*").alias("votes"))

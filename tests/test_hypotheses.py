@@ -82,3 +82,20 @@ def test_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert V.planes(none, V.METRIC, tolerance=2.5, least=50).count() == 0
     assert V.planes(table(spark, {1: [(1, 1, 1)] * 60}), V.METRIC, tolerance=2.5, least=50).count() == 0  # no three of them span a plane
+
+
+def test_no_row_of_a_round_carries_the_pool(spark, monkeypatch):
+    """Each of 160 rounds copied its group's pool of about 512 points before."""
+    kept, write = {}, V.written
+
+    def written(df, name):
+        node = df._jdf.queryExecution().optimizedPlan()
+        while node.nodeName() != "Generate":
+            node = node.children().head()
+        kept[name] = node.requiredChildOutput().mkString(",")
+        return write(df, name)
+
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(V, "written", lambda df, name: written(df, name) if name == "hypotheses" else write(df, name))
+    assert V.planes(table(spark, {7: rng.uniform(0, 1, (90, 3))}), V.METRIC, tolerance=2.5, least=50).count() == 1
+    assert kept["hypotheses"].startswith("key#") and "pool" not in kept["hypotheses"]
