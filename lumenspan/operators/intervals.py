@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenspan.operators.pixels import Shape
+from lumenspan.session import parts_of
 
 RUN = ["frame", "v", "u0", "u1"]
 
@@ -27,7 +28,10 @@ def _row(order: str):
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    return df.repartition("frame")
+    """Rows by frame, in as many parts as the session shuffles into: runs take few
+    bytes, so parts joined by their bytes would leave all steps' work, and the
+    memory of their sorts, to one or two tasks."""
+    return df.repartition(parts_of(df.sparkSession), "frame")
 
 
 def from_pixels(mask: DataFrame) -> DataFrame:

@@ -30,6 +30,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumenspan/{name}-{uuid.uuid4().hex}"
 
 
+def parts_of(spark: SparkSession) -> int:
+    """Parts for rows that are small but dear to work on: those of a shuffle, and
+    four a core at most."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends here."""
     path = scratch(df.sparkSession, name)

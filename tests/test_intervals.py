@@ -131,3 +131,11 @@ def test_shuffles_of_many_steps(masks):
     out = I.erode(I.filled(I.largest(I.dilate(runs, P.ellipse(2), SHAPE), SHAPE), SHAPE), P.ellipse(1), SHAPE)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 3
+
+
+def test_frames_are_dealt_to_all_tasks(spark):
+    """Parts of few bytes were joined into one before, and all sorts were one task's."""
+    runs = spark.range(64).select(F.col("id").alias("frame"), F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("u0"), F.lit(3).cast("long").alias("u1"))
+    at = I.dealt(runs).withColumn("part", F.spark_partition_id())
+    assert at.select("part").distinct().count() == 4
+    assert at.select("frame", "part").distinct().count() == 64
