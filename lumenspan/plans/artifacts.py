@@ -50,18 +50,20 @@ SINKS = {
 }
 
 
-def _content(name: str, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> bytes:
-    """A file's bytes from its set pixels and their depths."""
+def _content(name: str, v: np.ndarray, u0: np.ndarray, u1: np.ndarray, d: np.ndarray) -> bytes:
+    """A file's bytes from its runs of set pixels, which are pixels with their
+    depths where the file holds depths."""
     if name.endswith(".json"):
-        return json.dumps({"object_pixels": len(u), "height": H, "width": W_}, indent=2).encode()
+        return json.dumps({"object_pixels": int((u1 - u0 + 1).sum()), "height": H, "width": W_}, indent=2).encode()
     if name.endswith(".npy"):
         depth, out = np.zeros((H, W_), np.float32), io.BytesIO()
-        depth[v, u] = d
+        depth[v, u0] = d
         np.save(out, depth)
         return out.getvalue()
     colour = "overlay" in name or "rgb" in name
     image = np.zeros((H, W_, 3) if colour else (H, W_, 1), np.uint8)
-    image[v, u] = 255
+    for row, lo, hi in zip(v.tolist(), u0.tolist(), u1.tolist(), strict=True):
+        image[row, lo : hi + 1] = 255
     return files.png_bytes(image)
 
 
@@ -73,20 +75,28 @@ def _pixels(name: str, content: bytes) -> int:
 
 
 def _images(t, masks: dict):
-    """(frame, name, content): every file of every frame, empty masks too."""
-    px, out = None, None
-    for name, (runs, each) in masks.items():
-        own = I.to_pixels(runs).select("frame", "u", "v", F.lit(name).alias("name"))
-        names = t.frames.where(F.lit(True) if each is None else F.col("frame") % each == 0).select("frame", F.lit(name).alias("name"))
-        px, out = (own, names) if px is None else (px.unionByName(own), out.unionByName(names))
-    rows = out.join(px, ["frame", "name"], "left").join(t.px.select(*P.PIXEL, "d"), P.PIXEL, "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        on, name = pdf[pdf["u"].notna()], pdf["name"].iloc[0]
-        content = _content(name, on["u"].to_numpy(int), on["v"].to_numpy(int), on["d"].fillna(0).to_numpy(float))
-        return pd.DataFrame([(pdf["frame"].iloc[0], name, content)], columns=["frame", "name", "content"])
+    """(frame, name, content): every file of every frame, empty masks too.
 
-    return rows.groupBy("frame", "name").applyInPandas(run, artifacts.SCHEMA)
+    A file is made from its runs, not its pixels, and many files in one step of
+    a Python worker.
+    """
+    rows = None
+    for name, (runs, each) in masks.items():
+        if name.endswith(".npy"):
+            at = I.to_pixels(runs).join(t.px.select(*P.PIXEL, "d"), P.PIXEL, "left")
+            marks = at.select("frame", F.struct("v", F.col("u").alias("u0"), F.col("u").alias("u1"), F.coalesce(F.col("d").cast("double"), F.lit(0.0)).alias("d")).alias("run"))
+        else:
+            marks = runs.select("frame", F.struct("v", "u0", "u1", F.lit(0.0).alias("d")).alias("run"))
+        every = t.frames.select("frame", F.lit(None).cast(marks.schema["run"].dataType).alias("run"))
+        own = marks.unionByName(every).where(F.lit(True) if each is None else F.col("frame") % each == 0).select("frame", F.lit(name).alias("name"), "run")
+        rows = own if rows is None else rows.unionByName(own)
+
+    @F.pandas_udf("binary")
+    def content(name: pd.Series, v: pd.Series, u0: pd.Series, u1: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([_content(*x) for x in zip(name, v, u0, u1, d, strict=True)], dtype=object)
+
+    listed = I.dealt(rows).groupBy("frame", "name").agg(F.collect_list("run").alias("r"))
+    return listed.select("frame", "name", content("name", *[F.col(f"r.{c}") for c in ("v", "u0", "u1", "d")]).alias("content"))
 
 
 def _register(key: str, doc: str, masks) -> None:

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from lumenspan.session import parts_of
+
 SCHEMA = "frame long, name string, content binary"
 LISTED = "frame long, name string, file string, size long, sha256 string"
 COMMITTED = "_committed.json"
@@ -96,9 +98,10 @@ def write(rows: DataFrame, path: str) -> None:
     place of what was committed at ``path`` before.  A frame's files are written
     by one task, so that a name that stands twice is an error; so is a NULL
     frame or a name that is no plain file name.  NULL content is an empty file;
-    an empty table commits no file."""
+    an empty table commits no file.  Files are small but dear to write, so frames
+    are dealt to as many tasks as the session shuffles into, whatever their bytes."""
     rows.sparkSession.dataSource.register(Artifacts)
-    dealt = rows.select(F.col("frame").cast("long").alias("frame"), F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content")).repartition("frame")
+    dealt = rows.select(F.col("frame").cast("long").alias("frame"), F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content")).repartition(parts_of(rows.sparkSession), "frame")
     dealt.write.format("artifacts").mode("overwrite").option("path", path).save()
 
 
@@ -128,4 +131,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError(f"{file} was changed")
             yield pd.DataFrame({"frame": pdf["frame"], "name": pdf["name"], "content": content})
 
-    return listed(spark, path).mapInPandas(run, SCHEMA)
+    return listed(spark, path).repartition(parts_of(spark), "file").mapInPandas(run, SCHEMA)

@@ -1,6 +1,7 @@
 """Files with a commit: seen whole or not at all; images that cannot be read."""
 
 import glob
+import json
 import os
 
 import numpy as np
@@ -68,3 +69,23 @@ def test_unreadable_images_are_rows(spark):
     assert (got["a"].height, got["a"].width, got["a"].channels, got["a"].error) == (2, 4, 3, None) and got["a"].pixels == image.tobytes()
     assert all(got[p].pixels is None and got[p].height is None and got[p].error for p in "bcdef")
     assert F.lit(1) is not None
+
+
+def test_small_files_are_written_by_all_tasks(spark, tmp_path):
+    """Their few bytes were joined into one task before."""
+    path = str(tmp_path / "out")
+    artifacts.write(rows(spark, [(f, "a.bin", b"x") for f in range(64)]), path)
+    told = json.loads((tmp_path / "out" / artifacts.COMMITTED).read_text())
+    assert told["files"] == 64 and len(told["listings"]) == 4
+    assert artifacts.read(spark, path).count() == 64
+
+
+def test_files_from_runs():
+    """A run, a pixel with a depth, and no run at all."""
+    from lumenspan.plans.artifacts import _content, _pixels
+
+    one = lambda *x: [np.array([i]) for i in x]
+    none = [np.array([], np.int64)] * 4
+    for name in ("a.png", "a_overlay.png", "a.json"):
+        assert _pixels(name, _content(name, *one(23, 28, 31, 0.0))) == 4 and _pixels(name, _content(name, *none)) == 0
+    assert _pixels("a.npy", _content("a.npy", *one(23, 31, 31, 2.5))) == 1 and _pixels("a.npy", _content("a.npy", *none)) == 0
