@@ -109,3 +109,20 @@ def test_frequent_parts_are_bounded(spark):
         least = token_alignment.frequent_from(parts, most)
         assert parts.where(parts.n >= least).count() <= most
     assert token_alignment.frequent_from(parts, 1000) == 1
+
+
+def test_documents_and_groups_are_not_shuffled(spark):
+    plan = token_alignment.align(table(spark, rows()))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+
+
+def test_parts_are_forgotten_and_encoded_together(spark, monkeypatch):
+    for name, value in (("MAX_CACHE", 5), ("CHUNK", 60), ("AT_ONCE", 7)):
+        monkeypatch.setattr(token_alignment, name, value)
+    docs = table(spark, rows()).coalesce(1)
+    got = token_alignment.align(docs, frequent=20).drop("groups").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted((r[:-1] for r in brute(rows())), key=repr)
+    both = token_alignment.pair(*map(token_alignment.vocabulary, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+    parts = ["a", "Wörter", "end.\nNext", "日本", "x1\t", "(baz)", "don't"] * 80
+    for one, many in zip(both.encode(parts, [True] * len(parts)), both.encode(parts, [False] * len(parts)), strict=True):
+        assert one.tolist() == many.tolist()
