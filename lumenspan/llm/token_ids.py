@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.llm.common import bound_batches, lean, materialize, scratch_path
 
-END_ID, MAX_CACHE, CHUNK = 2, 330_000, 2 << 20
+END_ID, MAX_CACHE, CHUNK = 2, 800_000, 4 << 20
 #: How a byte-level vocabulary writes a space and a line's end.
 SPACE, LINE_END = "\u0120", "\u010a"
 #: Stands for the ids of a part whose text must be encoded whole; no other part has none.
@@ -66,7 +66,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Ids of words by what leads them, and of marks.
+        #: Ids of words by what leads them, and of marks; parts that were put
+        #: together stand among the words that a space leads.
         self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}, "": {}}
         vocab = self.tokenizer.get_vocab()
         self.leads = {x: np.zeros(max(vocab.values()) + 1, bool) for x in (" ", "\n")}
@@ -139,6 +140,8 @@ class Encoder:
                 if after:
                     ids += marks[after]
             out[i] = ids
+        if len(self.known[" "]) < MAX_CACHE:
+            self.known[" "].update([(words[x[0]], out[x[0]]) for x in parted if x[2] or x[3]])
         return out
 
     def encode(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -254,6 +254,16 @@ def test_token_ids_round_trip(docs, none):
     assert token_ids.roundtrip(none).count() == 0
 
 
+def test_token_ids_remember_parts_put_together():
+    import pyarrow as pa
+
+    enc = token_ids.Encoder(token_ids.vocabulary())
+    texts = pa.array(["a word, end.\nNext, word, word"])
+    first, again = (enc.encode(texts)[0].tolist() for _ in range(2))
+    assert first == again == enc.tokenizer.encode(texts[0].as_py(), add_special_tokens=False).ids
+    assert {"word,", "end.\nNext,"} <= enc.known[" "].keys()
+
+
 def test_encoder_on_odd_white_space():
     import pyarrow as pa
 
