@@ -47,6 +47,14 @@ def feature_rows(words: list[bytes]) -> np.ndarray:
     return out
 
 
+def _over_kinds(x: np.ndarray) -> np.ndarray:
+    """``x.sum(1)``, which is slow over a short middle axis."""
+    total = x[:, 0]
+    for kind in range(1, KINDS):
+        total = total + x[:, kind]
+    return total
+
+
 class Network:
     """Embeddings, filters (one matrix a width and offset) and the output."""
 
@@ -61,7 +69,7 @@ class Network:
 
     def project(self, words: list[bytes]) -> np.ndarray:
         """What each word adds to each filter at each of its offsets."""
-        e = self.embed[feature_rows(words)].sum(1)
+        e = _over_kinds(self.embed[feature_rows(words)])
         return np.concatenate([e @ f for k in WIDTHS for f in self.filters[k]], axis=1)
 
     def pooled(self, parts: np.ndarray, ids: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,13 +81,16 @@ class Network:
         if not len(full):
             return best, where
         first = (np.cumsum(length) - length)[full]
-        doc_of = np.repeat(np.arange(docs), length)
+        last = np.cumsum(length)[full]
         at = 0
         for n, k in enumerate(WIDTHS):
-            z = parts[ids, at * FILTERS : (at + 1) * FILTERS] + self.bias[n]
+            rows = parts[:, at * FILTERS : (at + k) * FILTERS][ids]
+            z = rows[:, :FILTERS] + self.bias[n]
             for j in range(1, k):  # words past the end of a document add nothing
-                same = doc_of[j:] == doc_of[:-j]
-                z[:-j][same] += parts[ids[j:][same], (at + j) * FILTERS : (at + j + 1) * FILTERS]
+                ends = np.unique(np.maximum(last[:, None] - np.arange(1, j + 1), first[:, None]))
+                kept = z[ends]
+                z[:-j] += rows[j:, j * FILTERS : (j + 1) * FILTERS]
+                z[ends] = kept
             cols = slice(n * FILTERS, (n + 1) * FILTERS)
             best[full, cols] = np.maximum(np.maximum.reduceat(z, first, axis=0), 0)
             if self._training:
@@ -110,7 +121,7 @@ def descend(net: Network, docs: list[np.ndarray], feats: np.ndarray, y: np.ndarr
             local, inverse = np.unique(ids, return_inverse=True)
             # a form of a word is dropped at times, so that beginnings carry what they share
             kept = rng.random((len(local), KINDS, 1)) >= np.array([0.6, 0.2, 0.2, 0.2])[:, None]
-            vec = (net.embed[feats[local]] * kept).sum(1)
+            vec = _over_kinds(net.embed[feats[local]] * kept)
             parts = np.concatenate([vec @ f for k in WIDTHS for f in net.filters[k]], axis=1) if len(local) else np.zeros((0, 48), np.float32)
             h, where = net.pooled(parts, inverse, length)
             p = 1 / (1 + np.exp(-(h @ net.out + net.out_bias)))
@@ -306,16 +317,19 @@ def score(docs: DataFrame, net: Network, language: bool = False) -> DataFrame:
     def run(batches):
         model = shared.value
         known: dict[bytes, int] = {}
-        parts = np.zeros((0, sum(WIDTHS) * FILTERS), np.float32)
+        parts = np.zeros((MAX_CACHE, sum(WIDTHS) * FILTERS), np.float32)
         for batch, texts in chunks(batches):
             words = [alnum_words(x) for x in texts]
-            if len(known) > MAX_CACHE:
-                known, parts = {}, parts[:0]
-            n = len(known)
-            ids = np.fromiter((known.setdefault(w, len(known)) for ws in words for w in ws), np.int64)
-            if len(known) > n:
-                fresh = [w for w in dict.fromkeys(w for ws in words for w in ws) if known[w] >= n]
-                parts = np.concatenate([parts, model.project(fresh)])
+            every = [w for ws in words for w in ws]
+            held, fresh = len(known), [w for w in dict.fromkeys(every) if w not in known]
+            known.update(zip(fresh, range(held, held + len(fresh)), strict=True))
+            if len(known) > len(parts):
+                parts = np.concatenate([parts[:held], np.zeros((len(fresh), parts.shape[1]), np.float32)])
+            if fresh:
+                parts[held : len(known)] = model.project(fresh)
+            ids = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
+            for w in fresh[max(0, MAX_CACHE - held) :]:  # the words met first stay
+                del known[w]
             z = model.logits(parts, ids, np.array([len(w) for w in words], np.int64)).astype(np.float64) + model.shift
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             limit = np.array([model.by_lang.get(x, THRESHOLD) for x in batch.column(2).to_pylist()], np.float64)
